@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldjobs.llm import bpe, exact_dedup, licenses, line_dedup, near_dups, packing, topk
+from fieldjobs.llm import bpe, chat, exact_dedup, licenses, line_dedup, lm, near_dups, packing, topk, toxicity
 
 #: Folder of the tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -30,10 +30,22 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"), F.array_join("gone", ",").alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(_read(spark, sf_dir, "documents"))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_calls(*chat.conversation_calls(_read(spark, sf_dir, "conversations")), chat.SCHEMAS)
+
+
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -50,7 +62,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1,
     "op2_minhash_near_dedup": op2,
     "op3_line_dedup": op3,
+    "op4_lm_scoring": op4,
     "op5_bpe": op5,
+    "op6_chat_format": op6,
+    "op7_toxicity": op7,
     "op8_best_fit_packing": op8,
     "op9_exact_dedup": op9,
     "op10_topk_search": op10,
