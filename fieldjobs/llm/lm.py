@@ -23,7 +23,7 @@ from fieldjobs.llm.words import mix, word_hashes
 _U = np.uint64
 END = _U(0x5851F42D4C957F2D)
 #: Characters that a block holds, and distinct keys that a key range holds, about.
-BLOCK_CHARS, RANGE_KEYS = 9_000_000, 1_500_000
+BLOCK_CHARS, RANGE_KEYS = 6_000_000, 1_500_000
 #: Bytes of a key that travel besides its range: words whole, pairs in part (two pairs share one with a chance of 2^-54 and less).
 WORD_BYTES, PAIR_BYTES = 8, 6
 #: Contexts are put in buckets by the power of two of their count; all beyond the last share it.
@@ -133,6 +133,13 @@ def _tokens(batch: pa.RecordBatch, n_train: int):
     return words, pairs, before, sizes
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Few texts at a time, as a batch of them unpacks to several arrays of all their tokens."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _bucket(count: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(np.maximum(count, 0).astype(np.float64))[1], BUCKETS - 1)
 
@@ -142,7 +149,7 @@ def _expectation(weights: np.ndarray, n_train: int, total: int, vocabulary: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shares = np.zeros((BUCKETS, 3))
-        for batch in batches:
+        for batch in _slices(batches):
             words, pairs, before, _ = _tokens(batch, n_train)
             words, pairs, before = words - 1, pairs - 1, before - 1  # the token is held out of its own counts
             b = _bucket(before)
@@ -157,7 +164,7 @@ def _expectation(weights: np.ndarray, n_train: int, total: int, vocabulary: int)
 
 def _score(weights: np.ndarray, n_train: int, total: int, vocabulary: int, held: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             words, pairs, before, sizes = _tokens(batch, n_train)
             w = weights[_bucket(before)]
             p = w[:, 0] * np.where(before > 0, pairs / np.maximum(before, 1), 0) + w[:, 1] * words / max(total, 1) + w[:, 2] / (vocabulary + 1)
