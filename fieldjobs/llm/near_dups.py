@@ -6,10 +6,10 @@
    least ``need`` of their values, so each class posts only its ``size - need + 1``
    rarest values: a passage that many documents share is then posted only by
    documents made of little else.
-3. In each list all members meet a few pivots, the links found are joined into
-   components, and last every pair of members still in different components meets.
-   So a list of thousands of near copies costs a few pairs per member, and no link
-   between components is lost.
+3. In each list all members meet a few pivots and the links found are joined into
+   components, so a list of thousands of near copies costs a few pairs per member.
+   Members of lists that are still in different components then meet by prefixes of
+   their full sets, rarest values first, which loses no link between components.
 4. A pair is kept when the bottom-k sample of the union, read off both sketches,
    estimates enough overlap, and linked when the full sets confirm it.
 """
@@ -71,6 +71,36 @@ def _estimate(k: int):
     return F.size(F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), union)) / F.size(union)
 
 
+def _full_sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s.view(np.int64) for s in shingle_sets(batch.column("text"), shingle)]
+            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("root"), pa.array(sets, pa.list_(pa.int64()))], ["class", "root", "all"])
+
+    return run
+
+
+def _exact_candidates(members: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """All pairs of classes in different components that can be linked, by prefixes of full sets.
+
+    Of a linked pair the smaller set shares at least 2t/(1+t) of its values and the
+    larger at least t, so in any common order of values, here the rarest first, two
+    prefixes meet. Values that only one class holds meet nobody but take their places.
+    """
+    sets = members.join(texts, "class").mapInArrow(_full_sets(shingle), "class binary, root binary, all array<long>")
+    sets = cut(sets.withColumn("n", F.size("all")))
+    each = sets.select("class", "root", "n", F.explode("all").alias("value"))
+    shared = each.groupBy("value").count().where("count > 1")
+    held = each.join(shared, "value").groupBy("class").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("count", "value"))).alias("common"))
+    held = cut(held)
+    posted = lambda least: F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1 - (F.col("n") - F.size("common"))
+    post = lambda least: held.where(posted(least) > 0).select("class", "root", "n", F.explode(F.slice("common", 1, posted(least).cast("int"))).alias("c")).select("class", "root", "n", "c.value")
+    small = post(2 * similarity / (1 + similarity)).toDF("a", "root_a", "n_a", "value")
+    large = post(similarity).toDF("b", "root_b", "n_b", "value")
+    met = small.join(large, "value").where((F.col("root_a") != F.col("root_b")) & (F.col("n_a") <= F.col("n_b")) & (F.col("n_a") >= F.col("n_b") * similarity - 1e-9))
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.75, k: int = K) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
@@ -127,8 +157,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.75,
     placed = cut(placed)
     open_lists = placed.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("value")
     left = cut(placed.join(open_lists, "value"))
-    right = left.select("value", F.col("class").alias("b"), F.col("root").alias("root_b"))
-    rest = left.join(right, "value").where("class > b and root <> root_b").select(F.col("class").alias("a"), "b").distinct()
+    rest = _exact_candidates(left.select("class", "root").distinct(), texts, shingle, similarity)
     more = confirmed(rest.join(star, ["a", "b"], "left_anti"))
     found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
