@@ -45,17 +45,17 @@ def solar_position(ts: Column, latitude: Column, longitude: Column) -> tuple[Col
     return 90.0 - height - refraction, azimuth
 
 
-def minutes_from_noon(ts: Column, latitude: Column, longitude: Column, zone: str) -> Column:
-    """Distance, in minutes, from the minute of the local day in which the sun stands highest.
+def minutes_from_noon(ts: Column, longitude: Column, zone: str) -> Column:
+    """Distance, in minutes, from the minute of the local day in which the sun crosses the meridian.
 
-    The grid is folded within the row, so no row is multiplied.
+    The highest minute of the day lies within a minute of it, and no day's grid has to be
+    searched: the crossing follows from the equation of time at midday.
     """
     midnight = F.to_utc_timestamp(F.date_trunc("day", F.from_utc_timestamp(ts, zone)), zone)
-    start = F.unix_micros(midnight)
-    grid = F.sequence(F.lit(0), F.lit(1439))
-    heights = F.transform(grid, lambda m: F.struct(elevation(F.timestamp_micros(start + m.cast("long") * 60_000_000), latitude, longitude)[0].alias("height"), (-m).alias("minute")))
-    noon = -F.array_max(heights)["minute"]
-    return F.abs((F.unix_micros(ts) - start) / 60e6 - noon)
+    start = F.unix_micros(midnight) / 60e6
+    _, equation = _sun(midnight + F.expr("interval 12 hours"))
+    noon = F.round(F.pmod(720.0 - 4 * longitude - equation - F.pmod(start, F.lit(1440.0)), F.lit(1440.0)))
+    return F.abs(F.unix_micros(ts) / 60e6 - start - noon)
 
 
 def shadow_row_angle(sun_azimuth: Column, row_azimuth: Column) -> Column:

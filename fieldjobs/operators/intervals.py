@@ -14,11 +14,13 @@ def interval_join(points: DataFrame, windows: DataFrame, at: str, start: str, en
     twice. ``how="left"`` keeps windows without points.
     """
     slot = lambda c: F.floor(F.unix_micros(c) / (bucket * 1_000_000))
-    p = points.where(F.col(at).isNotNull()).withColumn("_slot", slot(F.col(at)))
+    p = points.where(F.col(at).isNotNull()).select(*(F.col(c).alias(f"_p_{c}") for c in points.columns), slot(F.col(at)).alias("_p_slot"))
     w = windows.where(F.col(start) <= F.col(end)).withColumn("_slot", F.explode(F.sequence(slot(F.col(start)), slot(F.col(end)))))
-    on = [w["_slot"] == p["_slot"], *(w[k] == p[k] for k in keys), p[at].between(w[start], w[end])]
-    own = [p[c] for c in p.columns if c not in ("_slot", *keys)]
-    pairs = w.join(p, on).select(*(w[c] for c in windows.columns), *own)
+    on = (F.col("_slot") == F.col("_p_slot")) & F.col(f"_p_{at}").between(F.col(start), F.col(end))
+    for k in keys:
+        on &= F.col(k) == F.col(f"_p_{k}")
+    own = [F.col(f"_p_{c}").alias(c) for c in points.columns if c not in keys]
+    pairs = w.join(p, on).select(*windows.columns, *own)
     if how == "inner":
         return pairs
     added = [c for c in points.columns if c not in keys]

@@ -19,7 +19,7 @@ def flight_covariates(flights: DataFrame, minutes: DataFrame, increments: DataFr
     base = flights.join(F.broadcast(fields), "field", "left").join(F.broadcast(planting), "field", "left").join(F.broadcast(inoculation), "year", "left").withColumn("_at", middle)
     zenith, azimuth = solar.solar_position(F.col("_at"), F.col("latitude"), F.col("longitude"))
     base = base.withColumns({
-        "sza": zenith, "sun_azimuth": azimuth, "abs_time_from_noon": solar.minutes_from_noon(F.col("_at"), F.col("latitude"), F.col("longitude"), zone),
+        "sza": zenith, "sun_azimuth": azimuth, "abs_time_from_noon": solar.minutes_from_noon(F.col("_at"), F.col("longitude"), zone),
         "dpi": days_since(F.col("flight_date"), F.col("inoculation_date")),
     })
     base = base.withColumn("shadow_row_angle", solar.shadow_row_angle(F.col("sun_azimuth"), F.col("row_azimuth")))

@@ -453,7 +453,7 @@ def sun(t):
 
 @query()
 def noon_offset(t):
-    return _events(t).select("event_id", solar.minutes_from_noon(F.col("ts"), F.lit(solar.LATITUDE), F.lit(solar.LONGITUDE), "America/New_York").alias("minutes"))
+    return _events(t).select("event_id", solar.minutes_from_noon(F.col("ts"), F.lit(solar.LONGITUDE), "America/New_York").alias("minutes"))
 
 
 @query("SELECT event_id, least(d, 180 - d) AS angle FROM (SELECT event_id, abs(((value * 7 + 180) % 180) - (user_id * 13 % 180)) AS d FROM events WHERE value >= 0)", ("angle",))
