@@ -101,22 +101,22 @@ def _answers(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.int64()))], ["place", "block", "given", "new"])
 
 
-def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int64()))
+def _lists(flat: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, kind))
 
 
-def _counted(bits: int):
+def _counted(bits: int, kind: pa.DataType):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         block = _Block(docs)
         given = sorted(zip(answers.column("place").to_pylist(), answers.column("given").to_pylist()))
         per_token = []
-        for kind in (0, 1):
-            all_counts = np.concatenate([_unplaned(g, 5) for p, g in given if p % 2 == kind]).astype(np.int64)
-            per_token.append(all_counts[block.keys(kind, bits)[1]])
+        for which in (0, 1):
+            all_counts = np.concatenate([_unplaned(g, 5) for p, g in given if p % 2 == which]).astype(np.int64)
+            per_token.append(all_counts[block.keys(which, bits)[1]])
         new = np.zeros(docs.num_rows, np.int64)
         new[0] = sum(answers.column("new").to_pylist())
         return pa.table(
-            [docs.column("doc_id").combine_chunks(), docs.column("fold").combine_chunks(), pa.array(new), _lists(per_token[0], block.sizes), _lists(per_token[1], block.sizes)],
+            [docs.column("doc_id").combine_chunks(), docs.column("fold").combine_chunks(), pa.array(new), _lists(per_token[0], block.sizes, kind), _lists(per_token[1], block.sizes, kind)],
             ["doc_id", "fold", "new", "words", "pairs"],
         )
 
@@ -126,7 +126,7 @@ def _counted(bits: int):
 def _tokens(batch: pa.RecordBatch, n_train: int):
     """Per token: its count, its pair's count, the count of the word before it (an end, at the start); and the texts' sizes."""
     sizes = np.diff(np.asarray(batch.column("words").offsets))
-    words, pairs = np.asarray(batch.column("words").flatten()), np.asarray(batch.column("pairs").flatten())
+    words, pairs = (np.asarray(batch.column(c).flatten()).astype(np.int64) for c in ("words", "pairs"))
     before = np.roll(words, 1)
     if len(sizes):
         before[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = n_train
@@ -198,9 +198,11 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2, learn: int = 0)
     bits = max(2, int(np.ceil(np.log2(max(1, chars / 12 / RANGE_KEYS)))))  # at most a pair to every six bytes, half of them new
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(blocks, 20_000))
     dealt = src.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks))).repartition(parts, "block")
+    # no count is above the number of bytes and ends
+    kind, wide = (pa.int32(), "int") if chars + src.count() < 2**31 else (pa.int64(), "bigint")
     requests = dealt.groupBy("block").applyInArrow(_requests(bits), "place long, block long, keys binary, counts binary")
     answers = requests.groupBy("place").applyInArrow(_answers, "place long, block long, given binary, new long")
-    counted = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_counted(bits), "doc_id long, fold long, new long, words array<long>, pairs array<long>")
+    counted = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_counted(bits, kind), f"doc_id long, fold long, new long, words array<{wide}>, pairs array<{wide}>")
     counted = cut(counted)
 
     trains = F.col("fold") != held
