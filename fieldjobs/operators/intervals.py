@@ -65,7 +65,7 @@ def range_sum(increments: DataFrame, spans: DataFrame, day: str, value: str, sta
     dense = dense.join(F.broadcast(months), "_m").select("_d", F.coalesce("total", "_t", F.lit(0)).alias("total"), F.coalesce("days", "_n", F.lit(0)).alias("days"))
     dense = F.broadcast(dense)  # one row a day
     s = spans.join(F.broadcast(ends.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))))
-    s = s.withColumn("_to", F.least(F.col(end), "_hi")).withColumn("_from", F.when(F.col(start) > F.col("_lo"), F.date_sub(F.col(start), 1)))
+    s = s.withColumn("_to", F.least(F.col(end), "_hi")).withColumn("_from", F.when(F.col(start) > F.col("_lo"), F.least(F.date_sub(F.col(start), 1), "_hi")))
     s = s.join(dense.toDF("_to", "_st", "_sn"), "_to", "left").join(dense.toDF("_from", "_ft", "_fn"), "_from", "left")
     known = F.col(start).isNotNull() & F.col(end).isNotNull()
     held = F.coalesce("_sn", F.lit(0))

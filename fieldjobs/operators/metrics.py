@@ -13,7 +13,7 @@ ZERO_VARIANCE = ("sklearn", "infinite")
 def _aggregates(zero_variance: str) -> dict[str, Column]:
     a, p = F.col("actual"), F.col("predicted")
     e = p - a
-    sse, sst = F.sum(e * e), F.var_pop(a) * F.count("*")
+    sse, sst = F.sum(e * e), F.nullif(F.var_pop(a) * F.count("*"), F.lit(0.0))
     worst = F.lit(0.0 if zero_variance == "sklearn" else float("-inf"))
     exact = F.lit(1.0 if zero_variance == "sklearn" else 0.0)
     flat = lambda good: F.when(good, exact).otherwise(worst)
@@ -26,7 +26,7 @@ def _aggregates(zero_variance: str) -> dict[str, Column]:
         "mae": F.avg(F.abs(e)),
         "mean_bias": F.avg(a - p),
         "mse": F.avg(e * e),
-        "explained_variance": F.when(varied, 1 - F.var_pop(e) / F.var_pop(a)).otherwise(flat(F.min(e) == F.max(e))),
+        "explained_variance": F.when(varied, 1 - F.var_pop(e) / F.nullif(F.var_pop(a), F.lit(0.0))).otherwise(flat(F.min(e) == F.max(e))),
         "mape": F.when(F.count_if(a == 0) == 0, F.avg(F.abs(e / F.nullif(a, F.lit(0.0)))) * 100),
         "mean_actual": F.avg(a), "sd_actual": F.stddev_pop(a), "mean_predicted": F.avg(p), "sd_predicted": F.stddev_pop(p),
         "bias": F.avg(e),
