@@ -10,6 +10,11 @@ from fieldjobs.functions.pvalues import p_of_t
 ZERO_VARIANCE = ("sklearn", "infinite")
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson r; null without spread, where ``corr`` raises in ANSI mode."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def _aggregates(zero_variance: str) -> dict[str, Column]:
     a, p = F.col("actual"), F.col("predicted")
     e = p - a
@@ -21,7 +26,7 @@ def _aggregates(zero_variance: str) -> dict[str, Column]:
     return {
         "n": F.count("*"),
         "r2": F.when(varied, 1 - sse / sst).otherwise(flat(sse == 0)),
-        "pearson_r": F.when(varied & (F.min(p) != F.max(p)), F.corr("actual", "predicted")),
+        "pearson_r": F.when(varied & (F.min(p) != F.max(p)), correlation(a, p)),
         "rmse": F.sqrt(F.avg(e * e)),
         "mae": F.avg(F.abs(e)),
         "mean_bias": F.avg(a - p),

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from fieldjobs.functions.keys import reliability, stars
 from fieldjobs.functions.pvalues import p_of_chi2, p_of_r, quantile_of_f
+from fieldjobs.operators.metrics import correlation
 
 
 def pearson(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """``by, n, r, p`` of complete pairs."""
     ok = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     varied = (F.min(x) != F.max(x)) & (F.min(y) != F.max(y))
-    out = ok.groupBy(*by).agg(F.count("*").alias("n"), F.when(varied, F.corr(x, y)).alias("r"))
+    out = ok.groupBy(*by).agg(F.count("*").alias("n"), F.when(varied, correlation(F.col(x), F.col(y))).alias("r"))
     return out.withColumn("p", p_of_r(F.col("r"), F.col("n")))
 
 
