@@ -40,23 +40,38 @@ def call_order(calls: DataFrame) -> DataFrame:
     """``call_id, level``: 0 without dependencies, else one more than the highest among them.
 
     ``calls`` has call_id and depends_on (array). Dependencies on calls that aren't there
-    are ignored. Each round settles, by joins on call_id, the calls whose dependencies
-    are settled, so it takes as many rounds as the longest chain; calls on a cycle, or
-    that depend on one, have a null level.
+    are ignored. Chains of calls with one dependency each are followed by pointer
+    doubling, in as many rounds as the logarithm of their length; only calls with several
+    dependencies are settled level by level. Calls on a cycle, or that depend on one,
+    have a null level.
     """
-    all_calls = calls.where("call_id is not null").select("call_id").distinct()
+    all_calls = cut(calls.where("call_id is not null").select("call_id").distinct())
     needs = calls.where("call_id is not null").select("call_id", F.explode(F.array_distinct("depends_on")).alias("need")).distinct()
     needs = cut(needs.join(all_calls.withColumnRenamed("call_id", "need"), "need", "left_semi"))
-    waiting = needs.select("call_id").distinct()
-    levels = cut(all_calls.join(waiting, "call_id", "left_anti").withColumn("level", F.lit(0)))
+    degree = needs.groupBy("call_id").agg(F.count("*").alias("n"), F.first("need").alias("need"))
+    jumps = cut(degree.where("n = 1").select("call_id", F.col("need").alias("at"), F.lit(1).cast("long").alias("steps")))
+    for _ in range(max(1, all_calls.count()).bit_length() + 1):
+        on = jumps.select(F.col("call_id").alias("at"), F.col("at").alias("_at"), F.col("steps").alias("_steps"))
+        jumps = cut(jumps.join(on, "at", "left").select("call_id", F.coalesce("_at", "at").alias("at"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.col("_at").isNotNull().alias("moved")))
+        moved = not jumps.where("moved").isEmpty()
+        jumps = jumps.drop("moved")
+        if not moved:
+            break
+    several = degree.where("n > 1").select("call_id")
+    levels = cut(all_calls.join(needs.select("call_id").distinct(), "call_id", "left_anti").withColumn("level", F.lit(0).cast("long")))
+    ends = jumps.select(F.col("call_id").alias("need"), "at", "steps")
+    edges = needs.join(several, "call_id", "left_semi").join(ends, "need", "left")
+    edges = cut(edges.select("call_id", F.coalesce("at", "need").alias("at"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")))
     while True:
-        open_needs = needs.join(levels.select("call_id"), "call_id", "left_anti")
-        ready = open_needs.join(levels.withColumnRenamed("call_id", "need"), "need", "left").groupBy("call_id")
-        ready = ready.agg(F.max("level").alias("level"), F.count(F.when(F.col("level").isNull(), 1)).alias("blocked"))
-        settled = cut(ready.where("blocked = 0").select("call_id", (F.col("level") + 1).alias("level")))
+        waiting = edges.join(levels.select("call_id"), "call_id", "left_anti")
+        ready = waiting.join(levels.withColumnRenamed("call_id", "at"), "at", "left").groupBy("call_id")
+        ready = ready.agg(F.max(F.col("level") + F.col("steps")).alias("level"), F.count(F.when(F.col("level").isNull(), 1)).alias("blocked"))
+        settled = cut(ready.where("blocked = 0").select("call_id", "level"))
         if settled.isEmpty():
-            return all_calls.join(levels, "call_id", "left")
+            break
         levels = cut(levels.union(settled))
+    chained = jumps.join(levels.withColumnRenamed("call_id", "at"), "at").select("call_id", (F.col("level") + F.col("steps")).alias("level"))
+    return all_calls.join(levels.union(chained), "call_id", "left")
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
