@@ -118,7 +118,7 @@ def cost_digest(t):
 
 
 @query("""SELECT s.event_id, s.user_id, CASE WHEN count(e.value) >= 5 THEN avg(e.value) END AS mean, CASE WHEN count(e.value) >= 5 AND avg(e.value) > 0 THEN stddev_samp(e.value) / avg(e.value) END AS cv, count(e.value) AS n
-    FROM events s LEFT JOIN events e ON e.event_type <> 'signup' AND e.ts BETWEEN s.ts AND s.ts + INTERVAL 2 HOUR WHERE s.event_type = 'signup' GROUP BY s.event_id, s.user_id""", ("mean", "cv"))
+    FROM events s LEFT JOIN events e ON e.event_type <> 'signup' AND e.ts BETWEEN s.ts AND s.ts + INTERVAL 2 HOUR WHERE s.event_type = 'signup' GROUP BY s.event_id, s.user_id""", ("mean", "cv"), 9)
 def interval_stats(t):
     e = _events(t)
     windows = e.where("event_type = 'signup'").select("event_id", "user_id", F.col("ts").alias("t0"), (F.col("ts") + F.expr("interval 2 hours")).alias("t1"))
