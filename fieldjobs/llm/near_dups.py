@@ -6,8 +6,8 @@
    least ``need`` of their values, so each class posts only its ``size - need + 1``
    rarest values: a passage that many documents share is then posted only by
    documents made of little else.
-3. In each list all members meet a few pivots and the links found are joined into
-   components, so a list of thousands of near copies costs a few pairs per member.
+3. In each list all members meet a few pivots, one of them the smallest set, which a
+   shared passage fills most, and the links found are joined into components, so a list of thousands of near copies costs a few pairs per member.
    Members of lists that are still in different components then meet by prefixes of
    their full sets, rarest values first, which loses no link between components.
 4. A pair is kept when the bottom-k sample of the union, read off both sketches,
@@ -86,6 +86,8 @@ def _exact_candidates(members: DataFrame, texts: DataFrame, shingle: int, simila
     Of a linked pair the smaller set shares at least 2t/(1+t) of its values and the
     larger at least t, so in any common order of values, here the rarest first, two
     prefixes meet. Values that only one class holds meet nobody but take their places.
+    A pair shares no more values than either side holds from the first meeting on, so
+    a meeting with too few left is no candidate.
     """
     sets = members.join(texts, "class").mapInArrow(_full_sets(shingle), "class binary, root binary, all array<long>")
     sets = cut(sets.withColumn("n", F.size("all")))
@@ -94,10 +96,14 @@ def _exact_candidates(members: DataFrame, texts: DataFrame, shingle: int, simila
     held = each.join(shared, "value").groupBy("class").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("count", "value"))).alias("common"))
     held = cut(held)
     posted = lambda least: F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1 - (F.col("n") - F.size("common"))
-    post = lambda least: held.where(posted(least) > 0).select("class", "root", "n", F.explode(F.slice("common", 1, posted(least).cast("int"))).alias("c")).select("class", "root", "n", "c.value")
-    small = post(2 * similarity / (1 + similarity)).toDF("a", "root_a", "n_a", "value")
-    large = post(similarity).toDF("b", "root_b", "n_b", "value")
-    met = small.join(large, "value").where((F.col("root_a") != F.col("root_b")) & (F.col("n_a") <= F.col("n_b")) & (F.col("n_a") >= F.col("n_b") * similarity - 1e-9))
+    post = lambda least: held.where(posted(least) > 0).select("class", "root", "n", F.size("common").alias("size"), F.posexplode(F.slice("common", 1, posted(least).cast("int"))).alias("pos", "c"))
+    rest = (F.col("size") - F.col("pos")).alias("rest")  # values from this one on that others hold
+    small = post(2 * similarity / (1 + similarity)).select("class", "root", "n", rest, "c.value").toDF("a", "root_a", "n_a", "rest_a", "value")
+    large = post(similarity).select("class", "root", "n", rest, "c.value").toDF("b", "root_b", "n_b", "rest_b", "value")
+    once = F.struct("n_a", "a") < F.struct("n_b", "b")
+    alike = F.col("n_a") >= F.col("n_b") * similarity - 1e-9
+    enough = F.least("rest_a", "rest_b") * (1 + similarity) >= (F.col("n_a") + F.col("n_b")) * similarity - 1e-9
+    met = small.join(large, "value").where((F.col("root_a") != F.col("root_b")) & once & alike & enough)
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -118,17 +124,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.75,
     sketched = cut(src.mapInArrow(_sketches(k, shingle), schema))
 
     known = sketched.where("class is not null and doc_id is not null")
-    classes = cut(known.groupBy("class").agg(F.min(F.struct("doc_id", "text_hash", "sketch")).alias("r")).select("class", "r.*"))
+    classes = cut(known.groupBy("class").agg(F.min(F.struct("doc_id", "text_hash", "sketch", "n_shingles")).alias("r")).select("class", "r.*"))
     least_shared = max(1, math.floor(LEAST_SHARED * k / K * similarity / 0.75))
     size = F.size("sketch")
     need = F.when(size < F.ceil(F.lit(similarity * k)), F.ceil(size * similarity)).otherwise(F.least(F.lit(least_shared), size))
-    values = classes.select("class", (size - need + 1).alias("post"), size.alias("held"), F.explode("sketch").alias("value"))
+    values = classes.select("class", "n_shingles", (size - need + 1).alias("post"), size.alias("held"), F.explode("sketch").alias("value"))
     shared = values.groupBy("value").count().where("count > 1")
     common = values.join(shared, "value").groupBy("class").agg(
-        F.first("post").alias("post"), F.first("held").alias("held"), F.array_sort(F.collect_list(F.struct("count", "value"))).alias("common")
+        F.first("n_shingles").alias("n"), F.first("post").alias("post"), F.first("held").alias("held"), F.array_sort(F.collect_list(F.struct("count", "value"))).alias("common")
     )
     room = F.col("post") - (F.col("held") - F.size("common"))  # values that no other class holds come first
-    posted = common.where(room > 0).select("class", F.explode(F.slice("common", 1, room)).alias("c")).select("class", "c.value")
+    posted = common.where(room > 0).select("class", "n", F.explode(F.slice("common", 1, room)).alias("c")).select("class", "n", "c.value")
     posted = cut(posted)
     lists = posted.groupBy("value").count().where("count > 1").select("value")
     posted = cut(posted.join(lists, "value"))
@@ -147,8 +153,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.75,
         both = near.join(side(texts, "a", "text"), "a").join(side(texts, "b", "text"), "b")
         return cut(both.mapInArrow(_jaccard(shingle, similarity), "a binary, b binary"))
 
-    heads = posted.groupBy("value").agg(*(F.min_by("class", F.xxhash64("class", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)))
-    star = posted.join(heads, "value").select("class", F.explode(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("pivot"))
+    pivots = [F.min(F.struct("n", "class"))["class"], *(F.min_by("class", F.xxhash64("class", F.lit(i))) for i in range(PIVOTS))]
+    heads = posted.groupBy("value").agg(F.array_distinct(F.array(*pivots)).alias("pivots"))
+    star = posted.join(heads, "value").select("class", F.explode("pivots").alias("pivot"))
     star = star.select(F.greatest("class", "pivot").alias("a"), F.least("class", "pivot").alias("b")).where("a <> b").distinct()
     links = confirmed(star)
     found = components(links)
