@@ -23,7 +23,7 @@ from fieldjobs.llm.words import mix, word_hashes
 _U = np.uint64
 END = _U(0x5851F42D4C957F2D)
 #: Characters that a block holds, and distinct keys that a key range holds, about.
-BLOCK_CHARS, RANGE_KEYS = 6_000_000, 1_500_000
+BLOCK_CHARS, RANGE_KEYS = 4_500_000, 400_000
 #: Bytes of a key that travel besides its range: words whole, pairs in part (two pairs share one with a chance of 2^-54 and less).
 WORD_BYTES, PAIR_BYTES = 8, 6
 #: Contexts are put in buckets by the power of two of their count; all beyond the last share it.
