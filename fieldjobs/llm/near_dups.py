@@ -9,7 +9,8 @@
 3. In each list all members meet a few pivots, one of them the smallest set, which a
    shared passage fills most, and the links found are joined into components, so a list of thousands of near copies costs a few pairs per member.
    Members of lists that are still in different components then meet by prefixes of
-   their full sets, rarest values first, which loses no link between components.
+   their full sets, rarest values first, which loses no link between components: one
+   class of each component first, then all whose components still differ.
 4. A pair is kept when the bottom-k sample of the union, read off both sketches,
    estimates enough overlap, and linked when the full sets confirm it.
 """
@@ -80,30 +81,40 @@ def _full_sets(shingle: int):
     return run
 
 
-def _exact_candidates(members: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _held(members: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Per class its component, the size of its full set, and the values that other classes hold too, rarest first."""
+    sets = members.join(texts, "class").mapInArrow(_full_sets(shingle), "class binary, root binary, all array<long>")
+    sets = cut(sets.withColumn("n", F.size("all")))
+    each = sets.select("class", "root", "n", F.explode("all").alias("value"))
+    shared = each.groupBy("value").count().where("count > 1")
+    held = each.join(shared, "value").groupBy("class").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("count", "value"))).alias("common"))
+    return cut(held)
+
+
+def _exact_candidates(held: DataFrame, similarity: float, one_each: bool) -> DataFrame:
     """All pairs of classes in different components that can be linked, by prefixes of full sets.
 
     Of a linked pair the smaller set shares at least 2t/(1+t) of its values and the
     larger at least t, so in any common order of values, here the rarest first, two
     prefixes meet. Values that only one class holds meet nobody but take their places.
     A pair shares no more values than either side holds from the first meeting on, so
-    a meeting with too few left is no candidate.
+    a meeting with too few left is no candidate. ``one_each``: only one class of each
+    component meets the others in a value, which joins most components before all meet.
     """
-    sets = members.join(texts, "class").mapInArrow(_full_sets(shingle), "class binary, root binary, all array<long>")
-    sets = cut(sets.withColumn("n", F.size("all")))
-    each = sets.select("class", "root", "n", F.explode("all").alias("value"))
-    shared = each.groupBy("value").count().where("count > 1")
-    held = each.join(shared, "value").groupBy("class").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("count", "value"))).alias("common"))
-    held = cut(held)
     posted = lambda least: F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1 - (F.col("n") - F.size("common"))
-    post = lambda least: held.where(posted(least) > 0).select("class", "root", "n", F.size("common").alias("size"), F.posexplode(F.slice("common", 1, posted(least).cast("int"))).alias("pos", "c"))
     rest = (F.col("size") - F.col("pos")).alias("rest")  # values from this one on that others hold
-    small = post(2 * similarity / (1 + similarity)).select("class", "root", "n", rest, "c.value").toDF("a", "root_a", "n_a", "rest_a", "value")
-    large = post(similarity).select("class", "root", "n", rest, "c.value").toDF("b", "root_b", "n_b", "rest_b", "value")
+
+    def side(least: float, x: str) -> DataFrame:
+        places = held.where(posted(least) > 0).select("class", "root", "n", F.size("common").alias("size"), F.posexplode(F.slice("common", 1, posted(least).cast("int"))).alias("pos", "c"))
+        posts = places.select("root", "c.value", rest, "n", "class")
+        if one_each:
+            posts = posts.groupBy("root", "value").agg(F.max(F.struct("rest", "n", "class")).alias("r")).select("root", "value", "r.*")
+        return posts.toDF(f"root_{x}", "value", f"rest_{x}", f"n_{x}", x)
+
     once = F.struct("n_a", "a") < F.struct("n_b", "b")
     alike = F.col("n_a") >= F.col("n_b") * similarity - 1e-9
     enough = F.least("rest_a", "rest_b") * (1 + similarity) >= (F.col("n_a") + F.col("n_b")) * similarity - 1e-9
-    met = small.join(large, "value").where((F.col("root_a") != F.col("root_b")) & once & alike & enough)
+    met = side(2 * similarity / (1 + similarity), "a").join(side(similarity, "b"), "value").where((F.col("root_a") != F.col("root_b")) & once & alike & enough)
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -157,6 +168,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.75,
     heads = posted.groupBy("value").agg(F.array_distinct(F.array(*pivots)).alias("pivots"))
     star = posted.join(heads, "value").select("class", F.explode("pivots").alias("pivot"))
     star = star.select(F.greatest("class", "pivot").alias("a"), F.least("class", "pivot").alias("b")).where("a <> b").distinct()
+    star = cut(star)
     links = confirmed(star)
     found = components(links)
 
@@ -164,9 +176,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.75,
     placed = cut(placed)
     open_lists = placed.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("value")
     left = cut(placed.join(open_lists, "value"))
-    rest = _exact_candidates(left.select("class", "root").distinct(), texts, shingle, similarity)
-    more = confirmed(rest.join(star, ["a", "b"], "left_anti"))
-    found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    held, tested = _held(left.select("class", "root").distinct(), texts, shingle), star
+    for one_each in (True, False):
+        now = held.join(found, held["class"] == found["node"], "left").select("class", F.coalesce(found["root"], "class").alias("root"), "n", "common")
+        rest = cut(_exact_candidates(now, similarity, one_each).join(tested, ["a", "b"], "left_anti"))
+        more = confirmed(rest)
+        found, tested = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), tested.union(rest)
 
     roots = classes.join(found, classes["class"] == found["node"], "left").select("class", F.coalesce("root", "class").alias("root"), "doc_id")
     smallest = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
