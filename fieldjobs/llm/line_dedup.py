@@ -1,103 +1,182 @@
-"""Repeated runs of lines, by winnowing over line hashes.
-
-A window is the shortest run of lines from a line on that holds ``min_words`` words;
-its smallest line hash is its fingerprint. So any repeated run of that many words holds
-a whole window, and both places select the same fingerprint. Fingerprints are joined on
-hash and window digest, each place to the earliest one only, and every match is extended
-both ways line by line. Later places are deleted; the earliest (by doc_id, then line)
-stays, so every line deleted is still found in an earlier place.
+"""Repeated passages, by winnowing over word hashes.
+
+A window is a run of ``min_words`` words; its smallest hash of half as many words is its
+fingerprint, so equal windows have equal fingerprints wherever they stand in a line.
+Fingerprints found at one place only are set aside; every window that has another one is
+then compared in full, by 128 bits, with all others. A window is deleted where an earlier
+place (by doc_id, then text hash, then character) holds the same words, so all of a
+repeated passage goes but its earliest place.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from fieldjobs.llm.recovery import cut
+from fieldjobs.llm.words import BASE, INVERSE, SPACE_WORDS, find_words, mix, text_bytes
 
 MIN_WORDS = 50
+#: Bytes of text hashed at a time; only a longer text makes a larger part.
+PART = 1 << 22
+_U = np.uint64
 
 
-def _winnow(min_words: int):
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        _, at = text_bytes(batch.column("text"))
+        begin = 0
+        while begin < len(batch):
+            end = max(begin + 1, int(np.searchsorted(at, at[begin] + PART, side="right")) - 1)
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
+def _grams(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words, read off prefix sums."""
+    n = len(h)
+    if n < k:
+        return np.zeros(0, _U)
+    power, inverse = np.full(n + 1, BASE, _U), np.full(n + 1, INVERSE, _U)
+    power[0] = inverse[0] = 1
+    sums = np.zeros(n + 1, _U)
+    np.cumsum(h * np.cumprod(power, dtype=_U)[:n], dtype=_U, out=sums[1:])
+    return mix((sums[k:] - sums[:-k]) * np.cumprod(inverse, dtype=_U)[: n - k + 1])
+
+
+def _windows(texts: pa.Array, min_words: int):
+    """Bytes, text offsets, word hashes, starts and ends, and of each window its first word, text and fingerprint."""
+    data, at = text_bytes(texts)
+    h, starts, lengths = find_words(data, at, SPACE_WORDS, fold=False)
+    words = np.searchsorted(starts, at)
+    first = np.arange(max(len(h) - min_words + 1, 0))
+    text = np.searchsorted(words, first, side="right") - 1
+    k = (min_words + 1) // 2
+    least, span, held = _grams(h, k), min_words - k + 1, 1
+    while held < span and len(least):
+        step = min(held, span - held)
+        least = np.minimum(least[:-step], least[step:]) if len(least) > step else least[:0]
+        held += step
+    whole = first + min_words <= words[text + 1]
+    return data, at, h, starts, first[whole], text[whole], least[: len(first)][whole]
+
+
+def _prints(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches):
+            _, at, _, _, first, text, least = _windows(batch.column("text"), min_words)
+            new = np.ones(len(first), bool)
+            new[1:] = (text[1:] != text[:-1]) | (least[1:] != least[:-1])
+            # equal fingerprints of more windows than can share one place count again
+            since = np.arange(len(first)) - np.maximum.accumulate(np.where(new, np.arange(len(first)), 0))
+            taken = since % (min_words - (min_words + 1) // 2 + 1) == 0
+            sizes = np.bincount(text[taken], minlength=len(batch))
+            prints = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(least[taken].view(np.int64)))
+            long = np.bincount(text, minlength=len(batch)) > 0
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(np.diff(at)), pa.array(long), prints], ["doc_id", "text_hash", "bytes", "long", "prints"])
+
+    return run
+
+
+def _places(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lines_out, marks_out = [], []
-            for text in batch.column("text").to_pylist():
-                lines = [x.strip() for x in text.split("\n")]
-                digests = [hashlib.blake2b(x.encode(), digest_size=16).digest() for x in lines]
-                short = [int.from_bytes(d[:8], "little", signed=True) for d in digests]
-                total = np.concatenate([[0], np.cumsum([len(x.split()) for x in lines])])
-                ends = np.searchsorted(total, total[:-1] + min_words)  # the window from line i is lines[i:ends[i]]
-                marks = []
-                for i, e in enumerate(ends.tolist()):
-                    if e > len(lines):
-                        break
-                    if lines[i]:
-                        at = min(range(i, e), key=lambda j: (short[j], -j))
-                        marks.append({"print": short[at], "digest": hashlib.blake2b(b"".join(digests[i:e]), digest_size=16).digest(), "begin": i, "end": e})
-                lines_out.append(short)
-                marks_out.append(marks)
-            kind = pa.list_(pa.struct([("print", pa.int64()), ("digest", pa.binary()), ("begin", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(lines_out, pa.list_(pa.int64())), pa.array(marks_out, kind)], ["doc_id", "text_hash", "lines", "marks"])
+        for batch in _parts(batches):
+            data, at, h, starts, first, text, least = _windows(batch.column("text"), min_words)
+            prints = batch.column("prints")
+            sizes = np.diff(prints.offsets.to_numpy())
+            wanted = np.zeros(len(first), bool)
+            flat, ends, bounds = prints.flatten().to_numpy().view(_U), np.cumsum(sizes), np.searchsorted(text, np.arange(len(batch) + 1))
+            for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+                wanted[a:b] = np.isin(least[a:b], flat[ends[i] - sizes[i] : ends[i]])
+            first, text = first[wanted], text[wanted]
+            chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+            last = np.minimum(np.append(starts, len(data))[first + min_words], at[text + 1])
+            begin, end = chars[starts[first]] - chars[at[text]], chars[last] - chars[at[text]]
+            one, two = (_grams(x, min_words)[first].view(np.int64) if len(first) else np.zeros(0, np.int64) for x in (h, mix(h ^ _U(0xA5A5A5A55A5A5A5A))))
+            which = pa.array(text)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(which), batch.column("text_hash").take(which), pa.array(one), pa.array(two), pa.array(begin, pa.int32()), pa.array(end, pa.int32())], ["doc_id", "text_hash", "one", "two", "begin", "end"])
 
     return run
 
 
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         gone = []
-        for own, other, shift, seeds in zip(*(batch.column(c).to_pylist() for c in ("lines", "other", "shift", "seeds"))):
-            dead: set[int] = set()
-            for seed in sorted(seeds, key=lambda s: s["begin"]):
-                a, b = seed["begin"], seed["end"]
-                if a in dead and b - 1 in dead:
-                    continue
-                while a > 0 and a - shift > 0 and own[a - 1] == other[a - 1 - shift]:
-                    a -= 1
-                while b < len(own) and b - shift < len(other) and own[b] == other[b - shift]:
-                    b += 1
-                dead.update(range(a, b))
-            gone.append(sorted(dead))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "text_hash", "gone"])
-
-
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, text_hash, gone``: the line numbers (from 0) to delete, for documents that lose any."""
+        for spans in batch.column("spans").to_pylist():
+            out: list[dict] = []
+            for s in sorted(spans, key=lambda s: s["begin"]):
+                if out and s["begin"] <= out[-1]["end"]:
+                    out[-1]["end"] = max(out[-1]["end"], s["end"])
+                else:
+                    out.append(s)
+            gone.append(out)
+        kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(gone, kind)], ["doc_id", "text_hash", "gone"])
+
+
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``doc_id, text_hash, gone``: the spans of characters (from 0, end not included) to delete, for documents that lose any."""
     text = F.coalesce("text", F.lit(""))
     src = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    schema = "doc_id long, text_hash long, lines array<long>, marks array<struct<print: long, digest: binary, begin: int, end: int>>"
-    lined = cut(src.mapInArrow(_winnow(min_words), schema))
-    key = ["print", "digest"]
-    marks = lined.select("doc_id", "text_hash", F.explode("marks").alias("m")).select("doc_id", "text_hash", "m.*").distinct()
-    head = F.min(F.struct("doc_id", "text_hash", "begin")).alias("head")
-    heads = marks.groupBy(*key).agg(head, F.count("*").alias("n")).where("n > 1").select(*key, "head")
-    later = marks.join(heads, key).where(F.struct("doc_id", "text_hash", "begin") > F.col("head"))
-    place = [F.col("head.doc_id").alias("head_id"), F.col("head.text_hash").alias("head_hash"), (F.col("begin") - F.col("head.begin")).alias("shift")]
-    pairs = later.groupBy("doc_id", "text_hash", *place).agg(F.collect_set(F.struct("begin", "end")).alias("seeds"))
-    own = lined.select("doc_id", "text_hash", "lines").dropDuplicates(["doc_id", "text_hash"])
-    other = own.select(F.col("doc_id").alias("head_id"), F.col("text_hash").alias("head_hash"), F.col("lines").alias("other"))
-    both = cut(pairs).join(own, ["doc_id", "text_hash"]).join(other, ["head_id", "head_hash"])
-    gone = both.mapInArrow(_extend, "doc_id long, text_hash long, gone array<int>")
-    return gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    document = ["doc_id", "text_hash"]
+    printed = cut(src.mapInArrow(_prints(min_words), "doc_id long, text_hash long, bytes long, long boolean, prints array<long>").where("long"))
+    # later copies of a whole text go as one span
+    first = cut(printed.groupBy("text_hash", "bytes").agg(F.min("doc_id").alias("doc_id")))
+    copies = printed.select("doc_id", "text_hash", "bytes").join(first.withColumnRenamed("doc_id", "head"), ["text_hash", "bytes"]).where("doc_id > head").select(*document).distinct()
+    prints = printed.join(first, ["doc_id", "text_hash", "bytes"], "left_semi").select(*document, F.explode("prints").alias("print"))
+    again = prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+    hot = cut(prints.join(again, "print").groupBy(*document).agg(F.collect_set("print").alias("prints")))
+    windows = cut(src.join(hot, document).mapInArrow(_places(min_words), "doc_id long, text_hash long, one long, two long, begin int, end int"))
+    head = F.min(F.struct("doc_id", "text_hash", "begin", "end")).alias("head")
+    heads = windows.groupBy("one", "two").agg(head, F.count("*").alias("n")).where("n > 1").select("one", "two", "head")
+    same = (F.col("doc_id") == F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))
+    later = windows.join(heads, ["one", "two"]).where(~same | (F.col("begin") >= F.col("head.end")))
+    spans = later.groupBy(*document).agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    gone = spans.mapInArrow(_merge, "doc_id long, text_hash long, gone array<struct<begin: int, end: int>>")
+    whole = F.array(F.struct(F.lit(0).alias("begin"), F.lit(2**31 - 1).alias("end")))
+    return gone.union(copies.withColumn("gone", whole))
+
+
+@F.arrow_udf(StringType())
+def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
+    """Of the white space before and behind a passage that goes, one stays; the one with a line break, if only one has any."""
+    out = []
+    for t, spans in zip(text.to_pylist(), gone.to_pylist()):
+        if spans is None or t is None:
+            out.append(t)
+            continue
+        kept, at = "", 0
+        for s in spans:
+            kept += t[at : s["begin"]]
+            at = s["end"]
+            cut_out = t[s["begin"] : at]
+            bare, behind = kept.rstrip(" \t\n\v\f\r"), cut_out[len(cut_out.rstrip(" \t\n\v\f\r")) :]
+            if at >= len(t) or ("\n" in behind and "\n" not in kept[len(bare) :] and bare):
+                kept = bare + behind
+        out.append(kept + t[at:])
+    return pa.array(out, pa.string())
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``text`` (and ``n_chars``, if it is there) rewritten, and ``n_lines``, ``gone`` added.
 
-    Lines are compared without white space at their ends. Nothing under ``min_words``
-    words in a row is ever deleted. Null texts stay null and empty ones empty, rows with
-    a null doc_id stay as they are, and repeated rows (same doc_id and text) count as one
-    document and all stay. All other columns are carried along.
+    Passages are compared word by word, whatever white space parts the words, and may
+    start and end inside a line. ``gone`` has their spans of characters with the white
+    space behind them. Nothing under ``min_words`` words in a row is ever deleted, nor a
+    passage that overlaps its own earlier place. Null texts stay null and empty ones
+    empty, rows with a null doc_id stay as they are, and repeated rows (same doc_id and
+    text) count as one document and all stay. All other columns are carried along.
     """
-    gone = repeated_lines(docs, min_words).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"))
+    gone = repeated_spans(docs, min_words).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"))
     keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     out = keyed.join(gone, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_key") == F.col("_hash")), "left")
-    lines = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = out.withColumn("_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
+    size = F.char_length("text")
+    spans = F.transform("_gone", lambda s: F.struct(s["begin"].alias("begin"), F.least(s["end"], size).alias("end")))
+    out = out.withColumn("_lines", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")).withColumn("_gone", spans)
+    out = out.withColumn("_left", _without(F.when(F.col("_gone").isNotNull(), F.col("text")), F.col("_gone"))).withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.col("_left")))
     kept = [F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns if c not in ("n_lines", "gone")]
-    return out.select(*kept, F.col("_lines").alias("n_lines"), F.coalesce("_gone", F.array().cast("array<int>")).alias("gone"))
+    return out.select(*kept, F.col("_lines").alias("n_lines"), F.coalesce("_gone", F.array().cast("array<struct<begin: int, end: int>>")).alias("gone"))

@@ -63,6 +63,33 @@ def test_line_dedup(spark):
     assert got[2]["text"] == "three\nfour" and got[1]["gone"] == [] and got[3]["text"] is None and got[4]["text"] == "short\nshort"
 
 
+def test_line_dedup_equals_brute_force_inside_lines(spark):
+    r = random.Random(4)
+    word = lambda: f"w{r.randrange(5000)}"
+    passages = [[word() for _ in range(n)] for n in (49, 50, 51, 80, 130)]
+    texts = []
+    for i in range(40):
+        w = []
+        for p in [r.choice(passages) for _ in range(r.randrange(0, 4))]:
+            a = r.choice([0, 0, r.randrange(len(p))])
+            w += [word() for _ in range(r.randrange(0, 30))] + p[a:] + [word() for _ in range(r.randrange(0, 9))]
+        texts.append((i, "".join(x + r.choice([" "] * 9 + ["\n", "  "]) for x in ["\u00e9", *w])))
+    texts += [(50, "ab " * 300), (51, texts[7][1]), (51, texts[8][1])]
+    seen, want = {}, {}
+    for i, t in sorted(texts[:-2]):
+        w = t.split()
+        dead = set()
+        for a in range(len(w) - 49):
+            at = seen.setdefault(tuple(w[a : a + 50]), (i, a))
+            if at[0] != i or a >= at[1] + 50:
+                dead |= set(range(a, a + 50))
+        want[i] = [x for j, x in enumerate(w) if j not in dead]
+    got = line_dedup.dedup_lines(docs(spark, texts)).collect()
+    assert {x["doc_id"]: x["text"].split() for x in got if x["doc_id"] != 51} == want
+    assert sorted(x["text"].strip() for x in got if x["doc_id"] == 51) == sorted("" if len(t.split()) >= 50 else t.strip() for _, t in texts[7:9])
+    assert any(len(want[i]) < len(t.split()) for i, t in texts[:40])
+
+
 def test_lm_base_and_held_out(spark):
     import math
     import zlib
