@@ -583,7 +583,7 @@ def restore(t):
 def _tiles(t) -> DataFrame:
     """Order totals on 16 x 16 tiles of one raster, as heights of 0 to 4 m."""
     o = t("orders").select((F.col("o_orderkey") % 64).alias("x"), F.floor(F.col("o_orderkey") / 64).alias("y"), (F.col("o_totalprice") / 125000).cast("float").alias("v"))
-    o = o.where("y < 64").withColumn("tile_r", F.floor(F.col("y") / 16).cast("int")).withColumn("tile_c", F.floor(F.col("x") / 16).cast("int"))
+    o = o.withColumn("tile_r", F.floor(F.col("y") / 16).cast("int")).withColumn("tile_c", F.floor(F.col("x") / 16).cast("int"))
     place = (F.col("y") % 16 * 16 + F.col("x") % 16).cast("int")
     g = o.groupBy("tile_r", "tile_c").agg(F.map_from_entries(F.collect_list(F.struct(place.alias("k"), "v"))).alias("m"))
     px = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(float("nan")).cast("float")))

@@ -155,3 +155,12 @@ def test_committed_flight_covariates(spark):
     for r in want:
         s = sun[r["flight_key"]]
         assert abs(s["z"] - r["sza"]) < 0.03 and abs(s["a"] - r["sun_azimuth"]) < 0.06 and abs(s["n"] - r["abs_time_from_noon"]) <= 1.5
+
+
+def test_tiles_hold_every_order(spark):
+    from fieldjobs.plans import queries
+
+    orders = spark.createDataFrame([(i, 1000.0 * (i % 400)) for i in range(0, 9000, 3)], "o_orderkey long, o_totalprice double")
+    tiles = queries._tiles(lambda t: {"orders": orders}[t])
+    assert tiles.select(F.explode("pixels").alias("v")).where("not isnan(v)").count() == 3000
+    assert tiles.agg(F.max("tile_r")).first()[0] == 8999 // 64 // 16
