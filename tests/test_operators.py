@@ -164,3 +164,11 @@ def test_tiles_hold_every_order(spark):
     tiles = queries._tiles(lambda t: {"orders": orders}[t])
     assert tiles.select(F.explode("pixels").alias("v")).where("not isnan(v)").count() == 3000
     assert tiles.agg(F.max("tile_r")).first()[0] == 8999 // 64 // 16
+
+
+def test_agreement_table_takes_all_raters(spark):
+    from fieldjobs.plans import queries
+
+    lines = spark.createDataFrame([(o, n, float((o * 7 + n * n * 3) % 11), float(o % 13)) for o in range(30) for n in range(1, 8)], "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double")
+    got = [r["what"] for r in queries.agreement_table(lambda t: {"lineitem": lines}[t]).collect()]
+    assert sorted(got) == sorted([f"{a}-{b}" for a in range(1, 8) for b in range(a + 1, 8)] + [f"model-{a}" for a in range(1, 8)] + ["rater-rater", "model-rater", "difference"])
