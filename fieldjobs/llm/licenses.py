@@ -36,6 +36,10 @@ NOTICES = [
     ("cc", "this work is licensed under a creative commons attribution"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
+#: Word pairs that tell a label's notices from others of like wording; a span without them doesn't count.
+TELLING = {"gpl": ["gnu general"], "lgpl": ["gnu lesser", "lesser general"], "mpl": ["mozilla public"]}
+#: A phrase right behind one of these words names another license, so its label is not in ``labels``.
+OTHER = {"gpl": ["lesser", "affero"]}
 #: Diagonals this far apart belong to one span; the share of a template that a span needs.
 NEAR, COVER = 2, 0.75
 
@@ -69,15 +73,19 @@ def _templates(spark) -> DataFrame:
             number += 1
             w = text.split()
             hashes, _ = word_hashes(pa.array([text]), ALNUM_WORDS)
-            rows += [(number, base, label, w, i, int(g)) for i, g in enumerate(_runs(hashes))]
-    return spark.createDataFrame(rows, "template int, base boolean, label string, wording array<string>, at int, gram long")
+            pairs = [" ".join(w[i : i + 2]) for i in range(len(w) - 1)]
+            telling = [] if base else [pairs.index(p) for p in TELLING.get(label, [])]
+            other = OTHER.get(label, []) if base else []
+            rows += [(number, base, label, w, telling, other, i, int(g)) for i, g in enumerate(_runs(hashes))]
+    return spark.createDataFrame(rows, "template int, base boolean, label string, wording array<string>, telling array<int>, other array<string>, at int, gram long")
 
 
 def license_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, base, label, cover, first_word, last_word``: one row per verified span.
+    """``doc_id, text_hash, base, label, cover, first_word, last_word, other``: one row per verified span.
 
     ``cover`` is the share of the template's word pairs that the span holds, and the
-    words are its first and last in the document. A phrase's span is one place.
+    words are its first and last in the document. A phrase's span is one place; ``other``
+    says that the word before makes it another license's name.
     """
     text = F.coalesce("text", F.lit(""))
     src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
@@ -97,11 +105,12 @@ def license_spans(docs: DataFrame) -> DataFrame:
     spans = cut(spans.where(covered(F.col("held")) >= enough))
     named = src.join(spans.select("doc_id", "text_hash").distinct(), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
     named = named.select("doc_id", "text_hash", words(F.col("text")).alias("words"))
-    near = spans.join(named, ["doc_id", "text_hash"]).join(templates.select("template", "label", "wording").distinct(), "template")
+    near = spans.join(named, ["doc_id", "text_hash"]).join(templates.select("template", "label", "wording", "telling", F.col("other").alias("others")).distinct(), "template")
     same = lambda p, j: F.get("words", p["place"] + j) == F.get("wording", p["at"] + j)
     near = near.withColumn("held", F.filter("held", lambda p: same(p, 0) & same(p, 1))).where(F.size("held") > 0)
+    near = near.where(F.size(F.array_except("telling", F.transform("held", lambda p: p["at"]))) == 0)
     places = F.transform("held", lambda p: p["place"])
-    out = near.select("doc_id", "text_hash", "base", "label", covered(F.col("held")).alias("cover"), F.array_min(places).cast("long").alias("first_word"), (F.array_max(places) + 1).cast("long").alias("last_word"), "length")
+    out = near.select("doc_id", "text_hash", "base", "label", covered(F.col("held")).alias("cover"), F.array_min(places).cast("long").alias("first_word"), (F.array_max(places) + 1).cast("long").alias("last_word"), "length", F.coalesce(F.array_contains("others", F.get("words", F.array_min(places) - 1)), F.lit(False)).alias("other"))
     return out.where(F.col("cover") >= enough).drop("length")
 
 
@@ -115,7 +124,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """
     s = license_spans(docs)
     place = F.col("base") & (F.col("cover") == 1)
-    named = F.when((F.col("base") & (F.col("cover") == 1)) | (~F.col("base") & (F.col("cover") >= COVER)), F.col("label"))
+    named = F.when((F.col("base") & (F.col("cover") == 1) & ~F.col("other")) | (~F.col("base") & (F.col("cover") >= COVER)), F.col("label"))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     found = s.groupBy("doc_id", "text_hash").agg(
         F.count(F.when(place, 1)).alias("n_base"), F.min(F.when(place, F.col("first_word"))).alias("first_word"), F.max(F.when(place, F.col("first_word"))).alias("last_word"),
