@@ -181,11 +181,11 @@ def _score(weights: np.ndarray, n_train: int, total: int, vocabulary: int, held:
     return run
 
 
-def score_texts(docs: DataFrame, folds: int = 7, held: int = 2, learn: int = 0) -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
-    A row trains unless crc32(doc_id as text) mod ``folds`` is ``held``; training rows of
-    remainder ``learn`` are those whose tokens teach the weights. Null texts count as
+    A row trains unless crc32(doc_id as text) mod ``folds`` is ``held``; the tokens of all
+    training rows teach the weights. Null texts count as
     empty (one token, the end); a null doc_id as the empty string. Repeated rows each
     count and are each scored. Without training rows every token has the same
     probability. An empty table gives no row. Other columns are ignored.
@@ -210,8 +210,8 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2, learn: int = 0)
     vocabulary, total, n_train = (int(x or 0) for x in got)
     weights = np.tile([0.4, 0.4, 0.2], (BUCKETS, 1))
     weights[0] = 0, 0.8, 0.2  # nothing follows a word that was never seen
-    lessons = counted.where(F.col("fold") == learn).select("words", "pairs") if learn != held else None
-    for _ in range(ROUNDS if lessons is not None and total > 1 else 0):
+    lessons = counted.where(trains).select("words", "pairs")
+    for _ in range(ROUNDS if total > 1 else 0):
         sums = lessons.mapInArrow(_expectation(weights, n_train, total, vocabulary), "bucket int, component int, share double")
         shares = np.full((BUCKETS, 3), 1e-3)
         for r in sums.groupBy("bucket", "component").agg(F.sum("share").alias("share")).collect():  # 3 numbers a bucket

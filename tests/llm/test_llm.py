@@ -118,6 +118,17 @@ def test_lm_base_and_held_out(spark):
         assert got[i]["score"] < 0
 
 
+def test_lm_learns_from_all_training_rows(spark, monkeypatch):
+    import zlib
+
+    ids = [i for i in range(80) if zlib.crc32(str(i).encode()) % 7 not in (0, 2)][:40]
+    table = docs(spark, [(i, "a b c d " * 8) for i in ids])
+    learned = by_id(lm.score_texts(table))
+    monkeypatch.setattr(lm, "ROUNDS", 0)
+    start = by_id(lm.score_texts(table))
+    assert all(learned[i]["score"] > start[i]["score"] + 1 for i in ids)
+
+
 def test_bpe_equals_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     path = f"{TOKENIZERS}/word_bpe_49k.json"
