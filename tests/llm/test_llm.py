@@ -66,6 +66,15 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == {i: (len(sets[i]), root[i]) for i in sets}
 
 
+def test_pipeline_near_dedup_decides_by_row(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    table = docs(spark, [(1, a), (2, a + " z"), (2, b), (3, c), (3, c), (None, c + " z"), (None, "no other"), (None, ""), (None, None), (5, ""), (6, "")])
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each(spark, table, "").collect()), key=repr)
+    assert got == sorted([(1, a), (2, b), (3, c), (None, "no other"), (None, ""), (None, None), (5, ""), (6, "")], key=repr)
+
+
 def test_line_dedup(spark):
     run = "\n".join(" ".join(f"r{i}_{j}" for j in range(30)) for i in range(3))
     got = by_id(line_dedup.dedup_lines(docs(spark, [(1, "one\n" + run + "\ntwo"), (2, "three\n" + run + "\nfour"), (3, None), (4, "short\nshort"), (5, "")])))
