@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fieldjobs.functions import bins, keys, solar
 from fieldjobs.operators import compare, geometry, intervals, joins, metrics, model, pixels, profile, ranks, raster, splits, stats
@@ -99,6 +99,14 @@ def named_models(t):
     return compare.aggregate_results(per, names, ["r2", "mae"])
 
 
+@query(f"SELECT model, coalesce(v.rank, 9999)::INTEGER AS rank, row_number() OVER (ORDER BY coalesce(v.rank, 9999), model)::INTEGER AS position FROM (SELECT DISTINCT model FROM {LINE}) LEFT JOIN {NAMES_SQL} USING (model)")
+def models_in_order(t):
+    models = _line(t).select("model").distinct()
+    names = models.sparkSession.createDataFrame(NAMES, "model string, display_name string, family string, rank int")
+    ranked = models.join(F.broadcast(names), "model", "left").select("model", F.coalesce("rank", F.lit(9999)).alias("rank"))
+    return ranked.withColumn("position", F.row_number().over(Window.orderBy("rank", "model")))  # one row a model
+
+
 @query(f"SELECT fold::VARCHAR AS fold, r2, mae FROM (SELECT fold, {R2}, avg(abs(predicted - actual)) AS mae FROM {LINE} GROUP BY fold) UNION ALL SELECT 'mean', avg(r2), avg(mae) FROM (SELECT fold, {R2}, avg(abs(predicted - actual)) AS mae FROM {LINE} GROUP BY fold) UNION ALL SELECT 'std', stddev_samp(r2), stddev_samp(mae) FROM (SELECT fold, {R2}, avg(abs(predicted - actual)) AS mae FROM {LINE} GROUP BY fold)", ("r2", "mae"))
 def summary_rows(t):
     return metrics.summary_table(metrics.regression_metrics(_line(t), "fold"), "fold", ["r2", "mae"])

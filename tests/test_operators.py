@@ -172,3 +172,11 @@ def test_agreement_table_takes_all_raters(spark):
     lines = spark.createDataFrame([(o, n, float((o * 7 + n * n * 3) % 11), float(o % 13)) for o in range(30) for n in range(1, 8)], "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double")
     got = [r["what"] for r in queries.agreement_table(lambda t: {"lineitem": lines}[t]).collect()]
     assert sorted(got) == sorted([f"{a}-{b}" for a in range(1, 8) for b in range(a + 1, 8)] + [f"model-{a}" for a in range(1, 8)] + ["rater-rater", "model-rater", "difference"])
+
+
+def test_models_in_order_puts_unknown_last(spark):
+    from fieldjobs.plans import queries
+
+    lines = spark.createDataFrame([(1, 1, 1, i, status, flag, dt.date(2024, 1, 1), 1.0, 1.0, 0.0, 0.0) for i, (status, flag) in enumerate(["AA", "OA", "FN", "FA", "FN"])],
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_linestatus string, l_returnflag string, l_shipdate date, l_quantity double, l_extendedprice double, l_discount double, l_tax double")
+    assert rows(queries.models_in_order(lambda t: {"lineitem": lines}[t])) == [("AA", 9999, 4), ("FA", 1, 1), ("FN", 2, 2), ("OA", 3, 3)]
