@@ -1,11 +1,14 @@
-"""Repeated passages, by winnowing over word hashes.
-
-A window is a run of ``min_words`` words; its smallest hash of half as many words is its
-fingerprint, so equal windows have equal fingerprints wherever they stand in a line.
-Fingerprints found at one place only are set aside; every window that has another one is
-then compared in full, by 128 bits, with all others. A window is deleted where an earlier
-place (by doc_id, then text hash, then character) holds the same words, so all of a
-repeated passage goes but its earliest place.
+"""Repeated passages, by winnowing.
+
+A line here is any run of ``LINE`` words, since passages start and end inside the lines
+that line breaks make. Of the lines of each window of ``min_words`` words the one with the
+smallest hash is its fingerprint, so equal windows have equal fingerprints wherever they
+stand, and a text has few fingerprints. The fingerprints' positions are joined over all
+texts; those found at one place only end there. Around the others every window that the
+fingerprint stands for is compared with the same windows elsewhere, by the fingerprint and
+a hash of all its words, which extends a match both ways as far as whole windows agree. A
+window is deleted where an earlier place (by doc_id, then text, then word) holds the same
+words, so all of a repeated passage goes but its earliest place.
 """
 
 from __future__ import annotations
@@ -17,128 +20,149 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType
 
+from fieldjobs.llm.bpe import groups
 from fieldjobs.llm.recovery import cut
-from fieldjobs.llm.words import BASE, INVERSE, SPACE_WORDS, find_words, mix, text_bytes
+from fieldjobs.llm.words import SPACE_WORDS, find_words, mix, sequence_hashes, text_bytes
 
 MIN_WORDS = 50
-#: Bytes of text hashed at a time; only a longer text makes a larger part.
+#: Words of a line; at most ``min_words``.
+LINE = 10
+#: Bytes of text hashed at a time, about; only a longer text makes a larger part.
 PART = 1 << 22
+#: Low bits of a place, the number of its first word; above them the low bits of its text's hash.
+WORD_BITS = 31
 _U = np.uint64
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        _, at = text_bytes(batch.column("text"))
-        begin = 0
-        while begin < len(batch):
-            end = max(begin + 1, int(np.searchsorted(at, at[begin] + PART, side="right")) - 1)
-            yield batch.slice(begin, end - begin)
-            begin = end
-
-
-def _grams(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k words, read off prefix sums."""
-    n = len(h)
-    if n < k:
-        return np.zeros(0, _U)
-    power, inverse = np.full(n + 1, BASE, _U), np.full(n + 1, INVERSE, _U)
-    power[0] = inverse[0] = 1
-    sums = np.zeros(n + 1, _U)
-    np.cumsum(h * np.cumprod(power, dtype=_U)[:n], dtype=_U, out=sums[1:])
-    return mix((sums[k:] - sums[:-k]) * np.cumprod(inverse, dtype=_U)[: n - k + 1])
-
-
-def _windows(texts: pa.Array, min_words: int):
-    """Bytes, text offsets, word hashes, starts and ends, and of each window its first word, text and fingerprint."""
-    data, at = text_bytes(texts)
-    h, starts, lengths = find_words(data, at, SPACE_WORDS, fold=False)
-    words = np.searchsorted(starts, at)
-    first = np.arange(max(len(h) - min_words + 1, 0))
-    text = np.searchsorted(words, first, side="right") - 1
-    k = (min_words + 1) // 2
-    least, span, held = _grams(h, k), min_words - k + 1, 1
-    while held < span and len(least):
-        step = min(held, span - held)
-        least = np.minimum(least[:-step], least[step:]) if len(least) > step else least[:0]
+def _over(x: np.ndarray, n: int, pick) -> np.ndarray:
+    """The smallest or largest (``pick``) of each n numbers in a row."""
+    held = 1
+    while held < n and len(x):
+        step = min(held, n - held)
+        x = pick(x[:-step], x[step:]) if len(x) > step else x[:0]
         held += step
-    whole = first + min_words <= words[text + 1]
-    return data, at, h, starts, first[whole], text[whole], least[: len(first)][whole]
+    return x
+
+
+class _Words:
+    """The words of some texts, their lines' hashes, and of each whole window its first word, text and fingerprint."""
+
+    def __init__(self, texts: pa.Array, min_words: int):
+        self.data, self.at = text_bytes(texts)
+        self.h, self.starts, _ = find_words(self.data, self.at, SPACE_WORDS, fold=False)
+        words = np.searchsorted(self.starts, self.at)
+        line = min(LINE, min_words)
+        self.lines = sequence_hashes(self.h, line)
+        self.span = min_words - line + 1  # lines of a window
+        first = np.arange(max(len(self.h) - min_words + 1, 0))
+        text = np.searchsorted(words, first, side="right") - 1
+        whole = first + min_words <= words[text + 1]
+        self.first, self.text = first[whole], text[whole]
+        self.least = _over(self.lines, self.span, np.minimum)[: len(first)][whole]
+        self.n_texts = len(self.at) - 1
+
+    def selected(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and text of each line that is a fingerprint, once for each place."""
+        most = np.zeros(len(self.lines) + 2 * self.span, _U)  # a line is one if the largest of its windows' least is its own hash
+        most[self.first + self.span - 1] = self.least
+        most = _over(most, self.span, np.maximum)[: len(self.lines)]
+        taken = np.flatnonzero((most == self.lines) & (most > 0))
+        text = np.searchsorted(self.starts[taken], self.at, side="left")
+        return self.lines[taken], np.diff(text)
 
 
 def _prints(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches):
-            _, at, _, _, first, text, least = _windows(batch.column("text"), min_words)
-            new = np.ones(len(first), bool)
-            new[1:] = (text[1:] != text[:-1]) | (least[1:] != least[:-1])
-            # equal fingerprints of more windows than can share one place count again
-            since = np.arange(len(first)) - np.maximum.accumulate(np.where(new, np.arange(len(first)), 0))
-            taken = since % (min_words - (min_words + 1) // 2 + 1) == 0
-            sizes = np.bincount(text[taken], minlength=len(batch))
-            prints = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(least[taken].view(np.int64)))
-            long = np.bincount(text, minlength=len(batch)) > 0
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(np.diff(at)), pa.array(long), prints], ["doc_id", "text_hash", "bytes", "long", "prints"])
+        for batch in batches:
+            for part in groups(batch.column("text"), PART):
+                w = _Words(batch.column("text")[part], min_words)
+                prints, sizes = w.selected()
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(prints.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part], batch.column("text_hash")[part], pa.array(np.diff(w.at)), lists], ["doc_id", "text_hash", "bytes", "prints"])
 
     return run
 
 
-def _places(min_words: int):
+def _windows(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches):
-            data, at, h, starts, first, text, least = _windows(batch.column("text"), min_words)
-            prints = batch.column("prints")
-            sizes = np.diff(prints.offsets.to_numpy())
-            wanted = np.zeros(len(first), bool)
-            flat, ends, bounds = prints.flatten().to_numpy().view(_U), np.cumsum(sizes), np.searchsorted(text, np.arange(len(batch) + 1))
-            for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-                wanted[a:b] = np.isin(least[a:b], flat[ends[i] - sizes[i] : ends[i]])
-            first, text = first[wanted], text[wanted]
-            chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            last = np.minimum(np.append(starts, len(data))[first + min_words], at[text + 1])
-            begin, end = chars[starts[first]] - chars[at[text]], chars[last] - chars[at[text]]
-            one, two = (_grams(x, min_words)[first].view(np.int64) if len(first) else np.zeros(0, np.int64) for x in (h, mix(h ^ _U(0xA5A5A5A55A5A5A5A))))
-            which = pa.array(text)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(which), batch.column("text_hash").take(which), pa.array(one), pa.array(two), pa.array(begin, pa.int32()), pa.array(end, pa.int32())], ["doc_id", "text_hash", "one", "two", "begin", "end"])
+        for batch in batches:
+            for part in groups(batch.column("text"), PART):
+                some = batch.slice(part.start, part.stop - part.start)
+                w = _Words(some.column("text"), min_words)
+                prints = some.column("prints")
+                # a text and one of its fingerprints, as one number
+                key = lambda text, least: mix(least + mix(text.astype(_U)))
+                sizes = np.diff(prints.offsets.to_numpy())
+                again = np.isin(key(w.text, w.least), key(np.repeat(np.arange(w.n_texts), sizes), np.asarray(prints.flatten()).view(_U)))
+                first, text = w.first[again], w.text[again]
+                # the hash of a window's words: ten by ten, then all that
+                line = min(LINE, min_words)
+                parts = [*range(0, min_words - line, line), min_words - line]
+                check = np.zeros(len(first), _U)
+                for p in parts:
+                    check = mix(check + w.lines[first + p] + _U(0x632BE59BD9B4E019))
+                begin = first - np.searchsorted(w.starts, w.at)[text]
+                place = (np.asarray(some.column("text_hash"))[text] & (2**32 - 1)) << WORD_BITS | begin
+                yield pa.RecordBatch.from_arrays([pa.array(w.least[again].view(np.int64)), pa.array(check.view(np.int64)), some.column("doc_id").take(pa.array(text)), pa.array(place)], ["print", "check", "doc_id", "place"])
 
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        gone = []
-        for spans in batch.column("spans").to_pylist():
-            out: list[dict] = []
-            for s in sorted(spans, key=lambda s: s["begin"]):
-                if out and s["begin"] <= out[-1]["end"]:
-                    out[-1]["end"] = max(out[-1]["end"], s["end"])
-                else:
-                    out.append(s)
-            gone.append(out)
-        kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(gone, kind)], ["doc_id", "text_hash", "gone"])
+def _tag(text_hash):
+    return F.shiftleft(F.col(text_hash).bitwiseAND(F.lit(2**32 - 1)), WORD_BITS)
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, text_hash, gone``: the spans of characters (from 0, end not included) to delete, for documents that lose any."""
+def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``doc_id, tag, begins, copy``: the first words of the windows to delete, for texts that lose any; ``copy``: all of the text goes."""
     text = F.coalesce("text", F.lit(""))
     src = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    document = ["doc_id", "text_hash"]
-    printed = cut(src.mapInArrow(_prints(min_words), "doc_id long, text_hash long, bytes long, long boolean, prints array<long>").where("long"))
-    # later copies of a whole text go as one span
-    first = cut(printed.groupBy("text_hash", "bytes").agg(F.min("doc_id").alias("doc_id")))
-    copies = printed.select("doc_id", "text_hash", "bytes").join(first.withColumnRenamed("doc_id", "head"), ["text_hash", "bytes"]).where("doc_id > head").select(*document).distinct()
-    prints = printed.join(first, ["doc_id", "text_hash", "bytes"], "left_semi").select(*document, F.explode("prints").alias("print"))
+    printed = cut(src.mapInArrow(_prints(min_words), "doc_id long, text_hash long, bytes long, prints array<long>").where(F.size("prints") > 0))
+    # later copies of a whole text go as one
+    first = printed.groupBy("text_hash", "bytes").agg(F.min("doc_id").alias("head"), F.count("*").alias("n"))
+    first = cut(first)
+    copies = printed.select("doc_id", "text_hash", "bytes").join(first.where("n > 1"), ["text_hash", "bytes"]).where("doc_id > head").select("doc_id", _tag("text_hash").alias("tag")).distinct()
+    one_each = printed.join(first, (printed["text_hash"] == first["text_hash"]) & (printed["bytes"] == first["bytes"]) & (printed["doc_id"] == first["head"]), "left_semi")
+    # within this step a text is known by its hash alone: two that share it are given each other's fingerprints, which costs a little work
+    prints = one_each.select("text_hash", F.explode("prints").alias("print"))
     again = prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
-    hot = cut(prints.join(again, "print").groupBy(*document).agg(F.collect_set("print").alias("prints")))
-    windows = cut(src.join(hot, document).mapInArrow(_places(min_words), "doc_id long, text_hash long, one long, two long, begin int, end int"))
-    head = F.min(F.struct("doc_id", "text_hash", "begin", "end")).alias("head")
-    heads = windows.groupBy("one", "two").agg(head, F.count("*").alias("n")).where("n > 1").select("one", "two", "head")
-    same = (F.col("doc_id") == F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))
-    later = windows.join(heads, ["one", "two"]).where(~same | (F.col("begin") >= F.col("head.end")))
-    spans = later.groupBy(*document).agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-    gone = spans.mapInArrow(_merge, "doc_id long, text_hash long, gone array<struct<begin: int, end: int>>")
-    whole = F.array(F.struct(F.lit(0).alias("begin"), F.lit(2**31 - 1).alias("end")))
-    return gone.union(copies.withColumn("gone", whole))
+    hot = prints.join(again, "print").groupBy("text_hash").agg(F.collect_set("print").alias("prints"))
+    hot = cut(hot)
+    heads = one_each.select("doc_id", "text_hash").distinct()
+    asked = heads.join(hot, "text_hash")
+    windows = cut(src.join(asked, ["doc_id", "text_hash"]).mapInArrow(_windows(min_words), "print long, check long, doc_id long, place long"))
+    earliest = windows.groupBy("print", "check").agg(F.min(F.struct("doc_id", "place")).alias("head"), F.count("*").alias("n")).where("n > 1").select("print", "check", "head")
+    word = lambda c: F.col(c).bitwiseAND(F.lit(2**WORD_BITS - 1))
+    tag = lambda c: F.col(c).bitwiseAND(F.lit(~(2**WORD_BITS - 1)))
+    same = (F.col("doc_id") == F.col("head.doc_id")) & (tag("place") == tag("head.place"))
+    later = windows.join(earliest, ["print", "check"]).where(~same | (word("place") >= word("head.place") + min_words))
+    begins = later.select("doc_id", tag("place").alias("tag"), word("place").cast("int").alias("begin")).groupBy("doc_id", "tag").agg(F.collect_set("begin").alias("begins"))
+    return begins.withColumn("copy", F.lit(False)).union(copies.select("doc_id", "tag", F.array().cast("array<int>"), F.lit(True)))
+
+
+def _spans(min_words: int):
+    """Of each text, the spans of characters of the windows that begin at these words, with the white space behind them."""
+
+    @F.arrow_udf("array<struct<begin: int, end: int>>")
+    def spans(text: pa.Array, begins: pa.Array, copy: pa.Array) -> pa.Array:
+        out = []
+        for t, first, whole in zip(text.to_pylist(), begins.to_pylist(), copy.to_pylist()):
+            if whole:
+                out.append([{"begin": 0, "end": len(t)}])
+                continue
+            if not first:
+                out.append([])
+                continue
+            data, at = text_bytes(pa.array([t]))
+            _, starts, _ = find_words(data, at, SPACE_WORDS, fold=False)
+            b = np.sort(np.array(first))
+            new = np.concatenate([[True], b[1:] > b[:-1] + min_words])
+            chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+            begin = chars[starts[b[new]]]
+            end = chars[np.append(starts, len(data))[b[np.append(np.flatnonzero(new)[1:] - 1, len(b) - 1)] + min_words]]
+            out.append([{"begin": x, "end": y} for x, y in zip(begin.tolist(), end.tolist())])
+        return pa.array(out, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))
+
+    return spans
 
 
 @F.arrow_udf(StringType())
@@ -146,18 +170,20 @@ def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
     """Of the white space before and behind a passage that goes, one stays; the one with a line break, if only one has any."""
     out = []
     for t, spans in zip(text.to_pylist(), gone.to_pylist()):
-        if spans is None or t is None:
+        if not spans:
             out.append(t)
             continue
-        kept, at = "", 0
+        kept, at = [], 0
+        space = " \t\n\v\f\r"
         for s in spans:
-            kept += t[at : s["begin"]]
+            kept.append(t[at : s["begin"]])
             at = s["end"]
             cut_out = t[s["begin"] : at]
-            bare, behind = kept.rstrip(" \t\n\v\f\r"), cut_out[len(cut_out.rstrip(" \t\n\v\f\r")) :]
-            if at >= len(t) or ("\n" in behind and "\n" not in kept[len(bare) :] and bare):
-                kept = bare + behind
-        out.append(kept + t[at:])
+            behind = cut_out[len(cut_out.rstrip(space)) :]
+            bare = kept[-1].rstrip(space)
+            if at >= len(t) or ("\n" in behind and "\n" not in kept[-1][len(bare) :] and (bare or len(kept) > 1)):
+                kept[-1] = bare + behind
+        out.append("".join(kept) + t[at:])
     return pa.array(out, pa.string())
 
 
@@ -169,14 +195,24 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     space behind them. Nothing under ``min_words`` words in a row is ever deleted, nor a
     passage that overlaps its own earlier place. Null texts stay null and empty ones
     empty, rows with a null doc_id stay as they are, and repeated rows (same doc_id and
-    text) count as one document and all stay. All other columns are carried along.
+    text) count as one document and all stay. All other columns are carried along,
+    whatever their names; columns ``n_lines`` and ``gone`` of ``docs`` give way to the new
+    ones. An empty table gives no row.
     """
-    gone = repeated_spans(docs, min_words).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = keyed.join(gone, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_key") == F.col("_hash")), "left")
-    size = F.char_length("text")
-    spans = F.transform("_gone", lambda s: F.struct(s["begin"].alias("begin"), F.least(s["end"], size).alias("end")))
-    out = out.withColumn("_lines", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")).withColumn("_gone", spans)
-    out = out.withColumn("_left", _without(F.when(F.col("_gone").isNotNull(), F.col("text")), F.col("_gone"))).withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.col("_left")))
-    kept = [F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns if c not in ("n_lines", "gone")]
-    return out.select(*kept, F.col("_lines").alias("n_lines"), F.coalesce("_gone", F.array().cast("array<struct<begin: int, end: int>>")).alias("gone"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    col = dict(zip(docs.columns, names))
+    gone = repeated_windows(docs.select("doc_id", "text"), min_words)
+    text = F.coalesce(F.col(col["text"]), F.lit(""))
+    keyed = docs.toDF(*names).withColumn("id", F.col(col["doc_id"]).cast("long")).withColumn("mark", F.shiftleft(F.xxhash64(text).bitwiseAND(F.lit(2**32 - 1)), WORD_BITS))
+    out = keyed.join(gone, (F.col("id") == F.col("doc_id")) & (F.col("mark") == F.col("tag")), "left")
+    loses = F.col("tag").isNotNull()
+    none = F.array().cast("array<struct<begin: int, end: int>>")
+    out = out.withColumn("spans", _spans(min_words)(F.when(loses, text), F.col("begins"), F.coalesce("copy", F.lit(False))))
+    out = out.withColumn("left", _without(F.when(loses, text), F.col("spans")))
+    new = F.when(loses, F.col("left")).otherwise(F.col(col["text"]))
+    kept = {"text": new, "n_chars": F.char_length(new).cast("long")}
+    lines = F.coalesce(F.size(F.split(F.col(col["text"]), "\n", -1)), F.lit(0)).cast("long")
+    return out.select(
+        *(kept.get(c, F.col(n)).alias(c) for c, n in col.items() if c not in ("n_lines", "gone")),
+        lines.alias("n_lines"), F.when(loses, F.col("spans")).otherwise(none).alias("gone"),
+    )

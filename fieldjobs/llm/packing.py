@@ -12,99 +12,131 @@ third of all pieces share is spread over tasks.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fieldjobs.llm.bpe import byte_alphabet
+from fieldjobs.llm.bpe import SPACE, Merges, byte_alphabet, character_classes, expanded, groups, ranges
 from fieldjobs.llm.recovery import cut
-from fieldjobs.llm.words import find_words, mix, text_bytes
+from fieldjobs.llm.words import hash_words, numbered, text_bytes
 
 CAPACITY = 1024
 END_ID = 2
-#: How a byte-level vocabulary's text is cut before merging.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BETWEEN_SPACES = np.arange(256) != 0x20
 
 
-class _Encoder:
-    """Ids of whole batches. Runs of characters between single spaces are told apart by hash and encoded once per batch."""
-
-    def __init__(self, path: str):
-        self.core, self.special = _core(path)
-
-    def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.core.encode_to_tiktoken_buffer(text, self.special), np.uint32)
-
-    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+class Encoder:
+    """Ids of whole batches under a byte-level vocabulary. Runs of characters between single spaces are encoded once per batch."""
+
+    def __init__(self, path: str, classes: tuple[list[int], list[int]]):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        byte = {c: b for b, c in enumerate(byte_alphabet())}
+        symbols = lambda t: tuple(byte[c] for c in t)
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.specials = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
+        self.merges = Merges({symbols(t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}, [(symbols(a), symbols(b)) for a, b in spec["model"]["merges"]])
+        self.classes = np.repeat(np.array(classes[1], np.uint8), classes[0]) & 3
+
+    def runs(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts that lie end to end from the offsets ``at`` (none empty), and the offsets of each one's."""
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        place = np.append(np.flatnonzero(data & 0xC0 != 0x80), len(data))
+        kind = self.classes[points]
+        new = np.zeros(len(points) + 1, bool)  # a text's first character
+        new[np.searchsorted(place, at)] = True
+        before = np.concatenate([[SPACE], kind[:-1]])
+        open_, end = kind != SPACE, np.append(kind[1:], SPACE)  # and the kind behind
+        start = open_ & ((kind != before) | new[:-1])
+        # an apostrophe that opens a run of marks takes one of these endings along, but not behind a space
+        behind_space = np.concatenate([[False], points[:-1] == 0x20]) & ~new[:-1]
+        q = np.flatnonzero(start & (points == ord("'")) & ~behind_space)
+        one, two = (np.concatenate([points, [0, 0]])[q + i] for i in (1, 2))
+        apart = np.concatenate([new, [True, True]])
+        short = np.isin(one, [ord(c) for c in "stmd"]) & ~apart[q + 1]
+        pair = np.isin(one << 8 | two, [ord(a) << 8 | ord(b) for a, b in ("re", "ve", "ll")]) & (two < 256) & ~apart[q + 1] & ~apart[q + 2]
+        start[q[short | pair] + 1] = False
+        after = np.concatenate([q[short] + 2, q[pair] + 3])
+        after = after[after < len(points)]
+        start[after] |= open_[after]
+        # a space right before other characters belongs to them; of other white space before them the last stands alone
+        last = ~open_ & (end != SPACE) & ~new[1:]
+        joined = np.flatnonzero(last & (points == 0x20))
+        start[joined + 1] = False
+        start |= last | (~open_ & ((before != SPACE) | new[:-1]))
+        first = np.flatnonzero(start)
+        begins = place[first]
+        ids, counts = self.merges.encode(data, begins, np.append(begins[1:], len(data)), False)
+        return ids, np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(begins, at)]
+
+    def _with_special(self, text: str) -> np.ndarray:
+        parts, begin = [np.zeros(0, np.int64)], 0
+        for m in [*self.specials.finditer(text), None]:
+            part = np.frombuffer(text[begin : m.start() if m else len(text)].encode(), np.uint8)
+            if len(part):
+                parts.append(self.runs(part, np.array([0, len(part)]))[0])
+            if m:
+                parts.append(np.array([self.special[m[0]]]))
+                begin = m.end()
+        return np.concatenate(parts)
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the offsets of each text's."""
-        # only runs of spaces are cut with a look ahead across a space, so texts that have some are encoded whole
-        odd = np.array(["  " in t or t[:1] == " " or t[-1:] == " " for t in texts], bool)
-        data, at = text_bytes(pa.array(["" if x else t for x, t in zip(odd, texts)], pa.large_string()))
-        h, start, length = find_words(data, at, BETWEEN_SPACES, fold=False)
-        first = np.isin(start, at, assume_unique=False)
-        h[first] = mix(h[first])  # a text's first run has no space before it
-        _, one, which = np.unique(h, return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        made = [self.encode(("" if f else " ") + raw[a : a + n].decode()) for a, n, f in zip(start[one].tolist(), length[one].tolist(), first[one].tolist())]
-        sizes = np.array([len(m) for m in made], np.int64)
-        begins = np.cumsum(sizes) - sizes
-        pool = np.concatenate(made) if made else np.zeros(0, np.uint32)
-        counts = sizes[which]
-        ends = np.cumsum(counts)
-        ids = pool[np.repeat(begins[which] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
-        per_text = np.concatenate([[0], ends])[np.searchsorted(start, at)]
-        if not odd.any():
-            return ids, per_text
-        parts = [self.encode(t) if x else ids[per_text[i] : per_text[i + 1]] for i, (x, t) in enumerate(zip(odd, texts))]
-        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-
-
-def _core(path: str):
-    """The byte-level vocabulary of a tokenizers file, for the faster of the two encoders (the ids are the same)."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    letter = {c: b for b, c in enumerate(byte_alphabet())}
-    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    ranks = {bytes([letter[c] for c in token]): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)._core_bpe, set(special)
-
-
-_LOADED: dict[str, _Encoder] = {}
-#: Characters of text encoded at a time.
-AT_ONCE = 6_000_000
-
-
-def _groups(texts: list[str]) -> Iterator[slice]:
-    begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= AT_ONCE or i == len(texts) - 1:
-            yield slice(begin, i + 1)
-            begin, size = i + 1, 0
-
-
-def _pieces(path: str, capacity: int):
+        data, at = text_bytes(texts)
+        whole = np.array([bool(t) and (t[0] == " " or t[-1] == " " or "  " in t or self.specials.search(t) is not None) for t in texts.to_pylist()], bool)
+        # of the other texts, what stands between single spaces can be encoded apart: a space goes with what follows it
+        space = data == 0x20
+        space[ranges(at[:-1][whole], np.diff(at)[whole])] = False
+        first = at[:-1][np.diff(at) > 0]
+        cut = space.copy()
+        cut[first] = True
+        start = np.flatnonzero(cut)
+        length = np.diff(np.append(start, len(data)))
+        one, which = numbered(data, start, length, hash_words(data, start, length))
+        runs = data[ranges(start[one], length[one])]
+        if any(s.encode() in runs.tobytes() for s in self.special):
+            odd = {i: self._with_special(data[a : a + n].tobytes().decode()) for i, (a, n) in enumerate(zip(start[one].tolist(), length[one].tolist())) if self.specials.search(data[a : a + n].tobytes().decode())}
+            plain = np.array([i for i in range(len(one)) if i not in odd], np.int64)
+            made, ends = self.runs(data[ranges(start[one][plain], length[one][plain])], np.concatenate([[0], np.cumsum(length[one][plain])])) if len(plain) else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+            parts = {**odd, **{int(i): made[a:b] for i, a, b in zip(plain, ends, ends[1:])}}
+            pool, ends = np.concatenate([parts[i] for i in range(len(one))]), np.concatenate([[0], np.cumsum([len(parts[i]) for i in range(len(one))])])
+        elif len(one):
+            pool, ends = self.runs(runs, np.concatenate([[0], np.cumsum(length[one])]))
+        else:
+            pool, ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        ids, offsets = expanded(pool, ends, which)
+        return ids, offsets[np.searchsorted(start, at)]
+
+
+_LOADED: dict[str, Encoder] = {}
+#: Bytes of text encoded at a time, about.
+AT_ONCE = 12_000_000
+
+
+def _pieces(path: str, classes: tuple[list[int], list[int]], capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _LOADED:
-            _LOADED[path] = _Encoder(path)
+            _LOADED[path] = Encoder(path, classes)
         encoder = _LOADED[path]
         for batch in batches:
-            texts, names = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for part in _groups(texts):
-                all_ids, at = encoder.batch(texts[part])
-                out: list[tuple] = []
-                for doc_id, a, b in zip(names[part], at[:-1].tolist(), at[1:].tolist()):
-                    ids = all_ids[a:b].astype("<u4").tobytes() + END_ID.to_bytes(4, "little")
-                    n = len(ids) // 4
-                    cuts = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
-                    out += [(doc_id, i, x, y - x, zlib.crc32(ids[4 * x : 4 * y])) for i, (x, y) in enumerate(zip(cuts, cuts[1:]))]
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for part in groups(batch.column("text"), AT_ONCE):
+                ids, at = encoder.batch(batch.column("text")[part])
+                n = np.diff(at) + 1
+                written = np.insert(ids, at[1:], END_ID).astype("<u4").tobytes()
+                pieces = -(-n // capacity)
+                row = np.repeat(np.arange(len(n)), pieces)
+                piece = ranges(np.zeros(len(n), np.int64), pieces)
+                head = ((n - 1) % capacity + 1)[row]  # the first piece may be short
+                start = np.where(piece == 0, 0, head + (piece - 1) * capacity)
+                length = np.where(piece == 0, head, capacity)
+                begin = 4 * ((at[:-1] + np.arange(len(n)))[row] + start)
+                view = memoryview(written)
+                crc = [zlib.crc32(view[a:b]) for a, b in zip(begin.tolist(), (begin + 4 * length).tolist())]
+                made = [pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part].take(pa.array(row)), *made], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
@@ -112,7 +144,7 @@ def _pieces(path: str, capacity: int):
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: each document's ids and an end id, cut so that only the first piece may be short."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return src.mapInArrow(_pieces(path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return src.mapInArrow(_pieces(path, character_classes(), capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

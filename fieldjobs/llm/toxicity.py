@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fieldjobs.llm.recovery import cut
+
 #: Labelled rows that the lexicon and the weights are learned from, at most about so many.
 TRAINING_ROWS = 40_000
 SHORTEST, LONGEST = 4, 12
@@ -237,19 +239,28 @@ def _choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean:
     return list(out)
 
 
+def _part(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """All rows, or where there are more than ``most``, about so many, taken by the key's hash."""
+    n = rows.count()
+    below = 1 << 62
+    return rows if n <= most else rows.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(below)) < max(1, below * most // n))
+
+
 def learn(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS) -> dict:
     """A model from labelled texts that are not held out: lexicon and logistic weights.
 
-    Uses ``labels(doc_id, toxic)`` with toxic 0 or 1 only. Texts that recur count once,
-    and where there are more than ``training_rows`` a part of them is taken by hash.
+    Uses ``labels(doc_id, toxic)`` with toxic 0 or 1 only. Texts that recur count once
+    (toxic if any label says so), and where there are more than ``training_rows`` a part
+    of about so many is taken by hash.
     """
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    known = known.where(~held_out(F.col("doc_id")))
-    n = known.count()
-    part = min(1.0, training_rows / max(n, 1))
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)))
-    train = rows.join(known, "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").cast("int").alias("toxic"), F.first("text").alias("text")).select("toxic", "text").persist()
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    known = _part(known.where(~held_out(F.col("doc_id"))), "doc_id", training_rows)
+    # about `training_rows` ids at most, so they are sent to the rows; the texts of only one row for each hash then move
+    marks = rows.join(F.broadcast(known), "doc_id").groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
+    marks = cut(_part(marks, "h", training_rows))
+    train = rows.join(F.broadcast(marks), ["doc_id", "h"]).dropDuplicates(["h"]).select("toxic", "text").persist()
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
     count = lambda df, among: {r["entry"]: r["n"] for r in df.select("text").mapInArrow(_count_beginnings(among), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n")).where(F.col("n") >= (max(4, SHARE * n_toxic) if among is None else 1)).collect()}
@@ -307,7 +318,7 @@ def _scored(model: str):
         weights = np.array(m["weights"])
         for batch in batches:
             score, n_hits, n_quoted = [], [], []
-            for text in batch.column("_text").to_pylist():
+            for text in batch.column(0).to_pylist():
                 found, _, quoted = matcher.hits(text)
                 names, values = _features(np.unique(2 * found + quoted))
                 logit = m["bias"] + float((weights[names] * values).sum())
@@ -315,17 +326,18 @@ def _scored(model: str):
                 n_hits.append(len(found))
                 n_quoted.append(int(quoted.sum()))
             made = [pa.array(score, pa.float64()), pa.array(n_hits, pa.int64()), pa.array(n_quoted, pa.int64())]
-            keep = [c for c in batch.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], [*keep, "_score", "_hits", "_quoted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], [*batch.schema.names[1:], "score", "n_hits", "n_quoted"])
 
     return run
 
 
 def score_rows(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with ``_score`` (0 to 1), ``_hits`` and ``_quoted`` added; null texts count as empty."""
-    src = docs.withColumn("_text", F.coalesce("text", F.lit("")))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return src.mapInArrow(_scored(json.dumps(model)), f"{kinds}, _score double, _hits long, _quoted long")
+    """The columns of ``docs`` under the names c0, c1 and so on, and ``score`` (0 to 1), ``n_hits`` and ``n_quoted``; null texts count as empty."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    src = docs.toDF(*names)
+    text = F.col(names[docs.columns.index("text")])
+    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields))
+    return src.select(F.coalesce(text, F.lit("")).alias("text"), *names).mapInArrow(_scored(json.dumps(model)), f"{kinds}, score double, n_hits long, n_quoted long")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
@@ -337,10 +349,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_R
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = score_rows(src, learn(src, labels, training_rows))
-    out = out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), F.col("_hits").alias("n_hits"), F.col("_quoted").alias("n_quoted"))
+    out = out.select(F.col("c0").alias("doc_id"), held_out(F.col("c0")).alias("held_out"), "score", "n_hits", "n_quoted")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
-    """The rows of ``docs`` scored under one half, with their own columns."""
-    return score_rows(docs, learn(docs, labels, training_rows)).where("_score < 0.5").select(*docs.columns)
+    """The rows of ``docs`` scored under one half, with their own columns, whatever their names."""
+    scored = score_rows(docs, learn(docs, labels, training_rows)).where("score < 0.5")
+    return scored.drop("score", "n_hits", "n_quoted").toDF(*docs.columns)

@@ -1,21 +1,21 @@
 """Vectorised word hashing over whole Arrow batches of texts.
 
-A word's hash is a polynomial over its bytes modulo 2^64, read off prefix sums, so
-a batch needs a handful of numpy passes and no loop over words or documents.
+A word is hashed by mixing its bytes eight at a time, all words of a batch together, so a
+batch needs a handful of numpy passes and no loop over words or documents; the few very
+long words are hashed one by one with blake2b.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
-#: Bytes hashed at a time; only a single word longer than this makes a longer slice.
-SLICE = 1 << 20
+#: Words of more bytes than this are hashed one by one.
+LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -42,24 +42,9 @@ def byte_class(word_bytes: str) -> np.ndarray:
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
-_PLAIN = mix(np.arange(1, 257, dtype=_U))
-_FOLDED = _PLAIN[LOWER]
 SPACE_WORDS, ALNUM_WORDS = byte_class("space"), byte_class("alnum")
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = SLICE * -(-n // SLICE)
-    if size not in _POWERS:
-        made = []
-        for base in (BASE, INVERSE):
-            p = np.full(size + 1, base, _U)
-            p[0] = 1
-            made.append(np.cumprod(p, dtype=_U))
-        if size > SLICE:
-            return tuple(made)
-        _POWERS[size] = tuple(made)
-    return _POWERS[size]
+#: The low bytes of a 64-bit number that 0 to 8 bytes of text fill.
+_FILLED = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,39 +60,74 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; zeros beyond the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def hash_words(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run of bytes; runs of up to eight bytes never share one."""
+    eights = _eights(data)
+    out = mix(lengths.astype(_U) + _U(seed))
+    todo = np.flatnonzero((lengths > 0) & (lengths <= LONG))
+    done = 0
+    while len(todo):
+        left = lengths[todo] - done
+        value = eights[starts[todo] + done] & _FILLED[np.minimum(left, 8)]
+        out[todo] = mix(out[todo] + value + _U(0x9E3779B97F4A7C15))
+        done += 8
+        todo = todo[left > 8]
+    for i in np.flatnonzero(lengths > LONG).tolist():
+        run = data[starts[i] : starts[i] + lengths[i]]
+        out[i] = int.from_bytes(hashlib.blake2b(run, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return out
+
+
 def find_words(data: np.ndarray, at: np.ndarray, is_word: np.ndarray = SPACE_WORDS, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and length of each word in texts that lie end to end from the offsets ``at``. fold: A-Z count as a-z."""
-    hashes, starts, lengths = [], [], []
-    begin, n = 0, len(data)
-    edge = np.zeros(n + 1, bool)
-    edge[at] = True
-    value = _FOLDED if fold else _PLAIN
-    while begin < n:
-        end = min(n, begin + SLICE)
-        while end < n:
-            gaps = np.flatnonzero(~is_word[data[begin:end]] | edge[begin:end])
-            if len(gaps) and gaps[-1] > 0:
-                end = begin + int(gaps[-1])
-                break
-            end = min(n, end + SLICE)
-        part = data[begin:end]
-        inside = is_word[part]
-        cut = edge[begin:end]
-        first = inside.copy()
-        first[1:] &= ~inside[:-1] | cut[1:]
-        last = inside.copy()
-        last[:-1] &= ~inside[1:] | cut[1:]
-        a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-        power, inverse = _powers(len(part) + 1)
-        sums = np.zeros(len(part) + 1, _U)
-        np.cumsum(value[part] * power[: len(part)], dtype=_U, out=sums[1:])
-        hashes.append(mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(_U)))
-        starts.append(a + begin)
-        lengths.append(b - a)
-        begin = end
-    if not hashes:
+    if not len(data):
         return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(starts), np.concatenate(lengths)
+    inside = is_word[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[at] = True
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1:-1]
+    last[:-1] &= ~inside[1:] | edge[1:-1]
+    starts = np.flatnonzero(first)
+    lengths = np.flatnonzero(last) + 1 - starts
+    return hash_words(LOWER[data] if fold else data, starts, lengths), starts, lengths
+
+
+def numbered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct run of bytes, and which of them each run is.
+
+    Runs are grouped by hash and compared with their group's first, byte by byte; those
+    that differ (a clash of hashes) get a number of their own by their bytes.
+    """
+    _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+    head = one[which]
+    differs = lengths != lengths[head]
+    eights = _eights(data)
+    todo, done = np.flatnonzero(~differs & (head != np.arange(len(head)))), 0
+    while len(todo):
+        left = lengths[todo] - done
+        held = _FILLED[np.minimum(left, 8)]
+        same = (eights[starts[todo] + done] ^ eights[starts[head[todo]] + done]) & held == 0
+        differs[todo[~same]] = True
+        todo = todo[same & (left > 8)]
+        done += 8
+    if differs.any():
+        odd: dict[bytes, int] = {}
+        more = []
+        for i in np.flatnonzero(differs).tolist():
+            run = data[starts[i] : starts[i] + lengths[i]].tobytes()
+            if run not in odd:
+                odd[run] = len(one) + len(more)
+                more.append(i)
+            which[i] = odd[run]
+        one = np.concatenate([one, more])
+    return one, which
 
 
 def word_hashes(texts: pa.Array, is_word: np.ndarray = SPACE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -127,9 +147,7 @@ def sequence_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def shingle_sets(texts: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
-    """Each text's sorted distinct shingle hashes; a text under k words has its whole sequence, none has none."""
-    h, at = word_hashes(texts)
+def _shingled(h: np.ndarray, at: np.ndarray, k: int) -> Iterator[np.ndarray]:
     grams = sequence_hashes(h, k)
     for a, b in zip(at[:-1], at[1:]):
         if b - a >= k:
@@ -138,3 +156,8 @@ def shingle_sets(texts: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
             yield mix(sequence_hashes(h[a:b], int(b - a)) + _U(b - a))
         else:
             yield np.zeros(0, _U)
+
+
+def shingle_sets(texts: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
+    """Each text's sorted distinct shingle hashes; a text under k words has its whole sequence, none has none."""
+    return _shingled(*word_hashes(texts), k)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldjobs.llm import bpe, chat, exact_dedup, licenses, line_dedup, lm, near_dups, packing, topk, toxicity
-from fieldjobs.llm.queries import TOKENIZERS
+from fieldjobs.llm.queries import BYTE_VOCABULARY, WORD_VOCABULARY
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, class string"
 
@@ -140,7 +140,7 @@ def test_lm_learns_from_all_training_rows(spark, monkeypatch):
 
 def test_bpe_equals_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    path = WORD_VOCABULARY
     t = tokenizers.Tokenizer.from_file(path)
     texts = [(1, "Hello, WORLD don't"), (2, None), (3, "<|endoftext|>x  é日本 ΣΑΣ"), (4, "aaaaaaaaaaaaaaaaaaaaaaaab" * 9)]
     got = by_id(bpe.encode_ids(docs(spark, texts), path))
@@ -151,7 +151,7 @@ def test_bpe_equals_library(spark):
 
 def test_packing_is_gapless_and_whole(spark):
     texts = [(i, "word " * random.Random(i).randrange(0, 900) + "end") for i in range(60)] + [(99, None), (100, "two  spaces ")]
-    got = packing.pack(docs(spark, texts), f"{TOKENIZERS}/byte_bpe_50k.json").collect()
+    got = packing.pack(docs(spark, texts), BYTE_VOCABULARY).collect()
     by: dict = {}
     for r in got:
         by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
