@@ -7,8 +7,8 @@ stand, and a text has few fingerprints. The fingerprints' positions are joined o
 texts; those found at one place only end there. Around the others every window that the
 fingerprint stands for is compared with the same windows elsewhere, by the fingerprint and
 a hash of all its words, which extends a match both ways as far as whole windows agree. A
-window is deleted where an earlier place (by doc_id, then text, then word) holds the same
-words, so all of a repeated passage goes but its earliest place.
+window is deleted where a smaller doc_id, or an earlier place of its own text, holds the
+same words, so all of a repeated passage goes but its earliest place.
 """
 
 from __future__ import annotations
@@ -29,8 +29,9 @@ MIN_WORDS = 50
 LINE = 10
 #: Bytes of text hashed at a time, about; only a longer text makes a larger part.
 PART = 1 << 22
-#: Low bits of a place, the number of its first word; above them the low bits of its text's hash.
+#: Low bits of a place: the number of its first word, and whether its own text holds the window before. Above them the low bits of its text's hash.
 WORD_BITS = 31
+REPEATED = 1 << 30
 _U = np.uint64
 
 
@@ -102,6 +103,9 @@ def _windows(min_words: int):
                 for p in parts:
                     check = mix(check + w.lines[first + p] + _U(0x632BE59BD9B4E019))
                 begin = first - np.searchsorted(w.starts, w.at)[text]
+                # the first place of each window in its text
+                _, one, which = np.unique(mix(check + mix(text.astype(_U))), return_index=True, return_inverse=True)
+                begin |= np.where(begin >= begin[one][which] + min_words, REPEATED, 0)
                 place = (np.asarray(some.column("text_hash"))[text] & (2**32 - 1)) << WORD_BITS | begin
                 yield pa.RecordBatch.from_arrays([pa.array(w.least[again].view(np.int64)), pa.array(check.view(np.int64)), some.column("doc_id").take(pa.array(text)), pa.array(place)], ["print", "check", "doc_id", "place"])
 
@@ -124,18 +128,16 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     one_each = printed.join(first, (printed["text_hash"] == first["text_hash"]) & (printed["bytes"] == first["bytes"]) & (printed["doc_id"] == first["head"]), "left_semi")
     # within this step a text is known by its hash alone: two that share it are given each other's fingerprints, which costs a little work
     prints = one_each.select("text_hash", F.explode("prints").alias("print"))
-    again = prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
-    hot = prints.join(again, "print").groupBy("text_hash").agg(F.collect_set("print").alias("prints"))
-    hot = cut(hot)
-    heads = one_each.select("doc_id", "text_hash").distinct()
-    asked = heads.join(hot, "text_hash")
-    windows = cut(src.join(asked, ["doc_id", "text_hash"]).mapInArrow(_windows(min_words), "print long, check long, doc_id long, place long"))
-    earliest = windows.groupBy("print", "check").agg(F.min(F.struct("doc_id", "place")).alias("head"), F.count("*").alias("n")).where("n > 1").select("print", "check", "head")
-    word = lambda c: F.col(c).bitwiseAND(F.lit(2**WORD_BITS - 1))
-    tag = lambda c: F.col(c).bitwiseAND(F.lit(~(2**WORD_BITS - 1)))
-    same = (F.col("doc_id") == F.col("head.doc_id")) & (tag("place") == tag("head.place"))
-    later = windows.join(earliest, ["print", "check"]).where(~same | (word("place") >= word("head.place") + min_words))
-    begins = later.select("doc_id", tag("place").alias("tag"), word("place").cast("int").alias("begin")).groupBy("doc_id", "tag").agg(F.collect_set("begin").alias("begins"))
+    again = cut(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"))
+    prints = one_each.select("text_hash", F.explode(F.array_distinct("prints")).alias("print"))
+    hot = cut(prints.join(again, "print").repartition("text_hash").groupBy("text_hash").agg(F.collect_set("print").alias("prints")))
+    asked = one_each.select("doc_id", "text_hash").distinct().join(hot, "text_hash")
+    # made twice, as hashes of windows take more room than time
+    windows = src.join(asked, ["doc_id", "text_hash"]).mapInArrow(_windows(min_words), "print long, check long, doc_id long, place long")
+    earliest = windows.groupBy("print", "check").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1").select("print", "check", "head")
+    word, tag = F.col("place").bitwiseAND(F.lit(REPEATED - 1)), F.col("place").bitwiseAND(F.lit(~(2**WORD_BITS - 1)))
+    later = windows.join(earliest, ["print", "check"]).where((F.col("doc_id") > F.col("head")) | (F.col("place").bitwiseAND(F.lit(REPEATED)) != 0))
+    begins = later.select("doc_id", tag.alias("tag"), word.cast("int").alias("begin")).repartition("doc_id", "tag").groupBy("doc_id", "tag").agg(F.collect_set("begin").alias("begins"))
     return begins.withColumn("copy", F.lit(False)).union(copies.select("doc_id", "tag", F.array().cast("array<int>"), F.lit(True)))
 
 
@@ -195,7 +197,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     space behind them. Nothing under ``min_words`` words in a row is ever deleted, nor a
     passage that overlaps its own earlier place. Null texts stay null and empty ones
     empty, rows with a null doc_id stay as they are, and repeated rows (same doc_id and
-    text) count as one document and all stay. All other columns are carried along,
+    text) count as one document and all stay; other texts of one doc_id are not compared
+    with each other. All other columns are carried along,
     whatever their names; columns ``n_lines`` and ``gone`` of ``docs`` give way to the new
     ones. An empty table gives no row.
     """
