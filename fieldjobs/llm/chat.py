@@ -37,41 +37,44 @@ def argument_errors(name: Column, arguments: Column, schemas: dict[str, dict]) -
 
 
 def call_order(calls: DataFrame) -> DataFrame:
-    """``call_id, level``: 0 without dependencies, else one more than the highest among them.
+    """``conv_id, call_id, level``: 0 without dependencies, else one more than the highest among them.
 
-    ``calls`` has call_id and depends_on (array). Dependencies on calls that aren't there
-    are ignored. Chains of calls with one dependency each are followed by pointer
+    ``calls`` has conv_id, call_id and depends_on (array of call_ids of the same
+    conversation; null conv_ids are one conversation). Dependencies on calls that aren't
+    there are ignored. Chains of calls with one dependency each are followed by pointer
     doubling, in as many rounds as the logarithm of their length; only calls with several
-    dependencies are settled level by level. Calls on a cycle, or that depend on one,
-    have a null level.
+    dependencies are settled level by level, for all conversations at once. Calls on a
+    cycle, or that depend on one, have a null level.
     """
-    all_calls = cut(calls.where("call_id is not null").select("call_id").distinct())
-    needs = calls.where("call_id is not null").select("call_id", F.explode(F.array_distinct("depends_on")).alias("need")).distinct()
-    needs = cut(needs.join(all_calls.withColumnRenamed("call_id", "need"), "need", "left_semi"))
-    degree = needs.groupBy("call_id").agg(F.count("*").alias("n"), F.first("need").alias("need"))
-    jumps = cut(degree.where("n = 1").select("call_id", F.col("need").alias("at"), F.lit(1).cast("long").alias("steps")))
+    place = lambda call: F.struct("conv_id", call.alias("call_id"))
+    named = calls.where("call_id is not null")
+    all_calls = cut(named.select(place(F.col("call_id")).alias("call")).distinct())
+    needs = named.select(place(F.col("call_id")).alias("call"), "conv_id", F.explode(F.array_distinct("depends_on")).alias("need")).select("call", place(F.col("need")).alias("need")).distinct()
+    needs = cut(needs.join(all_calls.withColumnRenamed("call", "need"), "need", "left_semi"))
+    degree = needs.groupBy("call").agg(F.count("*").alias("n"), F.first("need").alias("need"))
+    jumps = cut(degree.where("n = 1").select("call", F.col("need").alias("at"), F.lit(1).cast("long").alias("steps")))
     for _ in range(max(1, all_calls.count()).bit_length() + 1):
-        on = jumps.select(F.col("call_id").alias("at"), F.col("at").alias("_at"), F.col("steps").alias("_steps"))
-        jumps = cut(jumps.join(on, "at", "left").select("call_id", F.coalesce("_at", "at").alias("at"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.col("_at").isNotNull().alias("moved")))
+        on = jumps.select(F.col("call").alias("at"), F.col("at").alias("_at"), F.col("steps").alias("_steps"))
+        jumps = cut(jumps.join(on, "at", "left").select("call", F.coalesce("_at", "at").alias("at"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.col("_at").isNotNull().alias("moved")))
         moved = not jumps.where("moved").isEmpty()
         jumps = jumps.drop("moved")
         if not moved:
             break
-    several = degree.where("n > 1").select("call_id")
-    levels = cut(all_calls.join(needs.select("call_id").distinct(), "call_id", "left_anti").withColumn("level", F.lit(0).cast("long")))
-    ends = jumps.select(F.col("call_id").alias("need"), "at", "steps")
-    edges = needs.join(several, "call_id", "left_semi").join(ends, "need", "left")
-    edges = cut(edges.select("call_id", F.coalesce("at", "need").alias("at"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")))
+    several = degree.where("n > 1").select("call")
+    levels = cut(all_calls.join(needs.select("call").distinct(), "call", "left_anti").withColumn("level", F.lit(0).cast("long")))
+    ends = jumps.select(F.col("call").alias("need"), "at", "steps")
+    edges = needs.join(several, "call", "left_semi").join(ends, "need", "left")
+    edges = cut(edges.select("call", F.coalesce("at", "need").alias("at"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")))
     while True:
-        waiting = edges.join(levels.select("call_id"), "call_id", "left_anti")
-        ready = waiting.join(levels.withColumnRenamed("call_id", "at"), "at", "left").groupBy("call_id")
+        waiting = edges.join(levels.select("call"), "call", "left_anti")
+        ready = waiting.join(levels.withColumnRenamed("call", "at"), "at", "left").groupBy("call")
         ready = ready.agg(F.max(F.col("level") + F.col("steps")).alias("level"), F.count(F.when(F.col("level").isNull(), 1)).alias("blocked"))
-        settled = cut(ready.where("blocked = 0").select("call_id", "level"))
+        settled = cut(ready.where("blocked = 0").select("call", "level"))
         if settled.isEmpty():
             break
         levels = cut(levels.union(settled))
-    chained = jumps.join(levels.withColumnRenamed("call_id", "at"), "at").select("call_id", (F.col("level") + F.col("steps")).alias("level"))
-    return all_calls.join(levels.union(chained), "call_id", "left")
+    chained = jumps.join(levels.withColumnRenamed("call", "at"), "at").select("call", (F.col("level") + F.col("steps")).alias("level"))
+    return all_calls.join(levels.union(chained), "call", "left").select("call.conv_id", "call.call_id", "level")
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -81,22 +84,26 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     conv_id, turn, call_id, content. Returns ``conv_id, call_id, name, call_turn,
     result_turn, level, status, errors, record``. Status: ok, invalid (arguments),
     early (the result's turn is not after the call's), unanswered, orphan (a result
-    alone), cycle. Null call_ids join with nothing. Several results of a call are a row
-    each, as are repeated rows. ``record`` is the canonical JSON; null for an orphan.
-    Extra columns of either table are ignored.
+    alone), cycle. Calls and results belong together when conv_id (null equals null) and
+    call_id do. Null call_ids join with nothing. Several results of a call are a row
+    each, as are repeated rows. ``record`` is the canonical JSON, with arguments that
+    can't be read as the string they are; null for an orphan. Empty tables give no row of
+    theirs. Extra columns of either table are ignored.
     """
-    c = calls.select("conv_id", F.col("turn").alias("call_turn"), "call_id", "name", "arguments", "depends_on")
-    c = c.join(call_order(calls), "call_id", "left")
+    c = calls.select("conv_id", F.col("turn").alias("call_turn"), "call_id", "name", "arguments", "depends_on", F.lit(True).alias("called"))
+    order = call_order(calls).toDF("o_conv", "o_call", "level")
+    c = c.join(order, F.col("conv_id").eqNullSafe(F.col("o_conv")) & (F.col("call_id") == F.col("o_call")), "left")
     r = results.select(F.col("conv_id").alias("result_conv"), F.col("turn").alias("result_turn"), F.col("call_id").alias("answers"), "content")
-    both = c.join(r, F.col("call_id") == F.col("answers"), "full")
-    called = F.col("call_turn").isNotNull() | F.col("name").isNotNull()
+    both = c.join(r, F.col("conv_id").eqNullSafe(F.col("result_conv")) & (F.col("call_id") == F.col("answers")), "full")
+    called = F.col("called").isNotNull()
     errors = F.when(called, argument_errors(F.col("name"), F.col("arguments"), schemas)).otherwise(F.array().cast("array<string>"))
     both = both.withColumn("errors", errors)
     status = (
         F.when(~called, "orphan").when(F.size("errors") > 0, "invalid").when(F.col("level").isNull(), "cycle")
         .when(F.col("answers").isNull(), "unanswered").when(F.col("result_turn") <= F.col("call_turn"), "early").otherwise("ok")
     )
-    record = canonical(F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("id"), "level", "name", F.col("content").alias("result"))))
+    as_string = F.variant_get(F.parse_json(F.to_json(F.struct(F.col("arguments").alias("s")))), "$.s", "variant")
+    record = canonical(F.to_json(F.struct(F.coalesce(F.try_parse_json("arguments"), as_string).alias("arguments"), F.col("call_id").alias("id"), "level", "name", F.col("content").alias("result"))))
     return both.select(
         F.coalesce("conv_id", "result_conv").alias("conv_id"), F.coalesce("call_id", "answers").alias("call_id"), "name", "call_turn", "result_turn",
         F.col("level").cast("long").alias("level"), status.alias("status"), F.array_join("errors", "; ").alias("errors"), F.when(called, record).alias("record"),

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldjobs.llm.recovery import cut
-from fieldjobs.llm.words import ALNUM_WORDS, sequence_hashes, word_hashes
+from fieldjobs.llm.words import ALNUM_WORDS, sequence_hashes, text_bytes, word_hashes
 
 #: Words are runs of these characters: digits, letters and all beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -42,6 +42,8 @@ TELLING = {"gpl": ["gnu general"], "lgpl": ["gnu lesser", "lesser general"], "mp
 OTHER = {"gpl": ["lesser", "affero"]}
 #: Diagonals this far apart belong to one span; the share of a template that a span needs.
 NEAR, COVER = 2, 0.75
+#: A span may be this much longer than its template.
+STRETCH = 1.25
 
 
 def words(text: Column) -> Column:
@@ -66,6 +68,16 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), lists], ["doc_id", "text_hash", "grams"])
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, at = text_bytes(batch.column("text"))
+        inside = np.concatenate([[False], ALNUM_WORDS[data]])
+        first = inside[1:] & ~inside[:-1]
+        first[at[:-1][np.diff(at) > 0]] = ALNUM_WORDS[data[at[:-1][np.diff(at) > 0]]]
+        n = np.diff(np.concatenate([[0], np.cumsum(first)])[at])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hash"), pa.array(n, pa.int64())], ["id", "hash", "n_words"])
+
+
 def _templates(spark) -> DataFrame:
     rows, number = [], 0
     for base, listed in ((True, list(PHRASES.items())), (False, NOTICES)):
@@ -110,6 +122,8 @@ def license_spans(docs: DataFrame) -> DataFrame:
     near = near.withColumn("held", F.filter("held", lambda p: same(p, 0) & same(p, 1))).where(F.size("held") > 0)
     near = near.where(F.size(F.array_except("telling", F.transform("held", lambda p: p["at"]))) == 0)
     places = F.transform("held", lambda p: p["place"])
+    # a chain of neighbouring diagonals may drift, but a notice isn't much longer than its template
+    near = near.where(F.array_max(places) - F.array_min(places) + 2 <= F.floor(F.col("length") * STRETCH) + NEAR)
     out = near.select("doc_id", "text_hash", "base", "label", covered(F.col("held")).alias("cover"), F.array_min(places).cast("long").alias("first_word"), (F.array_max(places) + 1).cast("long").alias("last_word"), "length", F.coalesce(F.array_contains("others", F.get("words", F.array_min(places) - 1)), F.lit(False)).alias("other"))
     return out.where(F.col("cover") >= enough).drop("length")
 
@@ -131,7 +145,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
         joined(F.when(place, F.col("label"))).alias("base_labels"), joined(named).alias("labels"), F.max("cover").alias("score"),
     )
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.regexp_count(F.lower(text), F.lit(WORD)).cast("long").alias("n_words"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text")).mapInArrow(_count_words, "id long, hash long, n_words long")
     out = rows.join(found, (F.coalesce("id", F.lit(-1)) == F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
     return out.select(
         F.col("id").alias("doc_id"), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",

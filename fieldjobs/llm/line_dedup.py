@@ -132,12 +132,12 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     prints = one_each.select("text_hash", F.explode(F.array_distinct("prints")).alias("print"))
     hot = cut(prints.join(again, "print").repartition("text_hash").groupBy("text_hash").agg(F.collect_set("print").alias("prints")))
     asked = one_each.select("doc_id", "text_hash").distinct().join(hot, "text_hash")
-    # made twice, as hashes of windows take more room than time
-    windows = src.join(asked, ["doc_id", "text_hash"]).mapInArrow(_windows(min_words), "print long, check long, doc_id long, place long")
+    windows = cut(src.join(asked, ["doc_id", "text_hash"]).mapInArrow(_windows(min_words), "print long, check long, doc_id long, place long"))
     earliest = windows.groupBy("print", "check").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1").select("print", "check", "head")
     word, tag = F.col("place").bitwiseAND(F.lit(REPEATED - 1)), F.col("place").bitwiseAND(F.lit(~(2**WORD_BITS - 1)))
     later = windows.join(earliest, ["print", "check"]).where((F.col("doc_id") > F.col("head")) | (F.col("place").bitwiseAND(F.lit(REPEATED)) != 0))
     begins = later.select("doc_id", tag.alias("tag"), word.cast("int").alias("begin")).repartition("doc_id", "tag").groupBy("doc_id", "tag").agg(F.collect_set("begin").alias("begins"))
+    begins = cut(begins)
     return begins.withColumn("copy", F.lit(False)).union(copies.select("doc_id", "tag", F.array().cast("array<int>"), F.lit(True)))
 
 

@@ -65,9 +65,11 @@ class _Block:
         return short, again[which]
 
 
-def _ranges(keys: np.ndarray, kind: int, bits: int) -> np.ndarray:
-    shift = 64 - bits if kind == 0 else 8 * PAIR_BYTES
-    return np.searchsorted(keys, np.arange(1, 1 << bits, dtype=_U) << _U(shift)).tolist()
+def _ranges(keys: np.ndarray, kind: int, bits: int) -> Iterator[tuple[int, int, int]]:
+    """Number, begin and end of each range that holds any of the sorted keys."""
+    number = (keys >> _U(64 - bits if kind == 0 else 8 * PAIR_BYTES)).astype(np.int64)
+    begins = np.flatnonzero(np.diff(number, prepend=-1))
+    return zip(number[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(keys)])
 
 
 def _requests(bits: int):
@@ -77,8 +79,7 @@ def _requests(bits: int):
         for kind, width in ((0, WORD_BYTES), (1, PAIR_BYTES)):
             keys, which = block.keys(kind, bits)
             counts = np.bincount(which[block.trains], minlength=len(keys))
-            cuts = [0, *_ranges(keys, kind, bits), len(keys)]
-            rows += [(2 * r + kind, name, _planes(keys[a:b], width), _planes(counts[a:b], 4)) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            rows += [(2 * r + kind, name, _planes(keys[a:b], width), _planes(counts[a:b], 4)) for r, a, b in _ranges(keys, kind, bits)]
         return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["place", "block", "keys", "counts"])
 
     return run

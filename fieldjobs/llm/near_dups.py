@@ -12,7 +12,8 @@
    their full sets, rarest values first, which loses no link between components: one
    class of each component first, then all whose components still differ.
 4. A pair is kept when the bottom-k sample of the union, read off both sketches,
-   estimates enough overlap, and linked when the full sets confirm it.
+   estimates enough overlap, and linked when the full sets confirm it, in which words
+   are told apart byte by byte.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from fieldjobs.llm.graph import components
 from fieldjobs.llm.recovery import cut
-from fieldjobs.llm.words import shingle_sets
+from fieldjobs.llm.words import shingle_sets, verified_shingle_sets
 
 #: Values a sketch retains.
 K = 64
@@ -58,7 +59,7 @@ def _jaccard(shingle: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
-            for x, y in zip(shingle_sets(batch.column("text_a"), shingle), shingle_sets(batch.column("text_b"), shingle)):
+            for x, y in verified_shingle_sets(batch.column("text_a"), batch.column("text_b"), shingle):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))

@@ -161,3 +161,13 @@ def _shingled(h: np.ndarray, at: np.ndarray, k: int) -> Iterator[np.ndarray]:
 def shingle_sets(texts: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
     """Each text's sorted distinct shingle hashes; a text under k words has its whole sequence, none has none."""
     return _shingled(*word_hashes(texts), k)
+
+
+def verified_shingle_sets(a: pa.Array, b: pa.Array, k: int = 5) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The shingle sets of each two texts; words are told apart byte by byte, not by their hashes alone."""
+    data, at = text_bytes(pa.chunked_array([a, b]))
+    data = LOWER[data]
+    h, starts, lengths = find_words(data, at, fold=False)
+    _, which = numbered(data, starts, lengths, h)
+    sets = list(_shingled(mix(which.astype(_U)), np.searchsorted(starts, at), k))
+    return zip(sets[: len(a)], sets[len(a) :])
