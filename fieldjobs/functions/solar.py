@@ -45,17 +45,21 @@ def solar_position(ts: Column, latitude: Column, longitude: Column) -> tuple[Col
     return 90.0 - height - refraction, azimuth
 
 
-def minutes_from_noon(ts: Column, longitude: Column, zone: str) -> Column:
-    """Distance, in minutes, from the minute of the local day in which the sun crosses the meridian.
+def minutes_from_noon(ts: Column, longitude: Column, zone: str, latitude: Column | None = None) -> Column:
+    """Distance, in minutes, from the minute of the local day in which the sun stands highest (the first, if two do).
 
-    The highest minute of the day lies within a minute of it, and no day's grid has to be
-    searched: the crossing follows from the equation of time at midday.
+    No day's grid has to be searched: the sun crosses the meridian at a time that follows
+    from the equation of time at midday, and only the minutes around it are compared.
     """
     midnight = F.to_utc_timestamp(F.date_trunc("day", F.from_utc_timestamp(ts, zone)), zone)
     start = F.unix_micros(midnight) / 60e6
     _, equation = _sun(midnight + F.expr("interval 12 hours"))
     noon = F.round(F.pmod(720.0 - 4 * longitude - equation - F.pmod(start, F.lit(1440.0)), F.lit(1440.0)))
-    return F.abs(F.unix_micros(ts) / 60e6 - start - noon)
+    lat = F.lit(LATITUDE) if latitude is None else latitude
+    height = lambda minute: elevation(F.timestamp_micros((minute * 60e6).cast("long")), lat, longitude)[0]
+    # an array of one, so that the crossing is worked out once for all its neighbours
+    highest = F.transform(F.array(start + noon), lambda m: F.array_max(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda i: F.struct(height(m + i).alias("height"), (-m - i).alias("minute")))))
+    return F.abs(F.unix_micros(ts) / 60e6 + highest[0]["minute"])
 
 
 def shadow_row_angle(sun_azimuth: Column, row_azimuth: Column) -> Column:

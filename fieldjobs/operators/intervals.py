@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fieldjobs.operators.ranks import running_total
-
 
 def interval_join(points: DataFrame, windows: DataFrame, at: str, start: str, end: str, keys: tuple[str, ...] = (), bucket: int = 3600, how: str = "inner") -> DataFrame:
     """Pairs with start <= at <= end, both ends in. Times are cut into buckets of so many seconds and joined on them.
@@ -24,7 +22,12 @@ def interval_join(points: DataFrame, windows: DataFrame, at: str, start: str, en
     if how == "inner":
         return pairs
     added = [c for c in points.columns if c not in keys]
-    missed = windows.join(pairs.select(*windows.columns).distinct(), windows.columns, "left_anti")
+    # nulls in a window's columns equal each other; only the points' times and keys are looked at again
+    met = w.join(p.select("_p_slot", *(f"_p_{c}" for c in dict.fromkeys([at, *keys]))), on, "left_semi").select(*(F.col(c).alias(f"_m_{c}") for c in windows.columns)).distinct()
+    same = F.lit(True)
+    for c in windows.columns:
+        same &= F.col(c).eqNullSafe(F.col(f"_m_{c}"))
+    missed = windows.join(met, same, "left_anti")
     return pairs.unionByName(missed.select("*", *(F.lit(None).cast(points.schema[c].dataType).alias(c) for c in added)))
 
 
@@ -71,6 +74,3 @@ def range_sum(increments: DataFrame, spans: DataFrame, day: str, value: str, sta
     held = F.coalesce("_sn", F.lit(0))
     n = held - F.least(F.coalesce("_fn", F.lit(0)), held)
     return s.withColumn("total", F.when(known & (n > 0), F.col("_st") - F.coalesce("_ft", F.lit(0)))).select(*spans.columns, "total")
-
-
-__all__ = ["interval_join", "prefix_sums", "range_sum", "running_total", "window_summary"]

@@ -32,11 +32,28 @@ def checked_join(left: DataFrame, right: DataFrame, keys: list[str], all_found:
 
 
 def compile_predictions(predictions: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Predictions with date, field and plot of the test metadata, one to one, in the order of the combined table."""
-    out = checked_join(predictions, metadata.select("image_filename", "date", "field", "plot"), ["image_filename"])
+    """Predictions with date, field and plot of the test metadata, in the order of the combined table.
+
+    A name occurs once for each model and fold, and once in the metadata.
+    """
+    meta = metadata.select("image_filename", "date", "field", "plot")
+    for name, df, keys in (("left", predictions, ["model", "fold", "image_filename"]), ("right", meta, ["image_filename"])):
+        _raise_if_any(df.groupBy(*keys).count().where("count > 1"), f"repeated {name} keys")
+    _raise_if_any(missing(predictions, meta, ["image_filename"]).select("image_filename"), "rows without partner")
+    out = predictions.join(meta, "image_filename")
     return out.select("model", "fold", "test_year", "image_filename", "date", "field", "plot", "actual", "predicted", "signed_error", "abs_error")
 
 
+def join_covariates(predictions: DataFrame, covariates: DataFrame, key: str = "image_filename") -> tuple[DataFrame, DataFrame]:
+    """Predictions with errors and their image's covariates; and one row: ``n_predictions, n_lost``, those without covariates."""
+    if "signed_error" not in predictions.columns:
+        predictions = predictions.withColumn("signed_error", F.col("predicted") - F.col("actual"))
+    predictions = predictions.withColumn("abs_error", F.abs("signed_error"))
+    known = covariates.select(key).distinct().withColumn("_known", F.lit(True))
+    lost = predictions.join(known, key, "left").agg(F.count("*").alias("n_predictions"), F.count_if(F.col("_known").isNull()).alias("n_lost"))
+    return predictions.join(covariates, key), lost
+
+
 def filter_existing(labels: DataFrame, files: DataFrame, name: str = "image_filename") -> tuple[DataFrame, DataFrame]:
     """Labels whose image is there (exact name, else another extension), with ``found_name``; and those without."""
     base = F.regexp_replace(name, r"\.[^.]*$", "")

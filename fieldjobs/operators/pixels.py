@@ -9,35 +9,47 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 WHITE, INVALID_FROM, EMPTY_FROM = 245, 0.05, 0.95
+#: A pixel is in shadow below this brightness (of 255), after the image's 95th percentile is put at 1.
+SHADOW = 55
 METRICS = "mean_brightness double, sf_illuminorm double, contrast_rms double, white_fraction double, is_valid boolean, reason string"
 
 
 def rgb(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
-    """RGB of Spark's image bytes (BGR order); gray is repeated, channels beyond three are left out."""
-    a = np.frombuffer(bytes(data), np.uint8).reshape(height, width, channels)
-    return np.repeat(a, 3, axis=2) if channels == 1 else a[:, :, 2::-1]
+    """RGB of Spark's image bytes (BGR order); of one or two channels (gray, transparency) the first is repeated, channels beyond three are left out.
+
+    Two bytes a value (16-bit images) are told by the length of the data; the high byte counts.
+    """
+    a = np.frombuffer(bytes(data), np.uint8)
+    if a.size == 2 * height * width * channels:
+        a = (a.view("<u2") >> 8).astype(np.uint8)
+    a = a.reshape(height, width, channels)
+    return np.repeat(a[:, :, :1], 3, axis=2) if channels < 3 else a[:, :, 2::-1]
 
 
-def measure(a: np.ndarray | None, v_threshold: float = 0.0, white: int = WHITE) -> tuple:
-    """Brightness, sunlit fraction (of the 95th percentile) and contrast of an image; the white share and what it means.
+def measure(a: np.ndarray | None, v_threshold: float = SHADOW, white: int = WHITE) -> tuple:
+    """Brightness, shadow fraction and contrast of an image; the white share and what it means.
 
-    White fill is left out of the first two but not of contrast.
+    White fill is left out of the first two but not of contrast. The shadow fraction is
+    the share of the other pixels whose brightness, over its 95th percentile, is below
+    ``v_threshold`` / 255. An image that can't be read counts as all white, as does one
+    whose channels are neither gray nor colour.
     """
     if a is None or a.size == 0:
-        return None, None, None, None, False, "load_error"
+        return None, None, None, 1.0, False, "load_error"
+    if a.ndim != 3 or a.shape[2] != 3:
+        return None, None, None, 1.0, False, "wrong_channels"
     fill = (a >= white).all(axis=2)
     share = float(fill.mean())
     reason = "fully_oob" if share >= EMPTY_FROM else "partially_oob_white" if share >= INVALID_FROM else "ok"
     gray = np.rint(a @ np.array([0.299, 0.587, 0.114]))
     v = a.max(axis=2)[~fill].astype(float)
-    v = v[v >= v_threshold]
     if not v.size:
         return None, None, None, share, False, reason
-    top = np.percentile(v, 95)
-    return float(v.mean()), float(v.mean() / top) if top > 0 else None, float(gray.std()), share, share < INVALID_FROM, reason
+    shadow = v / (np.percentile(v, 95) + 1e-6) < v_threshold / 255
+    return float(v.mean()), float(shadow.mean()), float(gray.std()), share, share < INVALID_FROM, reason
 
 
-def pixel_covariates(images: DataFrame, v_threshold: float = 0.0, white: int = WHITE) -> DataFrame:
+def pixel_covariates(images: DataFrame, v_threshold: float = SHADOW, white: int = WHITE) -> DataFrame:
     """``origin, basename`` and the metrics of each image; null images are load errors."""
     names = ["origin", "basename", *(x.split()[0] for x in METRICS.split(", "))]
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -13,10 +11,10 @@ WEED_FROM, WEED_TO = 0.492, 2.461
 
 
 def latest_file(inventory: DataFrame, keys: tuple[str, ...] = ("flight_folder", "kind")) -> DataFrame:
-    """The newest file of each key: by a time in its name (yyyyMMddHHmmss or yyyyMMdd), else by modification time."""
+    """The newest file of each key: by the processing time in its name (_yyyyMMddTHHmm_), else by modification time."""
     name = F.element_at(F.split("path", "/"), -1)
-    stamp = F.regexp_extract(name, r"(\d{14})", 1)
-    when = F.coalesce(F.try_to_timestamp(F.nullif(stamp, F.lit("")), F.lit("yyyyMMddHHmmss")), F.try_to_timestamp(F.nullif(F.regexp_extract(name, r"(\d{8})", 1), F.lit("")), F.lit("yyyyMMdd")), F.col("modified"))
+    stamp = F.regexp_extract(name, r"_(\d{8}T\d{4})_", 1)
+    when = F.coalesce(F.try_to_timestamp(F.nullif(stamp, F.lit("")), F.lit("yyyyMMdd'T'HHmm")), F.col("modified"))
     rest = [c for c in inventory.columns if c not in keys]
     best = inventory.withColumn("_w", when).groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.coalesce("_w", F.lit("1970-01-01").cast("timestamp")), "path")).alias("_r"))
     return best.select(*keys, "_r.*")
@@ -41,14 +39,6 @@ def assign_reference(inventory: DataFrame, own_years: tuple[int, ...] = ()) -> D
 TILE = "raster_id string, tile_r int, tile_c int, x0 double, y0 double, dx double, dy double, h int, w int, pixels array<float>"
 
 
-def _grid(row, prefix: str) -> np.ndarray:
-    a = np.array(row[f"{prefix}pixels"], np.float64).reshape(row[f"{prefix}h"], row[f"{prefix}w"])
-    nodata = row[f"{prefix}nodata"]
-    if nodata is not None and nodata == nodata:
-        a[a == nodata] = np.nan
-    return a
-
-
 def _bilinear(a: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Values at fractional places; NaN outside or where a needed neighbour is missing."""
     ok = (r >= 0) & (c >= 0) & (r <= a.shape[0] - 1) & (c <= a.shape[1] - 1)
@@ -62,44 +52,87 @@ def _bilinear(a: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.where(ok, mixed, np.nan)
 
 
+def _span(start: str, step: str, n: str, halo: float = 0.0):
+    """Smallest and largest coordinate of a tile along an axis, widened by so many pixels."""
+    a, b = F.col(start), F.col(start) + F.col(step) * F.col(n)
+    more = F.abs(F.col(step)) * halo
+    return F.least(a, b) - more, F.greatest(a, b) + more
+
+
+def _boxes(tiles: DataFrame, halo: float = 0.0) -> DataFrame:
+    """``raster_id, tile_r, tile_c, x1, x2, y1, y2``: tiles without their pixels."""
+    (x1, x2), (y1, y2) = _span("x0", "dx", "w", halo), _span("y0", "dy", "h", halo)
+    return tiles.select("raster_id", "tile_r", "tile_c", x1.alias("x1"), x2.alias("x2"), y1.alias("y1"), y2.alias("y2"))
+
+
+def _largest(boxes: DataFrame) -> float:
+    """The longest side of a box, one number."""
+    return boxes.agg(F.max(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))).first()[0] or 1.0
+
+
+def _with_cells(boxes: DataFrame, size: float) -> DataFrame:
+    """A row for each cell of that size that a box touches."""
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)))
+    return boxes.withColumn("cell_x", span("x1", "x2")).withColumn("cell_y", span("y1", "y2"))
+
+
+def _overlapping(left: DataFrame, right: DataFrame, keys: list[str], size: float) -> DataFrame:
+    """Pairs of boxes (the right one's other columns come as they are) with a common inside, each once.
+
+    Boxes meet in the cell that holds the corner of their common part, so no pair is made twice.
+    """
+    box = ["x1", "x2", "y1", "y2"]
+    r = _with_cells(right, size).withColumnsRenamed({c: f"r_{c}" for c in box})
+    met = _with_cells(left, size).join(r, [*keys, "cell_x", "cell_y"])
+    inside = (F.col("x1") < F.col("r_x2")) & (F.col("r_x1") < F.col("x2")) & (F.col("y1") < F.col("r_y2")) & (F.col("r_y1") < F.col("y2"))
+    corner = (F.floor(F.greatest("x1", "r_x1") / size) == F.col("cell_x")) & (F.floor(F.greatest("y1", "r_y1") / size) == F.col("cell_y"))
+    return met.where(inside & corner).drop(*box, *(f"r_{c}" for c in box), "cell_x", "cell_y")
+
+
+def _mosaic(tiles: pd.DataFrame) -> tuple[np.ndarray, float, float, float, float]:
+    """The tiles of one raster's grid in one array, with its corner and steps; missing places are NaN."""
+    dx, dy = tiles.dx.iloc[0], tiles.dy.iloc[0]
+    x0, y0 = (tiles.x0.min() if dx > 0 else tiles.x0.max()), (tiles.y0.min() if dy > 0 else tiles.y0.max())
+    at = [(int(round((t.y0 - y0) / dy)), int(round((t.x0 - x0) / dx)), t) for t in tiles.itertuples()]
+    out = np.full((max(r + t.h for r, _, t in at), max(c + t.w for _, c, t in at)), np.nan)
+    for r, c, t in at:
+        a = np.array(t.pixels, np.float64).reshape(t.h, t.w)
+        if t.nodata is not None and t.nodata == t.nodata:
+            a[a == t.nodata] = np.nan
+        out[r : r + t.h, c : c + t.w] = a
+    return out, x0, y0, dx, dy
+
+
 def canopy_height(surface: DataFrame, terrain: DataFrame, pairs: DataFrame) -> DataFrame:
     """Height tiles on the terrain's grid: surface minus terrain, NaN where either is missing.
 
-    ``pairs``: surface_id, terrain_id. A terrain tile meets the surface tiles whose
-    extent it overlaps (both are cut into cells of one tile's size and joined on them),
-    surface values are read bilinearly, and where several tiles give a value the first
-    by place counts. Surface tiles hold a border of one pixel of their neighbours when
-    grids differ.
+    ``pairs``: surface_id, terrain_id. A terrain tile meets the surface tiles that overlap
+    it or come within a pixel of it; boxes are joined on cells of the largest tile's size
+    and compared before any pixel moves. The surface tiles of a terrain tile are laid side
+    by side (tiles of one raster share its grid), so values are read bilinearly across
+    their borders. A terrain tile without surface gives no tile.
     """
-    t = terrain.select(*(F.col(c).alias(f"t_{c}") for c in terrain.columns)).join(pairs, F.col("t_raster_id") == F.col("terrain_id"))
-    s = surface.select(*(F.col(c).alias(f"s_{c}") for c in surface.columns))
-    size = 64.0
-
-    def cells(prefix: str):
-        x = lambda i: F.col(f"{prefix}x0") + F.col(f"{prefix}dx") * i
-        y = lambda i: F.col(f"{prefix}y0") + F.col(f"{prefix}dy") * i
-        span = lambda a, b: F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size))
-        return F.explode(F.flatten(F.transform(span(x(0), x(F.col(f"{prefix}w"))), lambda i: F.transform(span(y(0), y(F.col(f"{prefix}h"))), lambda j: F.struct(i.alias("i"), j.alias("j"))))))
-
-    key = ["t_raster_id", "surface_id", "t_tile_r", "t_tile_c"]
-    both = t.withColumn("cell", cells("t_")).join(s.withColumn("cell", cells("s_")), "cell")
-    both = both.where("surface_id = s_raster_id").dropDuplicates([*key, "s_tile_r", "s_tile_c"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["s_tile_r", "s_tile_c"])
-        first = pdf.iloc[0]
-        ground = _grid(first, "t_")
-        top = np.full(ground.shape, np.nan)
-        y = first.t_y0 + first.t_dy * (np.arange(first.t_h) + 0.5)
-        x = first.t_x0 + first.t_dx * (np.arange(first.t_w) + 0.5)
-        for _, row in pdf.iterrows():
-            r, c = (y - row.s_y0) / row.s_dy - 0.5, (x - row.s_x0) / row.s_dx - 0.5
-            got = _bilinear(_grid(row, "s_"), *np.meshgrid(r, c, indexing="ij"))
-            top = np.where(np.isnan(top), got, top)
-        height = (top - ground).astype(np.float32).ravel()
-        return pd.DataFrame([[first.surface_id, first.t_tile_r, first.t_tile_c, first.t_x0, first.t_y0, first.t_dx, first.t_dy, first.t_h, first.t_w, height]], columns=[x.split()[0] for x in TILE.split(", ")])
-
-    return both.groupBy(*key).applyInPandas(run, TILE)
+    s_boxes, t_boxes = _boxes(surface, 1.0), _boxes(terrain)
+    size = max(_largest(s_boxes), _largest(t_boxes))
+    s_boxes = s_boxes.toDF("surface_id", "s_tile_r", "s_tile_c", "x1", "x2", "y1", "y2")
+    t_boxes = t_boxes.join(pairs.select("surface_id", "terrain_id").distinct(), F.col("raster_id") == F.col("terrain_id")).drop("raster_id")
+    met = _overlapping(t_boxes, s_boxes, ["surface_id"], size)
+    key = ["surface_id", "terrain_id", "tile_r", "tile_c"]
+    tops = met.join(surface.select(*(F.col(c).alias({"raster_id": "surface_id", "tile_r": "s_tile_r", "tile_c": "s_tile_c"}.get(c, c)) for c in surface.columns)), ["surface_id", "s_tile_r", "s_tile_c"])
+    ground = terrain.withColumnRenamed("raster_id", "terrain_id").join(met.select(*key).distinct(), ["terrain_id", "tile_r", "tile_c"])
+    ground, tops = ground.toDF(*ground.columns), tops.toDF(*tops.columns)
+
+    def run(names: tuple, low: pd.DataFrame, high: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in low.drop_duplicates(["terrain_id", "tile_r", "tile_c"]).itertuples():
+            base, *_ = _mosaic(low[(low.tile_r == row.tile_r) & (low.tile_c == row.tile_c)].head(1))
+            top, x0, y0, dx, dy = _mosaic(high.sort_values(["s_tile_r", "s_tile_c"], ascending=False))
+            y, x = row.y0 + row.dy * (np.arange(row.h) + 0.5), row.x0 + row.dx * (np.arange(row.w) + 0.5)
+            got = _bilinear(top, *np.meshgrid((y - y0) / dy - 0.5, (x - x0) / dx - 0.5, indexing="ij"))
+            out.append([names[0], row.tile_r, row.tile_c, row.x0, row.y0, row.dx, row.dy, row.h, row.w, (got - base).astype(np.float32).ravel()])
+        return pd.DataFrame(out, columns=[x.split()[0] for x in TILE.split(", ")])
+
+    return ground.groupBy(*key).cogroup(tops.groupBy(*key)).applyInPandas(run, TILE)
 
 
 def _inside(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
@@ -111,33 +144,35 @@ def _inside(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
     return out
 
 
-def zonal(heights: DataFrame, polygons: DataFrame, rasters: DataFrame, cell: float = 64.0) -> DataFrame:
+def zonal(heights: DataFrame, polygons: DataFrame, rasters: DataFrame) -> DataFrame:
     """``raster_id, field, plot, px_valid, px_weed, frac_weed``: pixels whose centre lies in a plot.
 
-    ``rasters``: raster_id, field. Tiles and plots are cut into cells and joined on them;
-    each tile gives a pair of sums for a plot, so pixels never move. Negative heights
-    count as ground. A plot without valid pixels has a null fraction.
+    ``rasters``: raster_id, field. Boxes of tiles and plots are joined on cells and
+    compared before any pixel moves; a tile then meets all its plots at once and gives a
+    pair of sums for each. Negative heights count as ground. A plot that no tile's pixels
+    fill has a null fraction.
     """
-    tiles = heights.join(rasters, "raster_id")
-    span = lambda a, b: F.sequence(F.floor(F.least(a, b) / cell), F.floor(F.greatest(a, b) / cell))
-    grid = lambda xs, ys: F.explode(F.flatten(F.transform(xs, lambda i: F.transform(ys, lambda j: F.struct(i.alias("i"), j.alias("j"))))))
-    tiles = tiles.withColumn("cell", grid(span(F.col("x0"), F.col("x0") + F.col("dx") * F.col("w")), span(F.col("y0"), F.col("y0") + F.col("dy") * F.col("h"))))
+    boxes = _boxes(heights)
+    size = _largest(boxes)
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    plots = polygons.withColumn("cell", grid(span(F.array_min(xs), F.array_max(xs)), span(F.array_min(ys), F.array_max(ys))))
-    key = ["raster_id", "tile_r", "tile_c", "field", "plot"]
-    met = tiles.join(plots, ["field", "cell"]).dropDuplicates(key)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples():
-                x, y = np.meshgrid(row.x0 + row.dx * (np.arange(row.w) + 0.5), row.y0 + row.dy * (np.arange(row.h) + 0.5))
-                ring = np.array([[p["x"], p["y"]] for p in row.ring])
-                h = np.array(row.pixels, float).reshape(row.h, row.w)[_inside(x, y, ring)]
+    plots = polygons.select("field", "plot", F.array_min(xs).alias("x1"), F.array_max(xs).alias("x2"), F.array_min(ys).alias("y1"), F.array_max(ys).alias("y2"))
+    key = ["raster_id", "tile_r", "tile_c"]
+    met = _overlapping(boxes.join(rasters.select("raster_id", "field").distinct(), "raster_id"), plots, ["field"], size).distinct()
+    asked = met.join(polygons.select("field", "plot", "ring"), ["field", "plot"])
+    tiles = heights.join(met.select(*key).distinct(), key)
+    tiles, asked = tiles.toDF(*tiles.columns), asked.toDF(*asked.columns)
+
+    def run(tile: pd.DataFrame, plots: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in tile.itertuples():
+            x, y = np.meshgrid(row.x0 + row.dx * (np.arange(row.w) + 0.5), row.y0 + row.dy * (np.arange(row.h) + 0.5))
+            pixels = np.array(row.pixels, float).reshape(row.h, row.w)
+            for p in plots.itertuples():
+                h = pixels[_inside(x, y, np.array([[q["x"], q["y"]] for q in p.ring]))]
                 h = np.maximum(h[~np.isnan(h)], 0)
-                out.append((row.raster_id, row.field, row.plot, len(h), int(((h >= WEED_FROM) & (h <= WEED_TO)).sum())))
-            yield pd.DataFrame(out, columns=["raster_id", "field", "plot", "px_valid", "px_weed"])
+                out.append((row.raster_id, p.field, p.plot, len(h), int(((h >= WEED_FROM) & (h <= WEED_TO)).sum())))
+        return pd.DataFrame(out, columns=["raster_id", "field", "plot", "px_valid", "px_weed"])
 
-    parts = met.select("raster_id", "field", "plot", "x0", "y0", "dx", "dy", "h", "w", "ring", "pixels").mapInPandas(run, "raster_id string, field string, plot int, px_valid long, px_weed long")
+    parts = tiles.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(run, "raster_id string, field string, plot int, px_valid long, px_weed long")
     sums = parts.groupBy("raster_id", "field", "plot").agg(F.sum("px_valid").alias("px_valid"), F.sum("px_weed").alias("px_weed"))
     return sums.withColumn("frac_weed", F.when(F.col("px_valid") > 0, F.col("px_weed") / F.col("px_valid")))

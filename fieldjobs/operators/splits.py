@@ -43,7 +43,7 @@ def downsample_by_group(df: DataFrame, group: str, key: str, n: int | None = Non
 def leave_one_group_out(df: DataFrame, group: str) -> DataFrame:
     """Every row once per group value (few), with ``fold`` and ``split``: test where it is its own group, else pool."""
     folds = df.select(F.col(group).alias("fold")).where("fold is not null").distinct()
-    out = df.join(F.broadcast(folds), F.lit(True))
+    out = df.crossJoin(folds)
     return out.withColumn("split", F.when(F.col(group) == F.col("fold"), "test").otherwise("pool"))
 
 

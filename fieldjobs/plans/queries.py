@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fieldjobs.functions import bins, keys, solar
 from fieldjobs.operators import compare, geometry, intervals, joins, metrics, model, pixels, profile, ranks, raster, splits, stats
+from fieldjobs.plans import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -409,9 +410,13 @@ def earliest_reference(t):
     return raster.assign_reference(_inventory(t), (1996,)).select("o_orderkey", "dtm_strategy", "ref_dtm_path")
 
 
-@query("SELECT o_custkey AS flight_folder, o_orderpriority AS kind, max_by('f_' || strftime(o_orderdate, '%Y%m%d') || '_' || o_orderkey, {'d': o_orderdate, 'n': 'f_' || strftime(o_orderdate, '%Y%m%d') || '_' || o_orderkey}) AS path FROM orders GROUP BY 1, 2")
+@query("""SELECT o_custkey AS flight_folder, o_orderpriority AS kind, max_by(path, {'w': CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate::TIMESTAMP ELSE o_orderdate::TIMESTAMP + to_hours(o_orderkey % 24) + to_minutes(o_orderkey % 60) END, 'n': path}) AS path FROM
+    (SELECT *, 'DJI_20991231_1/f_20300102_' || strftime(o_orderdate, '%Y%m%d') || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'T' || lpad((o_orderkey % 24)::VARCHAR, 2, '0') || lpad((o_orderkey % 60)::VARCHAR, 2, '0') END || '_' || o_orderkey AS path FROM orders) GROUP BY 1, 2""")
 def latest_file(t):
-    o = t("orders").select(F.col("o_custkey").alias("flight_folder"), F.col("o_orderpriority").alias("kind"), F.concat_ws("_", F.lit("f"), F.date_format("o_orderdate", "yyyyMMdd"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_orderdate").alias("modified"))
+    two = lambda n: F.lpad((F.col("o_orderkey") % n).cast("string"), 2, "0")
+    time = F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.concat(F.lit("T"), two(24), two(60)))
+    path = F.concat(F.lit("DJI_20991231_1/f_20300102_"), F.date_format("o_orderdate", "yyyyMMdd"), time, F.lit("_"), F.col("o_orderkey").cast("string"))
+    o = t("orders").select(F.col("o_custkey").alias("flight_folder"), F.col("o_orderpriority").alias("kind"), path.alias("path"), F.col("o_orderdate").cast("timestamp").alias("modified"))
     return raster.latest_file(o).select("flight_folder", "kind", "path")
 
 
@@ -453,7 +458,18 @@ def _events(t) -> DataFrame:
     return t("events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query()
+#: The sun over the default site at each event, said step by step.
+SUN = f"""(WITH t AS (SELECT event_id, epoch_us(ts) AS us, (epoch_us(ts) / 86400e6 + 2440587.5 - 2451545.0) / 36525.0 AS t FROM events),
+    a AS (SELECT *, radians((280.46646 + t * (36000.76983 + t * 0.0003032)) % 360) AS l, radians(357.52911 + t * (35999.05029 - t * 0.0001537)) AS m, 0.016708634 - t * (0.000042037 + t * 0.0000001267) AS e, radians(125.04 - 1934.136 * t) AS o FROM t),
+    b AS (SELECT *, radians(degrees(l) + sin(m) * (1.914602 - t * (0.004817 + t * 0.000014)) + sin(2 * m) * (0.019993 - t * 0.000101) + sin(3 * m) * 0.000289 - 0.00569 - 0.00478 * sin(o)) AS lambda_, radians(23 + (26 + (21.448 - t * (46.815 + t * (0.00059 - t * 0.001813))) / 60) / 60 + 0.00256 * cos(o)) AS eps FROM a),
+    c AS (SELECT *, asin(sin(eps) * sin(lambda_)) AS decl, tan(eps / 2) ** 2 AS y FROM b),
+    d AS (SELECT *, 4 * degrees(y * sin(2 * l) - 2 * e * sin(m) + 4 * e * y * sin(m) * cos(2 * l) - 0.5 * y * y * sin(4 * l) - 1.25 * e * e * sin(2 * m)) AS eqt FROM c),
+    h AS (SELECT *, radians((((us / 60e6) % 1440 + eqt + 4 * {solar.LONGITUDE} + 1440) % 1440) / 4 - 180) AS hour, radians({solar.LATITUDE}) AS lat FROM d),
+    z AS (SELECT *, degrees(asin(sin(lat) * sin(decl) + cos(lat) * cos(decl) * cos(hour))) AS el FROM h)
+    SELECT event_id, 90 - el - CASE WHEN el > -0.575 THEN 1.02 / 60 / tan(radians(el + 10.3 / (el + 5.11))) ELSE 0 END AS zenith, (degrees(atan2(sin(hour), cos(hour) * sin(lat) - tan(decl) * cos(lat))) + 540) % 360 AS azimuth FROM z)"""
+
+
+@query(f"SELECT event_id, zenith, azimuth FROM {SUN}", ("zenith", "azimuth"), 4)
 def sun(t):
     z, a = solar.solar_position(F.col("ts"), F.lit(solar.LATITUDE), F.lit(solar.LONGITUDE))
     return _events(t).select("event_id", z.alias("zenith"), a.alias("azimuth"))
@@ -464,9 +480,9 @@ def noon_offset(t):
     return _events(t).select("event_id", solar.minutes_from_noon(F.col("ts"), F.lit(solar.LONGITUDE), "America/New_York").alias("minutes"))
 
 
-@query("SELECT event_id, least(d, 180 - d) AS angle FROM (SELECT event_id, abs(((value * 7 + 180) % 180) - (user_id * 13 % 180)) AS d FROM events WHERE value >= 0)", ("angle",))
+@query("SELECT event_id, least(d, 180 - d) AS angle FROM (SELECT event_id, abs((((value * 7 + 180) % 180) + 180) % 180 - (user_id * 13 % 180)) AS d FROM events)", ("angle",))
 def shadow_angle(t):
-    return t("events").where("value >= 0").select("event_id", solar.shadow_row_angle(F.col("value") * 7, (F.col("user_id") * 13 % 180).cast("double")).alias("angle"))
+    return t("events").select("event_id", solar.shadow_row_angle(F.col("value") * 7, (F.col("user_id") * 13 % 180).cast("double")).alias("angle"))
 
 
 @query("SELECT event_type, ((degrees(atan2(avg(sin(radians(value % 90))), avg(cos(radians(value % 90))))) % 180) + 180) % 180 AS mean_angle FROM events GROUP BY event_type", ("mean_angle",))
@@ -515,6 +531,13 @@ def pair_corr(t):
     return stats.pearson(_line(t), "actual", "predicted", ["l_returnflag"]).drop("p")
 
 
+@query("""WITH r AS (SELECT l_orderkey AS plot, l_linenumber AS rater, l_quantity AS score FROM lineitem), o AS (SELECT l_orderkey AS plot, avg(l_extendedprice) AS predicted FROM lineitem GROUP BY 1),
+    p AS (SELECT a.rater || '-' || b.rater AS what, count(*) AS n, corr(a.score, b.score) AS r FROM r a JOIN r b ON a.plot = b.plot AND a.rater < b.rater GROUP BY a.rater, b.rater), m AS (SELECT 'model-' || rater AS what, count(*) AS n, corr(score, predicted) AS r FROM r JOIN o USING (plot) GROUP BY rater)
+    SELECT * FROM p UNION ALL SELECT * FROM m UNION ALL SELECT 'rater-rater', NULL, avg(r) FROM p UNION ALL SELECT 'model-rater', NULL, avg(r) FROM m UNION ALL SELECT 'difference', NULL, (SELECT avg(r) FROM m) - (SELECT avg(r) FROM p)""", ("r",))
+def agreement(t):
+    return agreement_table(t).drop("stars")
+
+
 @query()
 def agreement_table(t):
     r = _ratings(t)
@@ -552,9 +575,14 @@ def centroid(t):
     return geometry.centroid(_rings(t), "p_brand")
 
 
-@query("SELECT p_partkey, CASE WHEN p_size >= 1 THEN 90.0::DOUBLE ELSE 90.0 END AS bearing FROM part WHERE p_size > 1", ("bearing",))
+@query("SELECT p_partkey, (p_partkey * 7 % 180)::DOUBLE AS bearing FROM part", ("bearing",))
 def plot_bearing(t):
-    return _rings(t).join(t("part").where("p_size > 1").select("p_partkey"), "p_partkey").select("p_partkey", geometry.plot_bearing(F.col("ring")).alias("bearing"))
+    """Rectangles two and more times as long as wide, turned clockwise from north by an angle of their own."""
+    a, n = F.radians((F.col("p_partkey") * 7 % 180).cast("double")), (F.col("p_size") + 2).cast("double")
+    corner = lambda along, across: F.struct((along * F.sin(a) + across * F.cos(a)).alias("x"), (along * F.cos(a) - across * F.sin(a)).alias("y"))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    ring = F.array(corner(zero, zero), corner(n, zero), corner(n, one), corner(zero, one))
+    return t("part").select("p_partkey", (F.round(geometry.plot_bearing(ring), 6) % 180).alias("bearing"))
 
 
 def _images(t) -> DataFrame:
@@ -568,7 +596,7 @@ def _images(t) -> DataFrame:
 PIX = "(SELECT vec_id::VARCHAR AS origin, unnest(list_transform(embedding, lambda x: greatest(0, least(255, floor(x::DOUBLE * 400 + 128))))) AS v FROM embeddings)"
 
 
-@query(f"SELECT origin, origin AS basename, avg(v) FILTER (v < 245) AS mean_brightness, avg(v) FILTER (v < 245) / quantile_cont(v, .95) FILTER (v < 245) AS sf_illuminorm, stddev_pop(v) AS contrast_rms, avg((v >= 245)::INTEGER) AS white_fraction, avg((v >= 245)::INTEGER) < .05 AS is_valid, CASE WHEN avg((v >= 245)::INTEGER) >= .95 THEN 'fully_oob' WHEN avg((v >= 245)::INTEGER) >= .05 THEN 'partially_oob_white' ELSE 'ok' END AS reason FROM {PIX} GROUP BY origin", ("mean_brightness", "sf_illuminorm", "contrast_rms", "white_fraction"))
+@query(f"SELECT origin, origin AS basename, avg(v) FILTER (v < 245) AS mean_brightness, count(*) FILTER (v < 245 AND v / (top + 1e-6) < 55 / 255) / count(*) FILTER (v < 245) AS sf_illuminorm, stddev_pop(v) AS contrast_rms, avg((v >= 245)::INTEGER) AS white_fraction, avg((v >= 245)::INTEGER) < .05 AS is_valid, CASE WHEN avg((v >= 245)::INTEGER) >= .95 THEN 'fully_oob' WHEN avg((v >= 245)::INTEGER) >= .05 THEN 'partially_oob_white' ELSE 'ok' END AS reason FROM {PIX} JOIN (SELECT origin, quantile_cont(v, .95) FILTER (v < 245) AS top FROM {PIX} GROUP BY origin) USING (origin) GROUP BY origin", ("mean_brightness", "sf_illuminorm", "contrast_rms", "white_fraction"))
 def pixel_stats(t):
     return pixels.pixel_covariates(_images(t))
 
@@ -611,11 +639,66 @@ def zonal_fraction(t):
     return raster.zonal(heights, plots, heights.select("raster_id", F.lit("f").alias("field")).distinct())
 
 
+@query(f"""WITH a AS (SELECT coalesce(fold::VARCHAR, 'all_folds') AS fold, {FOLD} FROM {LINE} GROUP BY GROUPING SETS ((fold), ())), b AS (SELECT fold::VARCHAR AS fold, actual, predicted FROM {LINE} UNION ALL SELECT 'all_folds', actual, predicted FROM {LINE}),
+    r AS (SELECT fold, rank() OVER (PARTITION BY fold ORDER BY actual) + (count(*) OVER (PARTITION BY fold, actual) - 1) / 2 AS x, rank() OVER (PARTITION BY fold ORDER BY predicted) + (count(*) OVER (PARTITION BY fold, predicted) - 1) / 2 AS y FROM b)
+    SELECT a.*, spearman_rho FROM a JOIN (SELECT fold, corr(x, y) AS spearman_rho FROM r GROUP BY fold) USING (fold)""", (*FOLD_D, "spearman_rho"))
+def prediction_metrics(t):
+    return jobs.prediction_metrics(_line(t).select("fold", "actual", "predicted"))
+
+
+@query(f"SELECT image_filename, predicted - actual AS signed_error, abs(predicted - actual) AS abs_error, s_acctbal FROM (SELECT l_suppkey AS image_filename, actual, predicted FROM {LINE}) JOIN (SELECT s_suppkey AS image_filename, s_acctbal FROM supplier WHERE s_acctbal > 0) USING (image_filename)", ("signed_error", "abs_error"))
+def image_errors(t):
+    return _image_errors(t)[0].select("image_filename", "signed_error", "abs_error", "s_acctbal")
+
+
+@query(f"SELECT count(*) AS n_predictions, count(*) FILTER (l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)) AS n_lost FROM {LINE}")
+def image_errors_lost(t):
+    return _image_errors(t)[1]
+
+
+def _image_errors(t):
+    covariates = t("supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("image_filename"), "s_acctbal")
+    return joins.join_covariates(_line(t).select(F.col("l_suppkey").alias("image_filename"), "actual", "predicted"), covariates)
+
+
+@query("SELECT sum(n) FILTER (s <> floor(s)) / sum(n) AS half_share FROM (SELECT floor(l_quantity / 5 * 2) / 2 AS s, count(*) AS n FROM lineitem GROUP BY 1) WHERE s BETWEEN 1 AND 9", ("half_share",))
+def half_share(t):
+    return profile.half_share(profile.score_counts(t("lineitem").withColumn("s", F.floor(F.col("l_quantity") / 5 * 2) / 2), "s"))
+
+
+def _names(t) -> DataFrame:
+    """Orders as image files: day of the order, priority's number as field, customer as plot."""
+    day, field = F.date_format("o_orderdate", "yyyyMMdd"), F.concat(F.lit("f"), F.substring("o_orderpriority", 1, 1))
+    return t("orders").select("o_orderkey", F.concat(day, F.lit("_"), field, F.lit("_"), F.lpad(F.col("o_custkey").cast("string"), 5, "0"), F.lit(".jpg")).alias("image_filename"))
+
+
+FILE_NAMES = "(SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') || '_f' || o_orderpriority[1] || '_' || lpad(o_custkey::VARCHAR, 5, '0') || '.jpg' AS image_filename FROM orders)"
+
+
+@query(f"SELECT o_orderkey, image_filename FROM {FILE_NAMES} WHERE image_filename LIKE '19960102_f5_%'")
+def of_flight(t):
+    return keys.of_flight(_names(t), "19960102_F5").select("o_orderkey", "image_filename")
+
+
+@query(f"SELECT o_orderkey, image_filename, replace(image_filename, '.jpg', CASE WHEN o_custkey % 3 = 0 THEN '.jpg' ELSE '.png' END) AS found_name FROM {FILE_NAMES} JOIN orders USING (o_orderkey) WHERE o_custkey % 3 < 2")
+def found_images(t):
+    names = _names(t)
+    key = F.regexp_extract("image_filename", r"_(\d+)\.jpg$", 1).cast("long") % 3
+    files = names.select(F.when(key == 0, F.col("image_filename")).when(key == 1, F.regexp_replace("image_filename", "jpg$", "png")).alias("basename")).where("basename is not null").distinct()
+    return joins.filter_existing(names, files)[0].select("o_orderkey", "image_filename", "found_name")
+
+
 @query()
 def kde_null(t):
     return stats.expected_scores(profile.score_counts(t("lineitem").withColumn("s", F.floor(F.col("l_quantity") / 5 * 2) / 2), "s"))
 
 
+@query(f"SELECT fold, regr_slope(predicted, actual) AS slope, count(*) AS n, sqrt(avg((predicted - actual) ** 2)) AS rmse FROM {LINE} GROUP BY fold", ("slope", "rmse"))
+def fold_lines(t):
+    l = _line(t)
+    return stats.ols(l, "actual", "predicted", ["fold"]).select("fold", "slope", "n").join(l.groupBy("fold").agg(F.sqrt(F.avg((F.col("predicted") - F.col("actual")) ** 2)).alias("rmse")), "fold")
+
+
 @query()
 def chi_square(t):
     return stats.chi_square(stats.expected_scores(profile.score_counts(t("lineitem").withColumn("s", F.floor(F.col("l_quantity") / 5 * 2) / 2), "s")))

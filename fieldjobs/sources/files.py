@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Folder and file name parts of rasters that are not used.
+#: Parts of a raster's own name, or of its folder's, that set it aside.
 UNUSED = r"(?i)(_CC_|multispectral|ortho)"
 
 
@@ -32,7 +32,13 @@ def raster_inventory(listing: DataFrame, field: str | None = None) -> DataFrame:
     """
     folder = F.regexp_extract("path", r"/(DJI_[^/]*)/", 1)
     kind = F.lower(F.regexp_extract("path", r"(?i)(dsm|dtm)[^/]*\.tif$", 1))
-    df = listing.withColumn("flight_folder", folder).withColumn("kind", kind).where((folder != "") & (kind != "") & ~F.col("path").rlike(UNUSED))
+    df = listing.withColumn("flight_folder", folder).withColumn("kind", kind).where((folder != "") & (kind != "") & ~F.regexp_extract("path", r"([^/]*/)?[^/]*$", 0).rlike(UNUSED))
     date = F.try_to_timestamp(F.regexp_extract("flight_folder", r"(\d{8})", 1), F.lit("yyyyMMdd")).cast("date")
     df = df.select("path", F.col("modificationTime").alias("modified"), F.upper(F.regexp_extract("path", r"/([^/]+)/DJI_", 1)).alias("field"), "flight_folder", date.alias("flight_date"), F.year(date).alias("year"), "kind")
     return df.where(F.col("field") == field.upper()) if field else df
+
+
+def flight_rasters(latest: DataFrame) -> DataFrame:
+    """``flight_folder, field, flight_date, year, dsm_path, dtm_path``: one row per flight from its newest file of each kind."""
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("path"))).alias(f"{kind}_path")
+    return latest.groupBy("flight_folder", "field", "flight_date", "year").agg(of("dsm"), of("dtm"))
