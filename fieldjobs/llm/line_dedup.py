@@ -106,37 +106,44 @@ def _windows(min_words: int):
                 # the first place of each window in its text
                 _, one, which = np.unique(mix(check + mix(text.astype(_U))), return_index=True, return_inverse=True)
                 begin |= np.where(begin >= begin[one][which] + min_words, REPEATED, 0)
-                place = (np.asarray(some.column("text_hash"))[text] & (2**32 - 1)) << WORD_BITS | begin
-                yield pa.RecordBatch.from_arrays([pa.array(w.least[again].view(np.int64)), pa.array(check.view(np.int64)), some.column("doc_id").take(pa.array(text)), pa.array(place)], ["print", "check", "doc_id", "place"])
+                place = np.asarray(some.column("tag"))[text] | begin
+                # the fingerprint's low half and the window's own hash: 96 bits
+                yield pa.RecordBatch.from_arrays([pa.array(w.least[again].astype(np.uint32).view(np.int32)), pa.array(check.view(np.int64)), some.column("doc_id").take(pa.array(text)), pa.array(place)], ["print", "check", "doc_id", "place"])
 
     return run
 
 
 def _tag(text_hash):
-    return F.shiftleft(F.col(text_hash).bitwiseAND(F.lit(2**32 - 1)), WORD_BITS)
+    """What tells a text from others of its doc_id, never 0."""
+    return F.shiftleft(text_hash.bitwiseAND(F.lit(2**32 - 1)).bitwiseOR(F.lit(1)), WORD_BITS)
 
 
 def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, tag, begins, copy``: the first words of the windows to delete, for texts that lose any; ``copy``: all of the text goes."""
     text = F.coalesce("text", F.lit(""))
     src = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    printed = cut(src.mapInArrow(_prints(min_words), "doc_id long, text_hash long, bytes long, prints array<long>").where(F.size("prints") > 0))
+    printed = cut(src.mapInArrow(_prints(min_words), "doc_id long, text_hash long, bytes long, prints array<long>"))
+    # tags are only needed where a doc_id has several texts
+    several = F.min("text_hash") != F.max("text_hash")
+    tags = cut(printed.groupBy("doc_id").agg(several.alias("several"), F.count_if(F.size("prints") > 0).alias("n")).where("n > 0").drop("n"))
+    tag = F.when(F.col("several"), _tag(F.col("text_hash"))).otherwise(F.lit(0).cast("long")).alias("tag")
+    printed = printed.where(F.size("prints") > 0)
     # later copies of a whole text go as one
-    first = printed.groupBy("text_hash", "bytes").agg(F.min("doc_id").alias("head"), F.count("*").alias("n"))
-    first = cut(first)
-    copies = printed.select("doc_id", "text_hash", "bytes").join(first.where("n > 1"), ["text_hash", "bytes"]).where("doc_id > head").select("doc_id", _tag("text_hash").alias("tag")).distinct()
+    first = cut(printed.groupBy("text_hash", "bytes").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")))
+    copies = printed.select("doc_id", "text_hash", "bytes").join(first.where("n > 1"), ["text_hash", "bytes"]).where("doc_id > head").join(tags, "doc_id").select("doc_id", tag).distinct()
     one_each = printed.join(first, (printed["text_hash"] == first["text_hash"]) & (printed["bytes"] == first["bytes"]) & (printed["doc_id"] == first["head"]), "left_semi")
-    # within this step a text is known by its hash alone: two that share it are given each other's fingerprints, which costs a little work
-    prints = one_each.select("text_hash", F.explode("prints").alias("print"))
+    # within this step a text is known by its doc_id alone: texts that share it are given each other's fingerprints, which costs a little work
+    prints = one_each.select("doc_id", F.explode("prints").alias("print"))
     again = cut(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"))
-    prints = one_each.select("text_hash", F.explode(F.array_distinct("prints")).alias("print"))
-    hot = cut(prints.join(again, "print").repartition("text_hash").groupBy("text_hash").agg(F.collect_set("print").alias("prints")))
-    asked = one_each.select("doc_id", "text_hash").distinct().join(hot, "text_hash")
-    windows = cut(src.join(asked, ["doc_id", "text_hash"]).mapInArrow(_windows(min_words), "print long, check long, doc_id long, place long"))
+    prints = one_each.select("doc_id", F.explode(F.array_distinct("prints")).alias("print"))
+    hot = cut(prints.join(again, "print").repartition("doc_id").groupBy("doc_id").agg(F.collect_set("print").alias("prints")))
+    asked = one_each.select("doc_id", "text_hash").distinct().join(tags, "doc_id").select("doc_id", "text_hash", tag).join(hot, "doc_id")
+    windows = cut(src.join(asked, ["doc_id", "text_hash"]).mapInArrow(_windows(min_words), "print int, check long, doc_id long, place long"))
     earliest = windows.groupBy("print", "check").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1").select("print", "check", "head")
-    word, tag = F.col("place").bitwiseAND(F.lit(REPEATED - 1)), F.col("place").bitwiseAND(F.lit(~(2**WORD_BITS - 1)))
+    earliest = cut(earliest)  # so that a window that very many texts hold is split
+    word, of = F.col("place").bitwiseAND(F.lit(REPEATED - 1)), F.col("place").bitwiseAND(F.lit(~(2**WORD_BITS - 1)))
     later = windows.join(earliest, ["print", "check"]).where((F.col("doc_id") > F.col("head")) | (F.col("place").bitwiseAND(F.lit(REPEATED)) != 0))
-    begins = later.select("doc_id", tag.alias("tag"), word.cast("int").alias("begin")).repartition("doc_id", "tag").groupBy("doc_id", "tag").agg(F.collect_set("begin").alias("begins"))
+    begins = later.select("doc_id", of.alias("tag"), word.cast("int").alias("begin")).repartition("doc_id", "tag").groupBy("doc_id", "tag").agg(F.collect_set("begin").alias("begins"))
     begins = cut(begins)
     return begins.withColumn("copy", F.lit(False)).union(copies.select("doc_id", "tag", F.array().cast("array<int>"), F.lit(True)))
 
@@ -206,8 +213,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     col = dict(zip(docs.columns, names))
     gone = repeated_windows(docs.select("doc_id", "text"), min_words)
     text = F.coalesce(F.col(col["text"]), F.lit(""))
-    keyed = docs.toDF(*names).withColumn("id", F.col(col["doc_id"]).cast("long")).withColumn("mark", F.shiftleft(F.xxhash64(text).bitwiseAND(F.lit(2**32 - 1)), WORD_BITS))
-    out = keyed.join(gone, (F.col("id") == F.col("doc_id")) & (F.col("mark") == F.col("tag")), "left")
+    keyed = docs.toDF(*names).withColumn("id", F.col(col["doc_id"]).cast("long")).withColumn("mark", _tag(F.xxhash64(text)))
+    out = keyed.join(gone, (F.col("id") == F.col("doc_id")) & ((F.col("tag") == 0) | (F.col("mark") == F.col("tag"))), "left")
     loses = F.col("tag").isNotNull()
     none = F.array().cast("array<struct<begin: int, end: int>>")
     out = out.withColumn("spans", _spans(min_words)(F.when(loses, text), F.col("begins"), F.coalesce("copy", F.lit(False))))
