@@ -42,8 +42,8 @@ def downsample_by_group(df: DataFrame, group: str, key: str, n: int | None = Non
 
 def leave_one_group_out(df: DataFrame, group: str) -> DataFrame:
     """Every row once per group value (few), with ``fold`` and ``split``: test where it is its own group, else pool."""
-    folds = df.select(F.col(group).alias("fold")).where("fold is not null").distinct()
-    out = df.crossJoin(folds)
+    folds = [r[0] for r in df.select(group).where(F.col(group).isNotNull()).distinct().orderBy(group).collect()]
+    out = df.withColumn("fold", F.explode(F.array(*map(F.lit, folds)) if folds else F.array().cast("array<string>")))
     return out.withColumn("split", F.when(F.col(group) == F.col("fold"), "test").otherwise("pool"))
 
 
