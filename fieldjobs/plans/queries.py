@@ -531,7 +531,7 @@ def pair_corr(t):
     return stats.pearson(_line(t), "actual", "predicted", ["l_returnflag"]).drop("p")
 
 
-@query("""WITH r AS (SELECT l_orderkey AS plot, l_linenumber AS rater, l_quantity AS score FROM lineitem), o AS (SELECT l_orderkey AS plot, avg(l_extendedprice) AS predicted FROM lineitem GROUP BY 1),
+@query("""WITH r AS (SELECT l_orderkey AS plot, l_linenumber AS rater, max(l_quantity) AS score FROM lineitem GROUP BY 1, 2), o AS (SELECT l_orderkey AS plot, avg(l_extendedprice) AS predicted FROM lineitem GROUP BY 1),
     p AS (SELECT a.rater || '-' || b.rater AS what, count(*) AS n, corr(a.score, b.score) AS r FROM r a JOIN r b ON a.plot = b.plot AND a.rater < b.rater GROUP BY a.rater, b.rater), m AS (SELECT 'model-' || rater AS what, count(*) AS n, corr(score, predicted) AS r FROM r JOIN o USING (plot) GROUP BY rater)
     SELECT * FROM p UNION ALL SELECT * FROM m UNION ALL SELECT 'rater-rater', NULL, avg(r) FROM p UNION ALL SELECT 'model-rater', NULL, avg(r) FROM m UNION ALL SELECT 'difference', NULL, (SELECT avg(r) FROM m) - (SELECT avg(r) FROM p)""", ("r",))
 def agreement(t):
