@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fieldjobs.operators.ranks import group_of, quantiles
+
 #: Labels of the day-offset bins and the right-closed edges between them.
 OFFSET_LABELS = ["3+ days before", "2 days before", "1 day before", "Same day", "1 day after", "2 days after", "3+ days after"]
 OFFSET_EDGES = [-2.5, -1.5, -0.5, 0.5, 1.5, 2.5]
@@ -34,9 +36,8 @@ def offset_label(position: Column) -> Column:
 def quantile_bins(df: DataFrame, col: str, n: int = 5, by: tuple[str, ...] = (), approx: bool = False) -> DataFrame:
     """Adds ``bin`` 0..: linear quantile edges, equal edges merged, right-closed, the lowest value in the first bin."""
     probabilities = [i / n for i in range(n + 1)]
-    edges = F.percentile_approx(col, probabilities, 100_000) if approx else F.percentile(col, F.array(*map(F.lit, probabilities)))
-    keys = [*by] or ["_all"]
-    src = df if by else df.withColumn("_all", F.lit(1))
-    out = src.join(F.broadcast(src.groupBy(*keys).agg(F.array_distinct(edges).alias("_edges"))) if not by else src.groupBy(*keys).agg(F.array_distinct(edges).alias("_edges")), keys)
+    src = df.withColumn("_g", group_of([*by]))
+    found = src.groupBy("_g").agg(F.percentile_approx(col, probabilities, 100_000).alias("_q")) if approx else quantiles(df, col, [*by], probabilities)
+    out = src.join(found if by else F.broadcast(found), "_g", "left").withColumn("_edges", F.array_distinct("_q"))  # without ``by``, one row
     inner = F.slice("_edges", 2, F.greatest(F.size("_edges") - 2, F.lit(0)))
-    return out.withColumn("bin", F.when(F.col(col).isNotNull(), F.size(F.filter(inner, lambda e: e < F.col(col))))).drop("_edges", "_all")
+    return out.withColumn("bin", F.when(F.col(col).isNotNull(), F.size(F.filter(inner, lambda e: e < F.col(col))))).drop("_edges", "_q", "_g")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldjobs.functions.bins import half_step, integer_bin, offset_label, offset_position
 from fieldjobs.functions.pvalues import p_of_t
+from fieldjobs.operators.ranks import with_quantiles
 
 ZERO_VARIANCE = ("sklearn", "infinite")
 
@@ -76,9 +77,9 @@ def summary_table(metrics: DataFrame, fold: str, names: list[str]) -> DataFrame:
 
 def half_step_bias(df: DataFrame, least: int = 5) -> DataFrame:
     """``bin, n, mean_signed_error, mean_predicted, q1, q3`` by nearest half step of ``actual``, bins of ``least`` rows at least."""
-    e = F.col("predicted") - F.col("actual")
-    out = df.groupBy(half_step(F.col("actual")).alias("bin")).agg(F.count("*").alias("n"), F.avg(e).alias("mean_signed_error"), F.avg("predicted").alias("mean_predicted"), F.percentile(e, 0.25).alias("q1"), F.percentile(e, 0.75).alias("q3"))
-    return out.where(F.col("n") >= least)
+    src = df.select(half_step(F.col("actual")).alias("bin"), "predicted", (F.col("predicted") - F.col("actual")).alias("e"))
+    out = src.groupBy("bin").agg(F.count("*").alias("n"), F.avg("e").alias("mean_signed_error"), F.avg("predicted").alias("mean_predicted"))
+    return with_quantiles(out.where(F.col("n") >= least), src, "e", ["bin"], {"q1": 0.25, "q3": 0.75})
 
 
 def integer_bias(df: DataFrame, least: int = 3, low: int = 1, high: int = 9) -> DataFrame:
@@ -89,10 +90,10 @@ def integer_bias(df: DataFrame, least: int = 3, low: int = 1, high: int = 9) ->
 
 def offset_stats(df: DataFrame, days: str, error: str) -> DataFrame:
     """Error statistics of the seven day-offset bins, empty ones kept, with a t test against 0 for two rows or more."""
-    e = F.col(error)
-    got = df.where(e.isNotNull() & F.col(days).isNotNull()).groupBy(offset_position(F.col(days)).alias("position")).agg(
-        F.count("*").alias("n"), F.avg(e).alias("mean_signed_error"), F.median(e).alias("median_signed_error"), F.stddev_samp(e).alias("std_signed_error"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse")
-    )
+    e = F.col("e")
+    src = df.where(F.col(error).isNotNull() & F.col(days).isNotNull()).select(offset_position(F.col(days)).alias("position"), F.col(error).alias("e"))
+    got = src.groupBy("position").agg(F.count("*").alias("n"), F.avg(e).alias("mean_signed_error"), F.stddev_samp(e).alias("std_signed_error"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
+    got = with_quantiles(got, src, "e", ["position"], {"median_signed_error": 0.5})
     bins = df.sparkSession.range(7).select(F.col("id").cast("int").alias("position"))
     out = bins.join(got, "position", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("bin", offset_label(F.col("position")))
     return one_sample_t(out)

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fieldjobs.operators.ranks import group_of, running_total, with_quantiles
+
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
 
 def score_counts(df: DataFrame, score: str, low: float = 1.0, high: float = 9.0, step: float = 0.5) -> DataFrame:
     """``score, observed`` over all legal scores, zeros kept."""
@@ -31,12 +35,14 @@ def share_within(df: DataFrame, days: str, most: int = 3) -> DataFrame:
 
 
 def year_stats(df: DataFrame, by: str, value: str) -> DataFrame:
-    q = lambda p: F.percentile(value, p)
-    return df.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_samp(value).alias("sd"), q(0.25).alias("q1"), q(0.75).alias("q3"), (q(0.75) - q(0.25)).alias("iqr"))
+    out = df.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    out = with_quantiles(out, df, value, [by], QUARTILES)
+    return out.select(by, "n", "mean", "median", "sd", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"))
 
 
 def label_stats(df: DataFrame, label: str) -> DataFrame:
-    return df.agg(F.avg(label).alias("mean"), F.stddev_pop(label).alias("std"), F.min(label).alias("min"), F.max(label).alias("max"), F.median(label).alias("median"))
+    out = df.agg(F.avg(label).alias("mean"), F.stddev_pop(label).alias("std"), F.min(label).alias("min"), F.max(label).alias("max"))
+    return with_quantiles(out, df, label, [], {"median": 0.5})
 
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:
@@ -48,8 +54,8 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
 def column_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """``column, count, mean, std, min, q1, median, q3, max``."""
     long = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "column", "x")
-    q = lambda p: F.percentile("x", p)
-    return long.groupBy("column").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max("x").alias("max"))
+    out = long.groupBy("column").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    return with_quantiles(out, long, "x", ["column"], QUARTILES).select("column", "count", "mean", "std", "min", "q1", "median", "q3", "max")
 
 
 def distinct_keys(df: DataFrame, key: str) -> DataFrame:
@@ -80,8 +86,16 @@ def sample_per_group(df: DataFrame, by: str, n: int, key: str, seed: int = 0) ->
 
 
 def percentile_pick(df: DataFrame, by: list[str], value: str, key: str, percents: tuple[int, ...] = (10, 90)) -> DataFrame:
-    """Of each group, sorted, the rows at round(p / 100 * (n - 1)), ties of rounding to even."""
-    order = Window.partitionBy(*by).orderBy(value, key)
-    placed = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
-    wanted = F.explode(F.array(*(F.lit(p) for p in percents)))
-    return placed.withColumn("percent", wanted).where(F.col("_i") == F.bround(F.col("percent") / 100 * (F.col("_n") - 1))).drop("_i", "_n")
+    """Of each group, sorted, the rows at round(p / 100 * (n - 1)), ties of rounding to even.
+
+    Values are placed by running totals; only the rows that share a wanted value are sorted, by ``key``.
+    """
+    rows = df.where(F.col(value).isNotNull()).withColumn("_g", group_of(by)).withColumn("_v", F.col(value))
+    counts = rows.groupBy("_g", "_v").agg(F.count("*").alias("_c"))
+    sizes = counts.groupBy("_g").agg(F.sum("_c").alias("_n")).select("_g", "_n", F.explode(F.array(*map(F.lit, percents))).alias("percent"))
+    place = F.bround(F.col("percent") / 100 * (F.col("_n") - 1)).cast("long")
+    placed = running_total(counts, "_v", "_c", ["_g"]).join(sizes, "_g").where((place >= F.col("before")) & (place < F.col("before") + F.col("_c")))
+    placed = placed.select("_g", "_v", "percent", (place - F.col("before") + 1).alias("_nth"))
+    alike = rows.join(placed.select("_g", "_v").distinct(), ["_g", "_v"], "left_semi")
+    alike = alike.withColumn("_nth", F.row_number().over(Window.partitionBy("_g", "_v").orderBy(key)).cast("long"))
+    return alike.join(placed, ["_g", "_v", "_nth"]).select(*df.columns, "percent")

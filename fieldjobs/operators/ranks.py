@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldjobs.functions.pvalues import p_of_chi2, p_of_r
 
@@ -31,6 +31,39 @@ def average_ranks(df: DataFrame, value: str, by: list[str], weight: str | None =
     return running_total(counts, value, "n", by).withColumn("rank", F.col("before") + (F.col("n") + 1) / 2).drop("before")
 
 
+def group_of(by: list[str]) -> Column:
+    """The columns ``by`` as one, in which nulls equal each other."""
+    return F.struct(*by) if by else F.struct(F.lit(1).alias("all"))
+
+
+def quantiles(df: DataFrame, value: str, by: list[str], probabilities: list[float]) -> DataFrame:
+    """``_g, _q``: per group (``group_of`` of ``by``) the quantiles of its non-null values, linear between the two nearest.
+
+    Exact, and no group is held or sorted in one task: values are placed by running
+    totals, and only those at the wanted places are gathered.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(group_of(by).alias("_g"), F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    wanted = []
+    for i, p in enumerate(probabilities):
+        place = F.lit(float(p)) * (F.col("_n") - 1)
+        low, high = F.floor(place), F.ceil(place)
+        wanted += [F.struct(F.lit(i).alias("i"), at.alias("place"), part.alias("part")) for at, part in ((low, high - place), (high, place - low))]
+    sizes = counts.groupBy("_g").agg(F.sum("_c").alias("_n")).select("_g", F.array(*wanted).alias("_w"))
+    placed = running_total(counts, "_v", "_c", ["_g"]).join(sizes, "_g")
+    here = F.filter("_w", lambda x: (x["place"] >= F.col("before")) & (x["place"] < F.col("before") + F.col("_c")))
+    hits = placed.select("_g", "_v", F.explode(here).alias("x")).select("_g", "_v", "x.*")
+    q = F.when(F.min("_v") == F.max("_v"), F.min("_v")).otherwise(F.sum(F.col("_v") * F.col("part"))).alias("q")
+    lists = hits.groupBy("_g", "i").agg(q).groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("i", "q"))).alias("_q"))  # one for each probability
+    return lists.select("_g", F.transform("_q", lambda x: x["q"]).alias("_q"))
+
+
+def with_quantiles(table: DataFrame, df: DataFrame, value: str, by: list[str], names: dict[str, float]) -> DataFrame:
+    """``table`` (a row for each group of ``by``) with quantiles of ``value`` in ``df``, by name."""
+    found = quantiles(df, value, by, list(names.values()))
+    out = table.withColumn("_g", group_of(by)).join(found, "_g", "left")
+    return out.withColumns({n: F.get("_q", F.lit(i)) for i, n in enumerate(names)}).drop("_g", "_q")
+
+
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """``by, n, rho, p``: rank correlation of complete pairs; null under three pairs or without spread."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_w"))

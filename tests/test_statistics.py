@@ -8,8 +8,10 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
+from pyspark.sql import functions as F
 
-from fieldjobs.operators import intervals, joins, metrics, model, pixels, ranks, splits, stats
+from fieldjobs.functions import bins
+from fieldjobs.operators import intervals, joins, metrics, model, pixels, profile, ranks, splits, stats
 
 #: How often each half step from 1 to 9 was scored, and what a smooth density expects.
 OBSERVED = [155, 1027, 1446, 552, 1624, 581, 2777, 677, 2849, 1581, 2396, 1237, 2668, 2402, 2601, 1422, 76]
@@ -145,3 +147,28 @@ def test_compiled_predictions_of_several_models_and_lost_rows(spark):
             joins.compile_predictions(spark.createDataFrame(bad, kind), meta)
     both, lost = joins.join_covariates(spark.createDataFrame([("a", 1.0, 3.0), ("b", 1.0, 1.0), (None, 1.0, 1.0)], "image_filename string, actual double, predicted double"), spark.createDataFrame([("a", 5)], "image_filename string, w int"))
     assert [tuple(r) for r in both.collect()] == [("a", 1.0, 3.0, 2.0, 2.0, 5)] and tuple(lost.first()) == (3, 2)
+
+
+def test_quantiles_equal_the_built_in_ones_for_each_group(spark):
+    r = random.Random(11)
+    rows = [(r.choice(["a", "b", None]), r.choice([r.random() * 9, float(r.randrange(5)), None])) for _ in range(3000)] + [("one", 4.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    p = [0.0, 0.2, 0.25, 0.5, 0.75, 0.95, 1.0]
+    got = {x["_g"]["g"]: x["_q"] for x in ranks.quantiles(df, "v", ["g"], p).collect()}
+    want = {x["g"]: x["q"] for x in df.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, p))).alias("q")).collect()}
+    assert got.keys() == want.keys() - {"none"} and all(got[g] == pytest.approx(want[g], rel=1e-12) for g in got)
+    assert ranks.quantiles(df, "v", [], [0.5]).first()["_q"] == pytest.approx([df.agg(F.median("v")).first()[0]])
+    assert ranks.quantiles(df.where("false"), "v", ["g"], p).count() == 0
+    binned = bins.quantile_bins(df, "v", 4, ("g",))
+    assert binned.columns == ["g", "v", "bin"] and binned.count() == len(rows) and binned.where("v is not null and bin is null").count() == 0
+
+
+def test_percentile_pick_with_ties_and_null_groups(spark):
+    r = random.Random(12)
+    rows = [(r.choice(["a", None]), float(r.randrange(6)), k) for k in range(500)] + [("a", None, 900), ("one", 1.0, 901)]
+    got = profile.percentile_pick(spark.createDataFrame(rows, "g string, v double, k int"), ["g"], "v", "k")
+    want = []
+    for g in ("a", None, "one"):
+        own = sorted((v, k) for x, v, k in rows if x == g and v is not None)
+        want += [(g, *own[round(p / 100 * (len(own) - 1))], p) for p in (10, 90)]
+    assert got.columns == ["g", "v", "k", "percent"] and sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
