@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from fieldjobs.llm.words import find_words, numbered, text_bytes
+from fieldjobs.llm.words import find_words, groups, numbered, text_bytes
 
 #: Bytes of text encoded together, and written out together, about.
 AT_ONCE, WRITTEN = 16_000_000, 2_000_000
@@ -425,16 +425,6 @@ def loaded(path: str, classes: tuple[list[int], list[int]]) -> WordBpe:
     return _LOADED[path]
 
 
-def groups(texts: pa.Array, most: int) -> Iterator[slice]:
-    """Texts of about so many bytes in all at a time; only one longer text makes a larger group."""
-    _, at = text_bytes(texts)
-    begin = 0
-    while begin < len(texts):
-        end = max(begin + 1, int(np.searchsorted(at, at[begin] + most, side="right")) - 1)
-        yield slice(begin, end)
-        begin = end
-
-
 def _hashes(blob: np.ndarray, at: np.ndarray, ids: np.ndarray, cuts: np.ndarray) -> list[str]:
     """The SHA-256 of each text's tokens, written out by an offset table, without the last space."""
     size = at[ids + 1] - at[ids]

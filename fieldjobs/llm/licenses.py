@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldjobs.llm.recovery import cut
-from fieldjobs.llm.words import ALNUM_WORDS, sequence_hashes, text_bytes, word_hashes
+from fieldjobs.llm.words import ALNUM_WORDS, few_at_a_time, sequence_hashes, text_bytes, word_hashes
 
 #: Words are runs of these characters: digits, letters and all beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -57,7 +57,7 @@ def _runs(h: np.ndarray) -> np.ndarray:
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in few_at_a_time(batches, "text"):
         h, at = word_hashes(batch.column("text"), ALNUM_WORDS)
         runs = _runs(h)
         last_of_text = np.zeros(len(h), bool)
@@ -69,7 +69,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in few_at_a_time(batches, "text"):
         data, at = text_bytes(batch.column("text"))
         inside = np.concatenate([[False], ALNUM_WORDS[data]])
         first = inside[1:] & ~inside[:-1]

@@ -20,9 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType
 
-from fieldjobs.llm.bpe import groups
 from fieldjobs.llm.recovery import cut
-from fieldjobs.llm.words import SPACE_WORDS, find_words, mix, sequence_hashes, text_bytes
+from fieldjobs.llm.words import SPACE_WORDS, find_words, groups, mix, sequence_hashes, text_bytes
 
 MIN_WORDS = 50
 #: Words of a line; at most ``min_words``.

@@ -20,9 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fieldjobs.llm.bpe import SPACE, Merges, byte_alphabet, character_classes, expanded, groups, ranges
+from fieldjobs.llm.bpe import SPACE, Merges, byte_alphabet, character_classes, expanded, ranges
 from fieldjobs.llm.recovery import cut
-from fieldjobs.llm.words import hash_words, numbered, text_bytes
+from fieldjobs.llm.words import groups, hash_words, numbered, text_bytes
 
 CAPACITY = 1024
 END_ID = 2

@@ -16,6 +16,8 @@ import pyarrow as pa
 _U = np.uint64
 #: Words of more bytes than this are hashed one by one.
 LONG = 64
+#: Bytes of text hashed at a time, about; only a longer text makes a larger part.
+PART = 1 << 21
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -60,6 +62,26 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
+def _cuts(at: np.ndarray, most: int) -> Iterator[slice]:
+    begin = 0
+    while begin < len(at) - 1:
+        end = max(begin + 1, int(np.searchsorted(at, at[begin] + most, side="right")) - 1)
+        yield slice(begin, end)
+        begin = end
+
+
+def groups(texts: pa.Array, most: int) -> Iterator[slice]:
+    """Texts of about so many bytes in all at a time; only one longer text makes a larger group."""
+    return _cuts(text_bytes(texts)[1], most)
+
+
+def few_at_a_time(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``PART`` bytes in the text ``columns``, so that a worker's memory doesn't grow with the length of its rows."""
+    for batch in batches:
+        for part in _cuts(sum(text_bytes(batch.column(c))[1] for c in columns), PART):
+            yield batch.slice(part.start, part.stop - part.start)
+
+
 def _eights(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on, as one number; zeros beyond the end."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
