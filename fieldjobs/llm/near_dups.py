@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from fieldjobs.llm.graph import components
 from fieldjobs.llm.recovery import cut
-from fieldjobs.llm.words import shingle_sets, verified_shingle_sets
+from fieldjobs.llm.words import few_at_a_time, shingle_sets, verified_shingle_sets
 
 #: Values a sketch retains.
 K = 64
@@ -39,7 +39,7 @@ PIVOTS = 3
 
 def _sketches(k: int, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_at_a_time(batches, "text"):
             sizes, classes, kept = [], [], []
             for s in shingle_sets(batch.column("text"), shingle):
                 sizes.append(len(s))
@@ -57,7 +57,7 @@ def _jaccard(shingle: int, similarity: float):
     percent = round(similarity * 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_at_a_time(batches, "text_a", "text_b"):
             linked = []
             for x, y in verified_shingle_sets(batch.column("text_a"), batch.column("text_b"), shingle):
                 both = len(np.intersect1d(x, y, assume_unique=True))
@@ -75,7 +75,7 @@ def _estimate(k: int):
 
 def _full_sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_at_a_time(batches, "text"):
             sets = [s.view(np.int64) for s in shingle_sets(batch.column("text"), shingle)]
             yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("root"), pa.array(sets, pa.list_(pa.int64()))], ["class", "root", "all"])
 
