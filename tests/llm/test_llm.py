@@ -358,3 +358,19 @@ def test_top_k_with_few_blocks_and_ties(spark, monkeypatch):
 @pytest.mark.parametrize("run", [exact_dedup.exact_duplicates, licenses.license_scan, near_dups.near_duplicates, line_dedup.dedup_lines, lm.score_texts])
 def test_empty_table(spark, run):
     assert run(docs(spark, [(1, "x")]).where("false")).count() == 0
+
+
+def test_parts_of_a_batch_hold_all_its_rows_and_few_bytes():
+    import numpy as np
+    import pyarrow as pa
+
+    from fieldjobs.llm import words
+
+    texts = ["a b c", None, "", "x y " * (words.PART // 3), "é ü", *["some words here " * 20_000] * 20]
+    whole = pa.RecordBatch.from_pydict({"text": pa.array(texts), "n": pa.array(range(len(texts)))})
+    parts = list(words.few_at_a_time(iter([whole, whole.slice(0, 0)]), "text"))
+    assert [n for p in parts for n in p.column("n").to_pylist()] == list(range(len(texts)))
+    assert all(p.num_rows == 1 or words.text_bytes(p.column("text"))[1][-1] <= words.PART for p in parts) and len(parts) > 3
+    assert np.array_equal(np.concatenate([words.word_hashes(p.column("text"))[0] for p in parts]), words.word_hashes(whole.column("text"))[0])
+    pairs = pa.RecordBatch.from_pydict({"text_a": pa.array(texts), "text_b": pa.array(texts[::-1])})
+    assert sum(p.num_rows for p in words.few_at_a_time(iter([pairs]), "text_a", "text_b")) == len(texts)
