@@ -82,7 +82,7 @@ def few_at_a_time(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[
             yield batch.slice(part.start, part.stop - part.start)
 
 
-def _eights(data: np.ndarray) -> np.ndarray:
+def eights_of(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on, as one number; zeros beyond the end."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
@@ -90,7 +90,7 @@ def _eights(data: np.ndarray) -> np.ndarray:
 
 def hash_words(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each run of bytes; runs of up to eight bytes never share one."""
-    eights = _eights(data)
+    eights = eights_of(data)
     out = mix(lengths.astype(_U) + _U(seed))
     todo = np.flatnonzero((lengths > 0) & (lengths <= LONG))
     done = 0
@@ -130,7 +130,7 @@ def numbered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes:
     _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
     head = one[which]
     differs = lengths != lengths[head]
-    eights = _eights(data)
+    eights = eights_of(data)
     todo, done = np.flatnonzero(~differs & (head != np.arange(len(head)))), 0
     while len(todo):
         left = lengths[todo] - done

@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldjobs.llm import bpe, chat, exact_dedup, licenses, line_dedup, lm, near_dups, packing, topk, toxicity
-from fieldjobs.llm.queries import BYTE_VOCABULARY, WORD_VOCABULARY
+from fieldjobs.llm.queries import BYTES, WORDS, vocabulary
+
+BYTE_VOCABULARY, WORD_VOCABULARY = vocabulary(BYTES), vocabulary(WORDS)
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, class string"
 
