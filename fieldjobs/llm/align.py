@@ -21,6 +21,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from fieldjobs.llm.bpe import byte_alphabet, character_classes, expanded, ranges
@@ -29,7 +31,7 @@ from fieldjobs.llm.recovery import cut
 from fieldjobs.llm.words import SPACE_WORDS, groups, hash_words, numbered, text_bytes
 
 #: Bytes of text in a block, about; only a longer text makes a larger block.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Bytes of a document that one lane merges.
 LANE = 512
 
@@ -185,7 +187,7 @@ class _Block:
 
 
 _LOADED: dict[tuple[str, str], tuple[Tokens, Tokens]] = {}
-_BLOCKS = "doc_id array<long>, n_a array<long>, n_b array<long>, sha array<string>, at array<long>, links array<int>, pairs array<long>, n array<long>"
+_ROWS = "block long, doc_id long, n_a long, n_b long, sha string, links array<int>, pairs array<long>, n array<long>"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, classes: tuple[list[int], list[int]], most: int) -> Iterator[tuple[pa.RecordBatch, _Block]]:
@@ -199,31 +201,33 @@ def _blocks(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, classes
 
 
 def _aligned(a_path: str, b_path: str):
+    """One row for each document, with its links as numbers of the block's id pairs; the block's first row holds the pairs and how often each is linked."""
     classes, most = character_classes(), BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = lambda x, t: pa.array([x], pa.list_(t))
-        for some, m in _blocks(batches, a_path, b_path, classes, most):
+        task = TaskContext.get().partitionId() << 40
+        for number, (some, m) in enumerate(_blocks(batches, a_path, b_path, classes, most)):
             pair, which, n = np.unique(m.a[m.linked_a] << 32 | m.b[m.linked_b], return_inverse=True, return_counts=True)
-            made = [one(x, pa.int64()) for x in (some.column("doc_id").to_pylist(), m.n_a, m.n_b)]
-            made += [one(m.digests(), pa.string()), one(m.at, pa.int64()), one(which.astype(np.int32), pa.int32()), one(pair, pa.int64()), one(n, pa.int64())]
-            yield pa.RecordBatch.from_arrays(made, ["doc_id", "n_a", "n_b", "sha", "at", "links", "pairs", "n"])
+            first = pa.array(np.append(0, np.full(some.num_rows, len(pair))), pa.int32())
+            lists = [pa.ListArray.from_arrays(pa.array(m.at, pa.int32()), pa.array(which, pa.int32())), *(pa.ListArray.from_arrays(first, pa.array(x, pa.int64())) for x in (pair, n))]
+            flat = [pa.array(np.full(some.num_rows, task + number)), some.column("doc_id"), pa.array(m.n_a, pa.int64()), pa.array(m.n_b, pa.int64()), pa.array(m.digests(), pa.string())]
+            yield pa.RecordBatch.from_arrays([*flat, *lists], ["block", "doc_id", "n_a", "n_b", "sha", "links", "pairs", "n"])
 
     return run
 
 
-def _applied(_, blocks: pa.Table, answers: pa.Table) -> pa.Table:
+def _applied(_: tuple[pa.Scalar, ...], block: pa.Table, answers: pa.Table) -> pa.Table:
     """Of one block: each document's links whose pair is its B id's most frequent, and the sum of its links' counts."""
-    pair = np.asarray(answers.column("place"))
-    count, best = (np.zeros(len(pair), np.int64) for _ in range(2))
-    count[pair], best[pair] = np.asarray(answers.column("count")), np.asarray(answers.column("best"))
-    # a block is one row
-    row = {c: blocks.column(c).combine_chunks() if isinstance(blocks.column(c), pa.ChunkedArray) else blocks.column(c) for c in ("doc_id", "n_a", "n_b", "sha", "at", "links")}
-    flat = {c: x.flatten() for c, x in row.items()}
-    links, at = np.asarray(flat["links"]), np.asarray(flat["at"])
-    sums = [np.concatenate([[0], np.cumsum(x[links])])[at] for x in (best, count)]
-    n = pa.array(np.diff(at))
-    return pa.table({"doc_id": flat["doc_id"], "n_a": flat["n_a"], "n_b": flat["n_b"], "n_groups": n, "n_links": n, "n_best": np.diff(sums[0]), "count_sum": np.diff(sums[1]), "groups_sha256": flat["sha"]})
+    place = np.asarray(answers.column("place"))
+    count, best = (np.zeros(len(place), np.int64) for _ in range(2))
+    count[place], best[place] = np.asarray(answers.column("count")), np.asarray(answers.column("best"))
+    rows = block.combine_chunks()
+    links = rows.column("links")
+    at = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(links)))])
+    held = np.asarray(pc.list_flatten(links))
+    sums = [np.diff(np.concatenate([[0], np.cumsum(x[held])])[at]) for x in (best, count)]
+    n = np.diff(at)
+    return pa.table({"doc_id": rows.column("doc_id"), "n_a": rows.column("n_a"), "n_b": rows.column("n_b"), "n_groups": n, "n_links": n, "n_best": sums[0], "count_sum": sums[1], "groups_sha256": rows.column("sha")})
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
@@ -244,12 +248,12 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     repeated rows are returned as they come and count each. Other columns are ignored; an
     empty table gives no row. No document moves: blocks send their distinct id pairs.
     """
-    blocks = cut(_source(docs).mapInArrow(_aligned(a_path, b_path), _BLOCKS).withColumn("block", F.monotonically_increasing_id()))
+    blocks = cut(_source(docs).mapInArrow(_aligned(a_path, b_path), _ROWS))
     known = pair_counts(blocks)
     asked = blocks.select("block", F.posexplode("pairs").alias("place", "pair"))
     answers = asked.join(known, "pair").select(F.col("block").alias("asker"), "place", "count", "best")
     out = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return blocks.select("block", "doc_id", "n_a", "n_b", "sha", "at", "links").groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(_applied, out)
+    return blocks.drop("pairs", "n").groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(_applied, out)
 
 
 def groups_of(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
