@@ -73,7 +73,7 @@ def _induced(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray) -> np.ndarra
     n_seeds = np.bincount(first, minlength=width)
     sa[ranges(end - n_seeds, n_seeds)] = seeds
     if width > 1024:
-        return _induced_one_by_one(s.tolist(), smaller.tolist(), sa.tolist(), start.tolist(), end.tolist())
+        return _induced_one_by_one(s, smaller, sa.tolist(), start.tolist(), end.tolist())
     head, tail = start.copy(), end.copy()
     used = np.flatnonzero(counts).tolist()
 
@@ -111,20 +111,23 @@ def _induced(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray) -> np.ndarra
     return sa
 
 
-def _induced_one_by_one(s: list[int], smaller: list[bool], sa: list[int], start: list[int], end: list[int]) -> np.ndarray:
+def _induced_one_by_one(s: np.ndarray, smaller: np.ndarray, sa: list[int], head: list[int], tail: list[int]) -> np.ndarray:
     """The same for many symbols, whose buckets are small."""
-    head, tail = start, end.copy()
+    # the symbol of the suffix before each, where it is to be put; -1 reads the last entry
+    before = np.append(np.append(-1, s[:-1]), -1)
+    smaller_before = np.append(np.append(False, smaller[:-1]), False)
+    symbol = np.where(smaller_before, -1, before).tolist()
     for j in sa:  # what is put ahead is read later
-        if j > 0 and not smaller[j - 1]:
-            c = s[j - 1]
-            sa[head[c]] = j - 1
-            head[c] += 1
-    for i in range(len(sa) - 1, 0, -1):
-        j = sa[i] - 1
-        if j >= 0 and smaller[j]:
-            c = s[j]
-            tail[c] -= 1
-            sa[tail[c]] = j
+        if (c := symbol[j]) >= 0:
+            at = head[c]
+            sa[at] = j - 1
+            head[c] = at + 1
+    symbol = np.where(smaller_before, before, -1).tolist()
+    for j in reversed(sa):
+        if (c := symbol[j]) >= 0:
+            at = tail[c] - 1
+            sa[at] = j - 1
+            tail[c] = at
     return np.array(sa, np.int64)
 
 
@@ -221,9 +224,34 @@ def _printed(size: int):
                 some = batch.slice(part.start, part.stop - part.start)
                 data, at = text_bytes(some.column("text"))
                 prints, text, begin, count = anchors(data, at, size)
+                key = prints.view(_U) + mix(text.astype(_U))
+                _, which, held = np.unique(key, return_inverse=True, return_counts=True)
                 cuts = pa.array(np.searchsorted(text, np.arange(len(at))), pa.int32())
-                lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (prints, begin.astype(np.int32), count.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("doc_id", "text_hash", "sha")), pa.array(np.diff(at)), *lists], ["doc_id", "text_hash", "sha", "n_bytes", "prints", "begins", "counts"])
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (prints, begin.astype(np.int32), count.astype(np.int32), held[which] > 1)]
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("doc_id", "text_hash", "sha")), *lists], ["doc_id", "text_hash", "sha", "prints", "begins", "counts", "twice"])
+
+    return run
+
+
+def _cut_out(size: int):
+    """One row for each place of an anchor: the bytes of its strings."""
+    most, bits = PART, size.bit_length()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in groups(batch.column("text"), most):
+                some = batch.slice(part.start, part.stop - part.start)
+                data, at = text_bytes(some.column("text"))
+                places = some.column("places")
+                row = np.repeat(np.arange(some.num_rows), np.diff(places.offsets.to_numpy()))
+                prints, place, held = (pa.array(x) for x in places.flatten().flatten())
+                begin, n = np.asarray(place) >> bits, np.asarray(place) & ((1 << bits) - 1)
+                length = n + (size - 1)
+                ends = _sum_before(length)
+                cuts = pa.py_buffer(ends.astype(np.int32))
+                found = pa.Array.from_buffers(pa.binary(), len(row), [None, cuts, pa.py_buffer(data[ranges(at[row] + begin, length)])])
+                keys = [some.column(c).take(pa.array(row)) for c in ("doc_id", "text_hash")]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(begin), prints, held, found], ["doc_id", "text_hash", "begin", "print", "held", "bytes"])
 
     return run
 
@@ -263,12 +291,18 @@ def _shard(size: int):
         data, at = _stretches(rows.column("bytes"))
         one, which = _distinct(data, at)  # equal stretches are sorted once
         length = np.diff(at)
-        pool_at = _sum_before(length[one])
-        gone = earlier_strings(data[ranges(at[one], length[one])], pool_at, size)
+        # a stretch meets only stretches of its own anchor, and holds no string twice
+        _, kind, many = np.unique(np.asarray(rows.column("print"))[one], return_inverse=True, return_counts=True)
+        pool_at, met = _sum_before(length[one]), np.flatnonzero(many[kind] > 1)
+        gone = np.zeros(int(pool_at[-1]), bool)
+        gone[ranges(pool_at[met], length[one[met]])] = earlier_strings(data[ranges(at[one[met]], length[one[met]])], _sum_before(length[one[met]]), size)
         strings = length - size + 1
         row = np.repeat(np.arange(len(length)), strings)
         nth = ranges(np.zeros(len(length), np.int64), strings)
-        later = (one[which] != np.arange(len(which)))[row] | gone[pool_at[which[row]] + nth]
+        # a repeated row is the same place, not a later one
+        own = [np.asarray(rows.column(c).fill_null(0)) for c in ("doc_id", "text_hash", "begin")]
+        copy = np.any([x != x[one[which]] for x in (*own, np.asarray(rows.column("doc_id").is_null()))], axis=0)
+        later = copy[row] | gone[pool_at[which[row]] + nth]
         # runs of strings that go
         edge = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (later[1:] != later[:-1])])[: len(row)])
         many = np.diff(np.append(edge, len(row)))
@@ -290,27 +324,29 @@ def repeated_strings(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """``doc_id, text_hash, runs, copy``: the runs (``begin``, ``n``) of strings that also start earlier, for texts that have any; ``copy``: an earlier row holds the whole text."""
     text = F.coalesce("text", F.lit(""))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    lists = "prints array<long>, begins array<int>, counts array<int>"
-    found = src.select("*", F.sha2("text", 256).alias("sha")).mapInArrow(_printed(size), f"doc_id long, text_hash long, sha string, n_bytes long, {lists}")
+    lists = "prints array<long>, begins array<int>, counts array<int>, twice array<boolean>"
+    found = src.select("*", F.sha2("text", 256).alias("sha")).mapInArrow(_printed(size), f"doc_id long, text_hash long, sha string, {lists}")
     found = cut(found.where(F.size("prints") > 0).withColumn("row", F.monotonically_increasing_id()))
     # of rows with one text, the first by doc_id stands for all
     of = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("id"))
     heads = cut(found.groupBy("sha").agg(F.min(F.struct(of.alias("of"), "row")).alias("head"), F.count("*").alias("n")).select("sha", "head.of", "head.row", "n"))
     copies = found.select("sha", "doc_id", "text_hash").join(heads.where("n > 1").select("sha", F.col("of").alias("first")), "sha").where(of > F.col("first")).select("doc_id", "text_hash").distinct()
-    texts = found.join(heads.select("row"), "row", "left_semi")
-    places = texts.select("row", F.explode(F.arrays_zip("prints", "begins", "counts")).alias("p")).select("row", F.col("p.prints").alias("print"), F.col("p.begins").alias("begin"), F.col("p.counts").alias("n"))
-    again = cut(places.groupBy("print").agg(F.count("*").alias("held")).where("held > 1"))
-    asked = places.join(again, "print").groupBy("row").agg(F.collect_list(F.struct("print", "begin", "n", "held")).alias("places"))
-    asked = asked.join(texts.select("row", "doc_id", "text_hash"), "row").drop("row")
+    # anchors that two texts hold, or one text twice
+    places = found.select("row", "text_hash", F.explode(F.arrays_zip("prints", "begins", "counts", "twice")).alias("p"))
+    again = places.groupBy(F.col("p.prints").alias("print")).agg(F.count("*").alias("held"), F.min("text_hash").alias("a"), F.max("text_hash").alias("b"), F.max("p.twice").alias("twice"))
+    again = cut(again.where("a <> b or twice").select("print", "held"))
+    place = F.shiftleft(F.col("p.begins").cast("long"), size.bit_length()).bitwiseOR(F.col("p.counts").cast("long"))
+    places = places.select("row", F.col("p.prints").alias("print"), place.alias("place"))
+    asked = places.join(again, "print").groupBy("row").agg(F.collect_list(F.struct("print", "place", "held")).alias("places"))
+    asked = cut(asked.join(heads.select("row"), "row", "left_semi").join(found.select("row", "doc_id", "text_hash"), "row").drop("row"))
     # the stretch of bytes of each place, dealt to shards of about one size
-    once = src.dropDuplicates(["doc_id", "text_hash"])
+    repeated = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    once = src.dropDuplicates(["doc_id", "text_hash"]) if repeated else src
     both = once.alias("t").join(asked.alias("a"), F.col("t.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("t.text_hash") == F.col("a.text_hash"))).select("t.*", "places")
-    data = F.encode("text", "UTF-8")
-    cuts = F.transform("places", lambda p: F.struct(p["print"].alias("print"), p["begin"].alias("begin"), p["held"].alias("held"), F.substring(data, p["begin"] + 1, p["n"] + (size - 1)).alias("bytes")))
-    stretches = both.select("doc_id", "text_hash", F.explode(cuts).alias("p")).select("doc_id", "text_hash", "p.*")
+    stretches = both.mapInArrow(_cut_out(size), "doc_id long, text_hash long, begin long, print long, held long, bytes binary")
     shards = 1 + (again.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]) // SHARD
     deal = F.pmod(F.xxhash64("doc_id", "text_hash", "begin"), F.ceil(F.col("held") / HOT))
-    dealt = stretches.select("doc_id", "text_hash", "begin", "bytes", (F.col("held") > HOT).alias("hot"), F.pmod(F.xxhash64("print", deal), F.lit(shards)).alias("shard"))
+    dealt = stretches.select("doc_id", "text_hash", "begin", "print", "bytes", (F.col("held") > HOT).alias("hot"), F.pmod(F.xxhash64("print", deal), F.lit(shards)).alias("shard"))
     kinds = "doc_id long, text_hash long, begin long, n long, high long, low long"
     sorted_ = cut(dealt.groupBy("shard").applyInArrow(_shard(size), kinds))
     # between shards of one anchor: the earliest place of each string that is left
@@ -319,7 +355,7 @@ def repeated_strings(docs: DataFrame, size: int = SIZE) -> DataFrame:
     first = left.groupBy("high", "low").agg(F.min("place").alias("first"), F.count("*").alias("held")).where("held > 1").drop("held")
     later = left.join(first, ["high", "low"]).where("place > first").select("doc_id", "text_hash", "begin", "n")
     runs = sorted_.where("high is null").select("doc_id", "text_hash", "begin", "n").union(later).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("begin", "n")).alias("runs"))
-    return runs.withColumn("copy", F.lit(False)).union(copies.select("doc_id", "text_hash", F.array().cast("array<struct<begin: long, n: long>>"), F.lit(True)))
+    return cut(runs.withColumn("copy", F.lit(False)).union(copies.select("doc_id", "text_hash", F.array().cast("array<struct<begin: long, n: long>>"), F.lit(True))))
 
 
 def _spans(size: int):
