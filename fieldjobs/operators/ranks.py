@@ -6,22 +6,38 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldjobs.functions.pvalues import p_of_chi2, p_of_r
 
-BUCKETS = 64
+#: Cells that a range of values is cut into, and the distinct values beyond which it is.
+CELLS, LIMIT = 4096, 1 << 16
 
 
-def running_total(counts: DataFrame, value: str, n: str, by: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """Adds ``before``: the sum of ``n`` over smaller values, within ``by``.
+def running_total(counts: DataFrame, value: str, n: str, by: list[str], cells: int = 0, limit: int = 0) -> DataFrame:
+    """Adds ``before``: the sum of ``n`` over smaller values, within ``by`` (nulls equal each other).
 
-    Values are cut into ranges at approximate quantiles; sums run within a range and
-    over the range totals.
+    Values fall into ranges in levels: first by their logarithm, then any range of more
+    than ``limit`` values into ``cells`` of one width between its own least and largest
+    value, and any of those once more. So the number of ranges grows with the values, and
+    no task orders all of a group's. Where a range begins depends on the values alone, so
+    a lost task finds the same ranges again.
     """
-    bounds = counts.groupBy(*by).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000).alias("_b"))
-    c = counts.join(bounds, by).withColumn("_r", F.size(F.filter("_b", lambda b: b < F.col(value)))).drop("_b")
-    totals = c.groupBy(*by, "_r").agg(F.sum(n).alias("_t"))
-    upto = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "_r", F.coalesce(F.sum("_t").over(upto), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(*by, "_r").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return c.join(totals, [*by, "_r"]).withColumn("before", F.col("_before") + F.coalesce(F.sum(n).over(within), F.lit(0))).drop("_r", "_before")
+    cells, limit = cells or CELLS, limit or LIMIT
+    x = F.col("_x")
+    # NaN is the largest value, and its floor would not be
+    coarse = F.when(F.isnan(x), F.lit(2**63 - 1)).otherwise(F.floor(F.signum(x) * F.log1p(F.abs(x)) * 64))
+    c = counts.withColumns({"_by": group_of(by), "_x": F.col(value).cast("double")}).withColumn("_0", coarse)
+    path = ["_by", "_0"]
+    for level in ("_1", "_2"):
+        wide = c.groupBy(*path).agg(F.count("*").alias("_many"), F.min("_x").alias("_low"), F.max("_x").alias("_high")).where(F.col("_many") > limit)
+        cell = F.floor((x - F.col("_low")) / (F.col("_high") - F.col("_low")) * cells)
+        c = c.join(wide, path, "left").withColumn(level, F.coalesce(F.least(cell, F.lit(cells - 1)), F.lit(0))).drop("_many", "_low", "_high")
+        path.append(level)
+    ranges = c.groupBy(*path).agg(F.sum(n).alias("_t"))
+    smaller = (Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_by", "_0").orderBy("_1", "_2").rowsBetween(*smaller)
+    over = Window.partitionBy("_by").orderBy("_0").rowsBetween(*smaller)
+    first = ranges.groupBy("_by", "_0").agg(F.sum("_t").alias("_s")).select("_by", "_0", F.coalesce(F.sum("_s").over(over), F.lit(0)).alias("_first"))
+    ranges = ranges.join(first, ["_by", "_0"]).select(*path, (F.col("_first") + F.coalesce(F.sum("_t").over(within), F.lit(0))).alias("_before"))
+    inside = Window.partitionBy(*path).orderBy(value).rowsBetween(*smaller)
+    return c.join(ranges, path).withColumn("before", F.col("_before") + F.coalesce(F.sum(n).over(inside), F.lit(0))).drop(*path, "_x", "_before")
 
 
 def average_ranks(df: DataFrame, value: str, by: list[str], weight: str | None = None) -> DataFrame:
@@ -67,8 +83,11 @@ def with_quantiles(table: DataFrame, df: DataFrame, value: str, by: list[str], n
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """``by, n, rho, p``: rank correlation of complete pairs; null under three pairs or without spread."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_w"))
-    rx = average_ranks(pairs, "_x", by, "_w").select(*by, "_x", F.col("rank").alias("_rx"))
-    ry = average_ranks(pairs, "_y", by, "_w").select(*by, "_y", F.col("rank").alias("_ry"))
+    # both columns are ranked in one pass, as one long column
+    sides = F.array(F.struct(F.lit("x").alias("_side"), F.col("_x").alias("_v")), F.struct(F.lit("y").alias("_side"), F.col("_y").alias("_v")))
+    long = pairs.select(*by, "_w", F.explode(sides).alias("s")).select(*by, "_w", "s.*")
+    ranks = average_ranks(long, "_v", [*by, "_side"], "_w")
+    rx, ry = (ranks.where(F.col("_side") == side).select(*by, F.col("_v").alias(f"_{side}"), F.col("rank").alias(f"_r{side}")) for side in "xy")
     ranked = pairs.join(rx, [*by, "_x"]).join(ry, [*by, "_y"])
     w, a, b = F.col("_w"), F.col("_rx"), F.col("_ry")
     sums = ranked.groupBy(*by).agg(F.sum(w).alias("n"), F.sum(w * a).alias("sa"), F.sum(w * b).alias("sb"), F.sum(w * a * a).alias("saa"), F.sum(w * b * b).alias("sbb"), F.sum(w * a * b).alias("sab"))

@@ -75,14 +75,34 @@ def downsample_report(before: DataFrame, after: DataFrame, group: str) -> DataFr
     return both.unionByName(both.agg(F.sum("original").alias("original"), F.sum("kept").alias("kept")).select(F.lit("total").alias(group), "original", "kept"))
 
 
-def fingerprint(df: DataFrame, columns: list[str], buckets: int = 256) -> DataFrame:
-    """One row, ``fingerprint``: a digest that depends on the rows (repeats included) and not on their order."""
+def fingerprint_tree(df: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
+    """``prefix, n, digest``: of the rows whose MD5 begins with each ``digits`` hexadecimal digits, how many there are and a digest of them.
+
+    A digest is made of sums of the rows' digests, so it depends on the rows (repeats
+    included) and not on their order, and nothing that grows with the rows is held.
+    """
     row = F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns)))
-    digit = F.conv(F.substring("r", 1, 8), 16, 10).cast("long") % buckets
-    parts = df.select(row.alias("r")).groupBy(digit.alias("b")).agg(F.md5(F.concat_ws("", F.sort_array(F.collect_list("r")))).alias("d"))
-    return parts.agg(F.md5(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]))).alias("fingerprint"))
+    sums = [F.sum(F.conv(F.substring("r", i, 8), 16, 10).cast("decimal(20,0)")) for i in (1, 9, 17, 25)]
+    whole = F.md5(F.concat_ws(":", F.count("*").cast("string"), *(s.cast("string") for s in sums)))
+    return df.select(row.alias("r")).groupBy(F.substring("r", 1, digits).alias("prefix")).agg(F.count("*").alias("n"), whole.alias("digest"))
+
+
+def fingerprint(df: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
+    """One row, ``fingerprint``: a digest of the tree's digests (at most 16 to the power of ``digits``) in the order of their prefixes."""
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("prefix", "digest"))), lambda x: F.concat(x["prefix"], x["digest"]))
+    return fingerprint_tree(df, columns, digits).agg(F.md5(F.concat_ws("", parts)).alias("fingerprint"))
+
+
+def fingerprint_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``prefix, n_a, n_b`` where two trees differ, in order; a prefix that one hasn't counts 0 there."""
+    x, y = (t.select("prefix", F.col("n").alias(f"n_{side}"), F.col("digest").alias(f"digest_{side}")) for t, side in ((a, "a"), (b, "b")))
+    both = x.join(y, "prefix", "full").where(~F.col("digest_a").eqNullSafe(F.col("digest_b")))
+    return both.select("prefix", F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b")).orderBy("prefix")
 
 
-def require_fingerprint(df: DataFrame, columns: list[str], expected: str) -> None:
-    if (found := fingerprint(df, columns).first()[0]) != expected:
-        raise ValueError(f"fingerprint {found} is not {expected}")
+def require_fingerprint(df: DataFrame, columns: list[str], expected: str, like: DataFrame | None = None) -> None:
+    """Raise if the fingerprint is another; with the table it should be ``like``, the first prefix where they differ is named."""
+    if (found := fingerprint(df, columns).first()[0]) == expected:
+        return
+    where = like and fingerprint_differences(fingerprint_tree(df, columns), fingerprint_tree(like, columns)).first()
+    raise ValueError(f"fingerprint {found} is not {expected}" + (f"; they differ first at {where['prefix']}: {where['n_a']} rows against {where['n_b']}" if where else ""))

@@ -449,7 +449,16 @@ def best_epoch(t):
     return compare.run_summary(t("events"), ["user_id"], 0.5, epoch="event_id")
 
 
-@query("SELECT md5(string_agg(d, '' ORDER BY b)) AS fingerprint FROM (SELECT ('0x' || r[1:8])::BIGINT % 256 AS b, md5(string_agg(r, '' ORDER BY r)) AS d FROM (SELECT md5(o_orderkey || '|' || o_custkey || '|' || o_orderstatus) AS r FROM orders) GROUP BY b)")
+TREE = """(SELECT r[1:2] AS prefix, count(*) AS n, md5(count(*) || ':' || sum(('0x' || r[1:8])::BIGINT) || ':' || sum(('0x' || r[9:16])::BIGINT) || ':' || sum(('0x' || r[17:24])::BIGINT) || ':' || sum(('0x' || r[25:32])::BIGINT)) AS digest
+    FROM (SELECT md5(o_orderkey || '|' || o_custkey || '|' || o_orderstatus) AS r FROM orders) GROUP BY prefix)"""
+
+
+@query(f"SELECT prefix, n, digest FROM {TREE}")
+def fingerprint_tree(t):
+    return splits.fingerprint_tree(t("orders"), ["o_orderkey", "o_custkey", "o_orderstatus"])
+
+
+@query(f"SELECT md5(string_agg(prefix || digest, '' ORDER BY prefix)) AS fingerprint FROM {TREE}")
 def fingerprint(t):
     return splits.fingerprint(t("orders"), ["o_orderkey", "o_custkey", "o_orderstatus"])
 

@@ -29,9 +29,10 @@ def raster_inventory(listing: DataFrame, field: str | None = None) -> DataFrame:
     """``path, modified, field, flight_folder, flight_date, year, kind``: surface and terrain rasters of drone flights.
 
     Flight folders start with ``DJI_`` and hold a date; the folder above names the field.
+    Names end with ``_dsm.tif`` or ``_dtm.tif``: what is made from them (hillshades) is none.
     """
     folder = F.regexp_extract("path", r"/(DJI_[^/]*)/", 1)
-    kind = F.lower(F.regexp_extract("path", r"(?i)(dsm|dtm)[^/]*\.tif$", 1))
+    kind = F.lower(F.regexp_extract("path", r"(?i)_(dsm|dtm)\.tif$", 1))
     df = listing.withColumn("flight_folder", folder).withColumn("kind", kind).where((folder != "") & (kind != "") & ~F.regexp_extract("path", r"([^/]*/)?[^/]*$", 0).rlike(UNUSED))
     date = F.try_to_timestamp(F.regexp_extract("flight_folder", r"(\d{8})", 1), F.lit("yyyyMMdd")).cast("date")
     df = df.select("path", F.col("modificationTime").alias("modified"), F.upper(F.regexp_extract("path", r"/([^/]+)/DJI_", 1)).alias("field"), "flight_folder", date.alias("flight_date"), F.year(date).alias("year"), "kind")

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import math
 import os
 import random
@@ -80,6 +81,38 @@ def test_splits(spark):
     assert a == splits.fingerprint(df.repartition(7).orderBy(F.desc("y")), ["id", "y"]).first()[0] != splits.fingerprint(df.union(df.limit(1)), ["id", "y"]).first()[0]
 
 
+def test_fingerprints_name_where_tables_differ(spark):
+    df = spark.range(3000).select("id", F.col("id").cast("string").alias("y"))
+    tree = splits.fingerprint_tree(df, ["id", "y"])
+    assert tree.agg(F.sum("n")).first()[0] == 3000 and tree.count() == 256
+    other = df.where("id <> 1234").union(df.where("id = 7"))
+    prefixes = sorted((hashlib.md5(f"{i}|{i}".encode()).hexdigest()[:2], n) for i, n in ((1234, 1), (7, -1)))
+    got = splits.fingerprint_differences(tree, splits.fingerprint_tree(other, ["id", "y"])).collect()
+    assert [(r["prefix"], r["n_a"] - r["n_b"]) for r in got] == prefixes
+    expected = splits.fingerprint(other, ["id", "y"]).first()[0]
+    with pytest.raises(ValueError, match=f"differ first at {prefixes[0][0]}"):
+        splits.require_fingerprint(df, ["id", "y"], expected, other)
+    splits.require_fingerprint(other.repartition(5), ["id", "y"], expected)
+    assert splits.fingerprint_tree(df.limit(0), ["id"]).count() == 0
+
+
+def test_ranges_of_values_are_split_in_levels(spark, monkeypatch):
+    rnd = random.Random(8)
+    values = [rnd.choice([-1, 1]) * 10 ** rnd.uniform(-3, 6) for _ in range(400)] + [float(i) for i in range(40)] * 2 + [1e300, -1e300, float("inf"), float("-inf"), float("nan"), 0.0, 1e-300] + [1 + i * 1e-9 for i in range(60)]
+    df = spark.createDataFrame([(g, v) for g in ("a", None) for v in values] + [("a", None)], "g string, v double").repartition(4)
+    key = lambda v: (v != v, v if v == v else 0.0)
+    ordered = sorted(values, key=key)
+    want = {}
+    for v in set(map(key, values)):
+        places = [i + 1 for i, x in enumerate(ordered) if key(x) == v]
+        want[v] = (len(places), sum(places) / len(places))
+    for cells, limit in ((4096, 1 << 16), (3, 2), (8, 5)):
+        monkeypatch.setattr(ranks, "CELLS", cells)
+        monkeypatch.setattr(ranks, "LIMIT", limit)
+        got = ranks.average_ranks(df, "v", ["g"]).collect()
+        assert len(got) == 2 * len(want) and {(r["g"], key(r["v"])): (r["n"], r["rank"]) for r in got} == {(g, v): w for g in ("a", None) for v, w in want.items()}
+
+
 def test_checked_joins_raise(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
     b = spark.createDataFrame([(1, 1.0), (1, 2.0)], "k int, w double")

@@ -86,6 +86,7 @@ def test_images_are_indexed_and_read(spark, tmp_path):
 LISTED = [
     "/orthodata/b7a/DJI_20240601_1/out/f_20240601_20240605T1200_dsm.tif", "/orthodata/b7a/DJI_20240601_1/out/f_20240601_20240604T1300_dsm.tif", "/orthodata/b7a/DJI_20240601_1/out/f_20240603T0900_DTM.tif",
     "/orthodata/b7a/DJI_20240701_1/out/g_dsm.tif", "/orthodata/b7a/DJI_20240701_1/out_CC_1/g_20250101T0000_dsm.tif", "/orthodata/b7a/DJI_20240701_1/multispectral/h_dsm.tif", "/orthodata/b7a/other/x_dsm.tif", "/orthodata/b8/DJI_20240702_1/out/z_dsm.tif",
+    "/orthodata/b7a/DJI_20240601_1/out/f_20240601_20240609T1200_dsm_hillshade.tif", "/orthodata/b7a/DJI_20240601_1/out/dsm_colours.tif",
 ]
 
 
