@@ -73,14 +73,14 @@ def _best_blocks(key, queries: pa.Table, blocks: pa.Table) -> pa.Table:
         width = int(key[0].as_py())
         bound = _bounds(_matrix(queries.column("v"), width), blocks, width)
         best = np.argsort(-bound, axis=1, kind="stable")[:, :FIRST_BLOCKS]
-        ids = np.repeat(np.asarray(queries.column("query_id")), best.shape[1])
+        ids = np.repeat(np.asarray(queries.column("query")), best.shape[1])
         names, bounds = np.asarray(blocks.column("block"))[best].ravel(), np.take_along_axis(bound, best, 1).ravel()
-    return pa.table({"query_id": ids, "block": names, "bound": bounds})
+    return pa.table({"query": ids, "block": names, "bound": bounds})
 
 
 def _search(k: int):
     def run(key, queries: pa.Table, blocks: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"query": [], "query_id": [], "vec_id": [], "score": []}
         if queries.num_rows and blocks.num_rows:
             width = int(key[0].as_py())
             ids = np.asarray(queries.column("query_id"))
@@ -109,7 +109,7 @@ def _search(k: int):
                         best[i] = v[keep], s[keep]
                         if len(keep) == k:
                             kth[i] = max(kth[i], s[keep][-1])
-            out["query_id"] = np.repeat(ids, [len(v) for v, _ in best])
+            out["query"], out["query_id"] = (np.repeat(x, [len(v) for v, _ in best]) for x in (np.asarray(queries.column("query")), ids))
             out["vec_id"] = np.concatenate([v for v, _ in best])
             out["score"] = np.concatenate([s for _, s in best])
         return pa.table({n: pa.array(x, pa.int64()) for n, x in out.items()})
@@ -121,8 +121,9 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: float = 1024
     """``query_id, rank, vec_id, score`` of each query's k best other vectors.
 
     Queries are the rows whose vec_id is a multiple of ``every``. Ties go to the smaller
-    vec_id. A vector only meets vectors of its own width. Of several query rows with one
-    vec_id and width the smallest vector is the query; a repeated candidate row may fill
+    vec_id. A vector only meets vectors of its own width. Query rows that share a vec_id
+    but not their vector are each answered, apart from one another; equal ones are one
+    query. A query meets no row of its own vec_id; a repeated candidate row may fill
     several ranks. Rows with a null id, vector or component, or a non-finite component,
     take no part. An empty table gives no row. The query set meets all rows in blocks, so
     the work is (queries x rows) at most and what pruning leaves of it.
@@ -131,23 +132,23 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: float = 1024
     ordered = all_rows.repartitionByRange("width", "vec_id").sortWithinPartitions("width", "vec_id")
     blocks = cut(ordered.mapInArrow(_blocks, "width int, ids array<long>, forward array<long>, high array<long>, low array<long>").withColumn("block", F.xxhash64("width", "ids", "forward")))
     n_blocks = blocks.count()
-    queries = cut(all_rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("width", "v")).alias("r")).select("query_id", "r.*"))
+    queries = cut(all_rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "width", "v").distinct().withColumn("query", F.monotonically_increasing_id()))
     groups, chunks = max(1, -(-n_blocks // GROUP_BLOCKS)), max(1, -(-queries.count() // QUERY_CHUNK))
     keys = ["width", "chunk", "group"]
     grouped = blocks.withColumn("group", F.pmod("block", F.lit(groups)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    chunked = queries.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
+    chunked = queries.withColumn("chunk", F.pmod(F.xxhash64("query"), F.lit(chunks)).cast("int"))
     spread = lambda q: q.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    found_in = "query_id long, vec_id long, score long"
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found_in = "query long, query_id long, vec_id long, score long"
+    ranked = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
 
-    bounds = spread(chunked).groupBy(*keys).cogroup(grouped.drop("ids", "forward").groupBy(*keys)).applyInArrow(_best_blocks, "query_id long, block long, bound long")
-    first = bounds.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block"))).where(F.col("nth") <= FIRST_BLOCKS).drop("nth", "bound")
+    bounds = spread(chunked).groupBy(*keys).cogroup(grouped.drop("ids", "forward").groupBy(*keys)).applyInArrow(_best_blocks, "query long, block long, bound long")
+    first = bounds.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "block"))).where(F.col("nth") <= FIRST_BLOCKS).drop("nth", "bound")
     least = -(2**63)
-    asked = cut(chunked.join(first, "query_id").withColumn("floor", F.lit(least)))
+    asked = cut(chunked.join(first, "query").withColumn("floor", F.lit(least)))
     by_block = ["width", "chunk", "block"]
     wanted = cut(asked.select(*by_block).distinct())
     scored = asked.groupBy(*by_block).cogroup(blocks.join(wanted, ["width", "block"]).groupBy(*by_block)).applyInArrow(_search(k), found_in)
-    floors = scored.withColumn("nth", F.row_number().over(ranked)).where(F.col("nth") == k).select("query_id", F.col("score").alias("floor"))
-    asked = spread(chunked.join(cut(floors), "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(least))))
+    floors = scored.withColumn("nth", F.row_number().over(ranked)).where(F.col("nth") == k).select("query", F.col("score").alias("floor"))
+    asked = spread(chunked.join(cut(floors), "query", "left").withColumn("floor", F.coalesce("floor", F.lit(least))))
     found = asked.groupBy(*keys).cogroup(grouped.groupBy(*keys)).applyInArrow(_search(k), found_in)
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
