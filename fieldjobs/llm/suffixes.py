@@ -33,7 +33,7 @@ from fieldjobs.llm.words import eights_of, groups, hash_words, mix, numbered, te
 #: Bytes of a repeated string, and of an anchor (at least 8, at most 16).
 SIZE, GRAM = 100, 16
 #: Bytes of text searched for anchors at a time, about; only a longer text makes a larger part.
-PART = 1 << 22
+PART = 1 << 20
 #: Stretches of a shard, about, and places of an anchor beyond which it is dealt to several.
 SHARD, HOT = 8192, 4096
 _U = np.uint64
