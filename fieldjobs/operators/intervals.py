@@ -4,26 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+#: Cells up to this level (2 ** 32 microseconds, over an hour) are not dealt into parts.
+LEVEL_OF_ONE = 32
 
-def interval_join(points: DataFrame, windows: DataFrame, at: str, start: str, end: str, keys: tuple[str, ...] = (), bucket: int = 3600, how: str = "inner") -> DataFrame:
-    """Pairs with start <= at <= end, both ends in. Times are cut into buckets of so many seconds and joined on them.
+def _cells(start, end, level):
+    """The one or two cells of 2 ** level microseconds that a span no longer than that touches."""
+    side = F.pow(F.lit(2.0), level).cast("long")
+    return F.sequence(F.floor(start / side), F.floor(end / side))
 
-    A point lies in one bucket and a window in each that it touches, so no pair is made
-    twice. ``how="left"`` keeps windows without points.
+
+def _salts(level):
+    """Into how many parts the points of a cell are dealt: one up to about an hour, then twice as many for each fourfold length."""
+    return F.pow(F.lit(2.0), F.greatest(F.lit(0), F.floor((level - LEVEL_OF_ONE) / 2))).cast("int")
+
+
+def interval_join(points: DataFrame, windows: DataFrame, at: str, start: str, end: str, keys: tuple[str, ...] = (), how: str = "inner") -> DataFrame:
+    """Pairs with start <= at <= end, both ends in.
+
+    Time is cut into halves, quarters and so on. A window lies in one or two cells of the
+    level of its own length; a point lies in one cell of each level that any window has
+    (some tens at most, an array of numbers sent to all tasks). Points of long cells are
+    dealt into parts, whose number grows with the square root of the cell's length, and
+    windows stand in each part. So a window makes few rows whatever its length, no pair
+    is made twice, and a cell of years is not one key.
+
+    ``how="left"`` keeps windows without points. They are found by the points' times and
+    keys alone; ``window_stats`` needs no second look.
     """
-    slot = lambda c: F.floor(F.unix_micros(c) / (bucket * 1_000_000))
-    p = points.where(F.col(at).isNotNull()).select(*(F.col(c).alias(f"_p_{c}") for c in points.columns), slot(F.col(at)).alias("_p_slot"))
-    w = windows.where(F.col(start) <= F.col(end)).withColumn("_slot", F.explode(F.sequence(slot(F.col(start)), slot(F.col(end)))))
-    on = (F.col("_slot") == F.col("_p_slot")) & F.col(f"_p_{at}").between(F.col(start), F.col(end))
+    micros = F.unix_micros
+    length = F.greatest(micros(F.col(end)) - micros(F.col(start)) + 1, F.lit(1))
+    w = windows.where(F.col(start) <= F.col(end)).withColumn("_level", F.ceil(F.log2(length.cast("double"))).cast("int"))
+    levels = w.agg(F.collect_set("_level").alias("_levels"))
+    w = w.withColumn("_cell", F.explode(_cells(micros(F.col(start)), micros(F.col(end)), F.col("_level"))))
+    w = w.withColumn("_salt", F.explode(F.sequence(F.lit(0), _salts(F.col("_level")) - 1)))
+    p = points.where(F.col(at).isNotNull()).select(*(F.col(c).alias(f"_p_{c}") for c in points.columns))
+    p = p.join(F.broadcast(levels)).withColumn("_p_level", F.explode("_levels")).drop("_levels")  # one row
+    t = micros(F.col(f"_p_{at}"))
+    p = p.withColumn("_p_cell", _cells(t, t, F.col("_p_level"))[0]).withColumn("_p_salt", F.pmod(F.xxhash64(t, *(f"_p_{c}" for c, kind in points.dtypes if "map" not in kind)), _salts(F.col("_p_level"))))
+    on = F.col(f"_p_{at}").between(F.col(start), F.col(end))
+    for c in ("level", "cell", "salt"):
+        on &= F.col(f"_{c}") == F.col(f"_p_{c}")
     for k in keys:
         on &= F.col(k) == F.col(f"_p_{k}")
-    own = [F.col(f"_p_{c}").alias(c) for c in points.columns if c not in keys]
-    pairs = w.join(p, on).select(*windows.columns, *own)
+    added = [c for c in points.columns if c not in keys]
+    pairs = w.join(p, on).select(*windows.columns, *(F.col(f"_p_{c}").alias(c) for c in added))
     if how == "inner":
         return pairs
-    added = [c for c in points.columns if c not in keys]
-    # nulls in a window's columns equal each other; only the points' times and keys are looked at again
-    met = w.join(p.select("_p_slot", *(f"_p_{c}" for c in dict.fromkeys([at, *keys]))), on, "left_semi").select(*(F.col(c).alias(f"_m_{c}") for c in windows.columns)).distinct()
+    # nulls in a window's columns equal each other
+    met = w.join(p, on, "left_semi").select(*(F.col(c).alias(f"_m_{c}") for c in windows.columns)).distinct()
     same = F.lit(True)
     for c in windows.columns:
         same &= F.col(c).eqNullSafe(F.col(f"_m_{c}"))
@@ -31,6 +59,18 @@ def interval_join(points: DataFrame, windows: DataFrame, at: str, start: str, en
     return pairs.unionByName(missed.select("*", *(F.lit(None).cast(points.schema[c].dataType).alias(c) for c in added)))
 
 
+def window_stats(points: DataFrame, windows: DataFrame, at: str, start: str, end: str, by: list[str], value: str, keys: tuple[str, ...] = (), least: int = 5) -> DataFrame:
+    """``by, mean, cv, n`` of the points in each window, ``window_summary`` for all windows: one join, then windows without points are added with n = 0.
+
+    ``by`` are columns of the windows; nulls in them equal each other.
+    """
+    known = window_summary(interval_join(points, windows, at, start, end, keys), by, value, least).withColumnsRenamed({c: f"_k_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return windows.select(*by).distinct().join(known, same, "left").select(*by, "mean", "cv", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def window_summary(pairs: DataFrame, keys: list[str], value: str, least: int = 5) -> DataFrame:
     """``mean, cv, n`` of the valid values per key; with fewer than ``least`` mean and cv are null, cv also where the mean is not positive."""
     n, mean = F.count(value), F.avg(value)

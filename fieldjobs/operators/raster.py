@@ -65,28 +65,45 @@ def _boxes(tiles: DataFrame, halo: float = 0.0) -> DataFrame:
     return tiles.select("raster_id", "tile_r", "tile_c", x1.alias("x1"), x2.alias("x2"), y1.alias("y1"), y2.alias("y2"))
 
 
-def _largest(boxes: DataFrame) -> float:
-    """The longest side of a box, one number."""
-    return boxes.agg(F.max(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))).first()[0] or 1.0
+def _level(x1, x2, y1, y2):
+    """The least level whose cells, of side 2 ** level, are no shorter than the box; a box touches four of them at most."""
+    side = F.greatest(F.col(x2) - F.col(x1), F.col(y2) - F.col(y1), F.lit(1e-9))
+    return F.ceil(F.log2(side)).cast("int")
 
 
-def _with_cells(boxes: DataFrame, size: float) -> DataFrame:
-    """A row for each cell of that size that a box touches."""
-    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)))
-    return boxes.withColumn("cell_x", span("x1", "x2")).withColumn("cell_y", span("y1", "y2"))
+def _cells(boxes: DataFrame, levels: DataFrame, tags) -> DataFrame:
+    """A row for each cell that a box touches on its own level and on every higher one that ``levels`` holds, once for each of its ``tags``."""
+    up = boxes.join(F.broadcast(levels)).withColumn("level", F.explode(F.filter("_levels", lambda x: x >= F.col("_own")))).drop("_levels")  # one row
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / F.pow(F.lit(2.0), "level")), F.floor(F.col(b) / F.pow(F.lit(2.0), "level"))))
+    up = up.withColumn("cell_x", span("x1", "x2")).withColumn("cell_y", span("y1", "y2"))
+    return up.withColumn("tag", F.explode(tags(F.col("level") == F.col("_own")))).drop("_own")
 
 
-def _overlapping(left: DataFrame, right: DataFrame, keys: list[str], size: float) -> DataFrame:
+def _candidates(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of boxes that share a cell of the level of the larger one; the right one's sides are called ``r_``.
+
+    Cells form a quadtree. With tag 0 a left box stands on its own level and right boxes
+    climb to it, with tag 1 the other way round, so small boxes never meet in the cells of
+    a large one. The levels of one side are an array of some tens of numbers.
+    """
+    box = ["x1", "x2", "y1", "y2"]
+    left, right = (df.withColumn("_own", _level(*box)) for df in (left, right))
+    levels = left.select("_own").union(right.select("_own")).agg(F.collect_set("_own").alias("_levels"))
+    at = _cells(left, levels, lambda own: F.array(F.when(own, 0).otherwise(1)))
+    to = _cells(right, levels, lambda own: F.when(own, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return at.join(to.withColumnsRenamed({c: f"r_{c}" for c in box}), [*keys, "tag", "level", "cell_x", "cell_y"])
+
+
+def _overlapping(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of boxes (the right one's other columns come as they are) with a common inside, each once.
 
     Boxes meet in the cell that holds the corner of their common part, so no pair is made twice.
     """
-    box = ["x1", "x2", "y1", "y2"]
-    r = _with_cells(right, size).withColumnsRenamed({c: f"r_{c}" for c in box})
-    met = _with_cells(left, size).join(r, [*keys, "cell_x", "cell_y"])
+    met = _candidates(left, right, keys)
     inside = (F.col("x1") < F.col("r_x2")) & (F.col("r_x1") < F.col("x2")) & (F.col("y1") < F.col("r_y2")) & (F.col("r_y1") < F.col("y2"))
-    corner = (F.floor(F.greatest("x1", "r_x1") / size) == F.col("cell_x")) & (F.floor(F.greatest("y1", "r_y1") / size) == F.col("cell_y"))
-    return met.where(inside & corner).drop(*box, *(f"r_{c}" for c in box), "cell_x", "cell_y")
+    at = lambda a, b: F.floor(F.greatest(a, b) / F.pow(F.lit(2.0), "level"))
+    corner = (at("x1", "r_x1") == F.col("cell_x")) & (at("y1", "r_y1") == F.col("cell_y"))
+    return met.where(inside & corner).drop(*(f"{r}{c}" for c in ("x1", "x2", "y1", "y2") for r in ("", "r_")), "tag", "level", "cell_x", "cell_y")
 
 
 def _mosaic(tiles: pd.DataFrame) -> tuple[np.ndarray, float, float, float, float]:
@@ -107,16 +124,15 @@ def canopy_height(surface: DataFrame, terrain: DataFrame, pairs: DataFrame) -> D
     """Height tiles on the terrain's grid: surface minus terrain, NaN where either is missing.
 
     ``pairs``: surface_id, terrain_id. A terrain tile meets the surface tiles that overlap
-    it or come within a pixel of it; boxes are joined on cells of the largest tile's size
+    it or come within a pixel of it; boxes are joined on cells of a quadtree
     and compared before any pixel moves. The surface tiles of a terrain tile are laid side
     by side (tiles of one raster share its grid), so values are read bilinearly across
     their borders. A terrain tile without surface gives no tile.
     """
     s_boxes, t_boxes = _boxes(surface, 1.0), _boxes(terrain)
-    size = max(_largest(s_boxes), _largest(t_boxes))
     s_boxes = s_boxes.toDF("surface_id", "s_tile_r", "s_tile_c", "x1", "x2", "y1", "y2")
     t_boxes = t_boxes.join(pairs.select("surface_id", "terrain_id").distinct(), F.col("raster_id") == F.col("terrain_id")).drop("raster_id")
-    met = _overlapping(t_boxes, s_boxes, ["surface_id"], size)
+    met = _overlapping(t_boxes, s_boxes, ["surface_id"])
     key = ["surface_id", "terrain_id", "tile_r", "tile_c"]
     tops = met.join(surface.select(*(F.col(c).alias({"raster_id": "surface_id", "tile_r": "s_tile_r", "tile_c": "s_tile_c"}.get(c, c)) for c in surface.columns)), ["surface_id", "s_tile_r", "s_tile_c"])
     ground = terrain.withColumnRenamed("raster_id", "terrain_id").join(met.select(*key).distinct(), ["terrain_id", "tile_r", "tile_c"])
@@ -147,17 +163,16 @@ def _inside(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
 def zonal(heights: DataFrame, polygons: DataFrame, rasters: DataFrame) -> DataFrame:
     """``raster_id, field, plot, px_valid, px_weed, frac_weed``: pixels whose centre lies in a plot.
 
-    ``rasters``: raster_id, field. Boxes of tiles and plots are joined on cells and
-    compared before any pixel moves; a tile then meets all its plots at once and gives a
+    ``rasters``: raster_id, field. Boxes of tiles and plots are joined on cells
+    of a quadtree and compared before any pixel moves; a tile then meets all its plots at once and gives a
     pair of sums for each. Negative heights count as ground. A plot that no tile's pixels
     fill has a null fraction.
     """
     boxes = _boxes(heights)
-    size = _largest(boxes)
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     plots = polygons.select("field", "plot", F.array_min(xs).alias("x1"), F.array_max(xs).alias("x2"), F.array_min(ys).alias("y1"), F.array_max(ys).alias("y2"))
     key = ["raster_id", "tile_r", "tile_c"]
-    met = _overlapping(boxes.join(rasters.select("raster_id", "field").distinct(), "raster_id"), plots, ["field"], size).distinct()
+    met = _overlapping(boxes.join(rasters.select("raster_id", "field").distinct(), "raster_id"), plots, ["field"]).distinct()
     asked = met.join(polygons.select("field", "plot", "ring"), ["field", "plot"])
     tiles = heights.join(met.select(*key).distinct(), key)
     tiles, asked = tiles.toDF(*tiles.columns), asked.toDF(*asked.columns)

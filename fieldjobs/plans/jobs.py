@@ -24,7 +24,7 @@ def flight_covariates(flights: DataFrame, minutes: DataFrame, increments: DataFr
         "dpi": days_since(F.col("flight_date"), F.col("inoculation_date")),
     })
     base = base.withColumn("shadow_row_angle", solar.shadow_row_angle(F.col("sun_azimuth"), F.col("row_azimuth")))
-    light = intervals.window_summary(intervals.interval_join(minutes, flights.select("flight_key", "flight_start", "flight_end"), "at", "flight_start", "flight_end", how="left"), ["flight_key"], "radiation")
+    light = intervals.window_stats(minutes, flights.select("flight_key", "flight_start", "flight_end"), "at", "flight_start", "flight_end", ["flight_key"], "radiation")
     light = light.select("flight_key", F.col("mean").alias("irradiance_mean"), F.col("cv").alias("irradiance_cv"), F.col("n").alias("irradiance_n"))
     spans = flights.join(planting, "field", "left").select("flight_key", "planting_date", "flight_date")
     growth = intervals.range_sum(increments, spans, "date", "gdd", "planting_date", "flight_date").select("flight_key", F.col("total").alias("agdd"))

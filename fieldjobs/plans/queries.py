@@ -132,7 +132,7 @@ def interval_stats(t):
     e = _events(t)
     windows = e.where("event_type = 'signup'").select("event_id", "user_id", F.col("ts").alias("t0"), (F.col("ts") + F.expr("interval 2 hours")).alias("t1"))
     points = e.where("event_type <> 'signup'").select(F.col("ts").alias("at"), "value")
-    return intervals.window_summary(intervals.interval_join(points, windows, "at", "t0", "t1", how="left"), ["event_id", "user_id"], "value")
+    return intervals.window_stats(points, windows, "at", "t0", "t1", ["event_id", "user_id"], "value")
 
 
 @query("SELECT o_orderkey, total FROM orders LEFT JOIN LATERAL (SELECT sum(q) AS total FROM (SELECT l_shipdate::DATE AS d, sum(l_quantity) AS q FROM lineitem GROUP BY 1) WHERE d BETWEEN o_orderdate::DATE AND o_orderdate::DATE + 30) ON true", ("total",), 3)
