@@ -720,6 +720,17 @@ def loyo_model(t):
     return model.cross_validate(l.select("row", "fold", "label", "l_quantity", "l_discount"), "fold", fit, "label", "row")
 
 
+@query(f"""WITH l AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_extendedprice * 100)::BIGINT) AS k, l_returnflag AS g, l_extendedprice / 1000 AS p, l_quantity::DOUBLE AS x FROM lineitem), o AS (SELECT k, f.g AS year, p, x FROM l JOIN (SELECT DISTINCT g FROM l) f ON l.g <> f.g), {STRAT},
+    d AS (SELECT r.year, p, x, place <= quota AS val FROM r JOIN q ON q.year = r.year AND q.bin = r.bin), c AS (SELECT year, regr_slope(p, x) AS b, regr_intercept(p, x) AS a FROM d WHERE NOT val GROUP BY year),
+    er AS (SELECT year, CASE WHEN val THEN 'val' ELSE 'train' END AS part, p, p - a - b * x AS e FROM d JOIN c USING (year) UNION ALL SELECT g, 'test', p, p - a - b * x FROM l JOIN c ON c.year = l.g),
+    m AS (SELECT year, part, count(*) AS n, avg(e * e) AS loss, 1 - avg(e * e) / var_pop(p) AS r2, avg(abs(e)) AS mae FROM er GROUP BY year, part)
+    SELECT r.year AS fold, r.n AS train_samples, r.loss AS train_loss, r.r2 AS train_r2, v.n AS val_samples, v.loss AS val_loss, v.r2 AS val_r2, t.n AS test_samples, t.loss AS test_loss, t.r2 AS test_r2, sqrt(t.loss) AS test_rmse, t.mae AS test_mae
+    FROM m r JOIN m v ON v.year = r.year AND v.part = 'val' JOIN m t ON t.year = r.year AND t.part = 'test' WHERE r.part = 'train'""", tuple(c for c in model.VALIDATION if not c.endswith("samples")), 8)
+def loyo_linear(t):
+    l = t("lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long")).alias("row"), "l_returnflag", "l_quantity", (F.col("l_extendedprice") / 1000).alias("label"))
+    return model.cross_validate_linear(l, "l_returnflag", ["l_quantity"], "label", "row")
+
+
 @query(f"SELECT row, actual, predicted, 2 * actual + 1 AS p, 2 * actual + 1 - predicted AS e FROM {LINE}", ("p", "e"))
 def score_batch(t):
     out = model.score(_line(t).select("row", "actual", F.col("predicted").alias("truth")), lambda: lambda pdf: pdf["actual"] * 2 + 1, ["actual"], "truth")

@@ -127,6 +127,30 @@ def test_cross_validation_fits_without_the_group(spark):
         assert math.isclose(got[f]["test_mae"], sum(abs(a - b) for a, b in test) / 100, rel_tol=1e-6)
 
 
+def test_linear_folds_from_moments_equal_fitted_ones(spark):
+    r = random.Random(9)
+    data = [(i, f"f{i % 3}", a := 1e6 + r.random(), b := r.gauss(0, 3), 2 * (a - 1e6) - b + (i % 3) * 0.1 + r.random()) for i in range(400)]
+    df = spark.createDataFrame([*data, (900, None, 1.0, 1.0, 1.0), (901, "f0", None, 1.0, 1.0)], "id long, fold string, a double, b double, label double")
+    known = df.where("id < 900").withColumnRenamed("fold", "group")
+    pool = splits.stratified_split(splits.leave_one_group_out(known, "group").where("split = 'pool'").drop("split"), ["fold"], "label", "id").select("fold", "id", "split").collect()
+    split = {(x["fold"], x["id"]): x["split"] for x in pool}
+    got = model.cross_validate_linear(df.withColumn("c", F.col("b")), "fold", ["a", "b", "c"], "label", "id")
+    assert got.columns == ["fold", *model.VALIDATION]
+    got = {x["fold"]: x for x in got.collect()}
+    assert sorted(got) == ["f0", "f1", "f2"]
+    for f, row in got.items():
+        parts = {p: np.array([[1.0, d[2] - 1e6, d[3], d[4]] for d in data if (split.get((f, d[0])) if d[1] != f else "test") == p]) for p in ("train", "val", "test")}
+        fit = np.linalg.lstsq(parts["train"][:, :3], parts["train"][:, 3], rcond=None)[0]
+        want = []
+        for rows in parts.values():
+            e = rows[:, 3] - rows[:, :3] @ fit
+            want += [len(e), (e**2).mean(), 1 - (e**2).mean() / rows[:, 3].var()]
+        want += [math.sqrt(want[-2]), abs(e).mean()]
+        assert [row[c] for c in model.VALIDATION] == pytest.approx(want, rel=1e-8)
+    with pytest.raises(ValueError):
+        model.cross_validate_linear(df, "id", ["a"], "label", "id")
+
+
 def test_left_interval_join_with_null_attributes(spark):
     import datetime as dt
 
