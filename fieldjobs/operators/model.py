@@ -118,6 +118,7 @@ def cross_validate_linear(df: DataFrame, group: str, features: list[str], target
     size = len(x) + 1
     kinds = ", ".join(f"{c} {'long' if c.endswith('samples') else 'double'}" for c in VALIDATION[:6])
     fits = parts.groupBy("fold").applyInPandas(lambda pdf: _solve(pdf, size), f"fold string, slopes array<double>, cut double, {kinds}")
+    fits = df.sparkSession.createDataFrame(fits.collect(), fits.schema)  # a row a fold, at most ``most``; read twice below
     scored = own.withColumn("fold", F.col("_group").cast("string")).join(F.broadcast(fits.select("fold", "slopes", "cut")), "fold")
     predicted = reduce(lambda a, i: a + F.col("slopes")[i] * F.col(x[i]), range(len(x)), F.col("cut"))
     test = regression_metrics(scored.select("fold", "actual", predicted.alias("predicted")), "fold", ("n", "mse", "r2", "rmse", "mae")).toDF("fold", *VALIDATION[6:])

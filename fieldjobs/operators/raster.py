@@ -120,16 +120,26 @@ def _mosaic(tiles: pd.DataFrame) -> tuple[np.ndarray, float, float, float, float
     return out, x0, y0, dx, dy
 
 
-def canopy_height(surface: DataFrame, terrain: DataFrame, pairs: DataFrame) -> DataFrame:
+def _plot_boxes(polygons: DataFrame) -> DataFrame:
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    return polygons.select("field", "plot", F.array_min(xs).alias("x1"), F.array_max(xs).alias("x2"), F.array_min(ys).alias("y1"), F.array_max(ys).alias("y2"))
+
+
+def canopy_height(surface: DataFrame, terrain: DataFrame, pairs: DataFrame, polygons: DataFrame | None = None) -> DataFrame:
     """Height tiles on the terrain's grid: surface minus terrain, NaN where either is missing.
 
     ``pairs``: surface_id, terrain_id. A terrain tile meets the surface tiles that overlap
     it or come within a pixel of it; boxes are joined on cells of a quadtree
     and compared before any pixel moves. The surface tiles of a terrain tile are laid side
     by side (tiles of one raster share its grid), so values are read bilinearly across
-    their borders. A terrain tile without surface gives no tile.
+    their borders. A terrain tile without surface gives no tile. With ``polygons``, whose
+    ``field`` the pairs then hold too, only tiles that a plot's box meets are made.
     """
     s_boxes, t_boxes = _boxes(surface, 1.0), _boxes(terrain)
+    if polygons is not None:
+        fields = pairs.select(F.col("terrain_id").alias("raster_id"), "field").distinct()
+        under = _overlapping(t_boxes.join(fields, "raster_id"), _plot_boxes(polygons), ["field"]).select("raster_id", "tile_r", "tile_c").distinct()
+        t_boxes = t_boxes.join(under, ["raster_id", "tile_r", "tile_c"], "left_semi")
     s_boxes = s_boxes.toDF("surface_id", "s_tile_r", "s_tile_c", "x1", "x2", "y1", "y2")
     t_boxes = t_boxes.join(pairs.select("surface_id", "terrain_id").distinct(), F.col("raster_id") == F.col("terrain_id")).drop("raster_id")
     met = _overlapping(t_boxes, s_boxes, ["surface_id"])
@@ -169,8 +179,7 @@ def zonal(heights: DataFrame, polygons: DataFrame, rasters: DataFrame) -> DataFr
     fill has a null fraction.
     """
     boxes = _boxes(heights)
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    plots = polygons.select("field", "plot", F.array_min(xs).alias("x1"), F.array_max(xs).alias("x2"), F.array_min(ys).alias("y1"), F.array_max(ys).alias("y2"))
+    plots = _plot_boxes(polygons)
     key = ["raster_id", "tile_r", "tile_c"]
     met = _overlapping(boxes.join(rasters.select("raster_id", "field").distinct(), "raster_id"), plots, ["field"]).distinct()
     asked = met.join(polygons.select("field", "plot", "ring"), ["field", "plot"])

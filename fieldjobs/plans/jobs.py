@@ -49,7 +49,7 @@ def weed_fractions(listing: DataFrame, tiles: DataFrame, polygons: DataFrame, ow
     """
     flights = flight_rasters(raster.latest_file(raster_inventory(listing, field), ("flight_folder", "field", "flight_date", "year", "kind")))
     flights = raster.assign_reference(flights, own_years).where("dsm_path is not null and ref_dtm_path is not null")
-    heights = raster.canopy_height(tiles, tiles, flights.select(F.col("dsm_path").alias("surface_id"), F.col("ref_dtm_path").alias("terrain_id")))
+    heights = raster.canopy_height(tiles, tiles, flights.select(F.col("dsm_path").alias("surface_id"), F.col("ref_dtm_path").alias("terrain_id"), "field"), polygons)
     of = flights.select(F.col("dsm_path").alias("raster_id"), "field", "flight_date", "dtm_strategy")
     out = raster.zonal(heights, polygons, of).join(of, ["raster_id", "field"])
     return out.select(build_image_key(F.col("flight_date"), F.col("field"), F.col("plot")).alias("image_filename"), "dtm_strategy", "px_valid", "px_weed", "frac_weed")

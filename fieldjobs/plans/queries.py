@@ -635,17 +635,17 @@ def _tiles(t) -> DataFrame:
     return g.select(F.lit("r").alias("raster_id"), "tile_r", "tile_c", (F.col("tile_c") * 16.0).cast("double").alias("x0"), (F.col("tile_r") * 16.0).cast("double").alias("y0"), F.lit(1.0).alias("dx"), F.lit(1.0).alias("dy"), F.lit(16).alias("h"), F.lit(16).alias("w"), F.lit(None).cast("float").alias("nodata"), px.alias("pixels"))
 
 
-@query("""WITH p AS (SELECT n_nationkey AS plot, n_nationkey % 5 * 12 + 2 AS x, n_nationkey // 5 * 12 + 2 AS y FROM nation), o AS (SELECT o_orderkey % 64 AS x, o_orderkey // 64 AS y, ((o_totalprice / 125000)::FLOAT - 0.25::FLOAT)::DOUBLE AS v FROM orders)
-    SELECT 'r' AS raster_id, 'f' AS field, p.plot, count(*) AS px_valid, count(*) FILTER (greatest(v, 0) BETWEEN .492 AND 2.461) AS px_weed, count(*) FILTER (greatest(v, 0) BETWEEN .492 AND 2.461) / count(*) AS frac_weed FROM p JOIN o ON o.x + .5 > p.x AND o.x + .5 < p.x + 9 AND o.y + .5 > p.y AND o.y + .5 < p.y + 9 WHERE o.y < 64 GROUP BY 1, 2, 3""", ("frac_weed",))
+@query("""WITH o AS (SELECT o_orderkey % 64 - 2 AS x, o_orderkey // 64 - 2 AS y, ((o_totalprice / 125000)::FLOAT - 0.25::FLOAT)::DOUBLE AS v FROM orders), p AS (SELECT x // 12 + 5 * (y // 12) AS k, v FROM o WHERE x >= 0 AND y >= 0 AND x < 60 AND x % 12 < 9 AND y % 12 < 9)
+    SELECT 'r' AS raster_id, 'f' AS field, c_custkey::INTEGER AS plot, count(*) AS px_valid, count(*) FILTER (greatest(v, 0) BETWEEN .492 AND 2.461) AS px_weed, count(*) FILTER (greatest(v, 0) BETWEEN .492 AND 2.461) / count(*) AS frac_weed FROM p JOIN customer ON c_custkey = k GROUP BY c_custkey""", ("frac_weed",))
 def zonal_fraction(t):
     surface = _tiles(t)
     terrain = surface.withColumn("raster_id", F.lit("g")).withColumn("pixels", F.transform("pixels", lambda _: F.lit(0.25).cast("float")))
-    pairs = surface.select(F.lit("r").alias("surface_id"), F.lit("g").alias("terrain_id")).distinct()
-    heights = raster.canopy_height(surface, terrain, pairs)
-    x, y = (F.col("n_nationkey") % 5 * 12 + 2).cast("double"), (F.floor(F.col("n_nationkey") / 5) * 12 + 2).cast("double")
+    pairs = surface.select(F.lit("r").alias("surface_id"), F.lit("g").alias("terrain_id"), F.lit("f").alias("field")).distinct()
+    x, y = (F.col("c_custkey") % 5 * 12 + 2).cast("double"), (F.floor(F.col("c_custkey") / 5) * 12 + 2).cast("double")
     pt = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
-    plots = t("nation").select(F.lit("f").alias("field"), F.col("n_nationkey").alias("plot"), F.array(pt(x, y), pt(x + 9, y), pt(x + 9, y + 9), pt(x, y + 9)).alias("ring"))
-    return raster.zonal(heights, plots, heights.select("raster_id", F.lit("f").alias("field")).distinct())
+    plots = t("customer").select(F.lit("f").alias("field"), F.col("c_custkey").cast("int").alias("plot"), F.array(pt(x, y), pt(x + 9, y), pt(x + 9, y + 9), pt(x, y + 9)).alias("ring"))
+    heights = raster.canopy_height(surface, terrain, pairs, plots)
+    return raster.zonal(heights, plots, pairs.select(F.col("surface_id").alias("raster_id"), "field"))
 
 
 @query(f"""WITH a AS (SELECT coalesce(fold::VARCHAR, 'all_folds') AS fold, {FOLD} FROM {LINE} GROUP BY GROUPING SETS ((fold), ())), b AS (SELECT fold::VARCHAR AS fold, actual, predicted FROM {LINE} UNION ALL SELECT 'all_folds', actual, predicted FROM {LINE}),
