@@ -111,6 +111,14 @@ def fisher_ci(df: DataFrame, r: str = "rho", n: str = "n") -> DataFrame:
     return out.withColumn("significant", F.col("p") < 0.05) if "p" in df.columns else out
 
 
+def covariate_table(df: DataFrame, covariates: list[str], errors: list[str], ids: list[str]) -> DataFrame:
+    """``covariate, error, n, rho, p, ci_low, ci_high, significant, mean, sd``: rank correlations, and each covariate's mean and spread over all rows that have it."""
+    both = df.agg(*(f(c).alias(f"{name}_{i}") for i, c in enumerate(covariates) for name, f in (("mean", F.avg), ("sd", F.stddev_samp))))
+    rows = F.array(*(F.struct(F.lit(c).alias("covariate"), F.col(f"mean_{i}").cast("double").alias("mean"), F.col(f"sd_{i}").alias("sd")) for i, c in enumerate(covariates)))
+    spread = both.select(F.inline(rows))  # a row for each named covariate
+    return fisher_ci(spearman_by_covariate(df, covariates, errors, ids)).join(F.broadcast(spread), "covariate")
+
+
 def kruskal(df: DataFrame, value: str, group: str, by: list[str]) -> DataFrame:
     """``by, h, groups, n, p``: Kruskal-Wallis over the groups, corrected for ties."""
     counts = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*by, group, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))

@@ -64,6 +64,6 @@ def prediction_metrics(predictions: DataFrame) -> DataFrame:
 
 
 def error_by_covariate(flight_errors: DataFrame, covariates: DataFrame, names: list[str]) -> DataFrame:
-    """Rank correlation of flight errors with covariates, with confidence intervals."""
+    """Rank correlation of flight errors with covariates, with confidence intervals and each covariate's mean and SD."""
     both = flight_errors.join(covariates.select("flight_key", *names), "flight_key", "left")
-    return ranks.fisher_ci(ranks.spearman_by_covariate(both, names, ["mae", "mean_signed_error"], ["flight_key"]))
+    return ranks.covariate_table(both, names, ["mae", "mean_signed_error"], ["flight_key"])

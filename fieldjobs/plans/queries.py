@@ -209,9 +209,17 @@ def spearman_by_covariate(t):
     return _by_covariate(t).drop("p")
 
 
-@query(f"SELECT *, tanh(atanh(greatest(-.9999, least(.9999, rho))) - 1.959964 / sqrt(n - 3)) AS ci_low, tanh(atanh(greatest(-.9999, least(.9999, rho))) + 1.959964 / sqrt(n - 3)) AS ci_high FROM {RHO}", ("rho", "ci_low", "ci_high"))
+CI = f"(SELECT *, tanh(atanh(greatest(-.9999, least(.9999, rho))) - 1.959964 / sqrt(n - 3)) AS ci_low, tanh(atanh(greatest(-.9999, least(.9999, rho))) + 1.959964 / sqrt(n - 3)) AS ci_high, abs(rho) * sqrt((n - 2) / (1 - rho ** 2)) > 1.959964 + (1.959964 ** 3 + 1.959964) / (4 * (n - 2)) AS significant FROM {RHO})"
+
+
+@query(f"SELECT * FROM {CI}", ("rho", "ci_low", "ci_high"))
 def fisher_ci(t):
-    return ranks.fisher_ci(_by_covariate(t)).drop("p", "significant")
+    return ranks.fisher_ci(_by_covariate(t)).drop("p")
+
+
+@query(f"SELECT * FROM {CI} JOIN (SELECT covariate, avg(x) AS mean, stddev_samp(x) AS sd FROM (UNPIVOT (SELECT l_discount, l_tax, predicted FROM {LINE}) ON l_discount, l_tax, predicted INTO NAME covariate VALUE x) GROUP BY covariate) USING (covariate)", ("rho", "ci_low", "ci_high", "mean", "sd"))
+def covariate_table(t):
+    return ranks.covariate_table(keys.with_errors(_line(t)), ["l_discount", "l_tax", "predicted"], ["abs_error", "signed_error"], ["row"]).drop("p")
 
 
 @query(f"""WITH r AS (SELECT fold, {RANKED.format(p='1', x='actual')} AS r, count(*) OVER (PARTITION BY actual) AS c FROM {LINE}), g AS (SELECT fold, sum(r) AS s, count(*) AS n FROM r GROUP BY fold), t AS (SELECT sum(c::DOUBLE ** 2 - 1) AS t, count(*)::DOUBLE AS n FROM r)
@@ -670,6 +678,26 @@ def _image_errors(t):
     return joins.join_covariates(_line(t).select(F.col("l_suppkey").alias("image_filename"), "actual", "predicted"), covariates)
 
 
+FIRST = "(SELECT o_custkey AS image_filename, date_diff('day', DATE '1995-01-01', o_orderdate::DATE) AS signed_days_diff FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r = 1)"
+
+
+def _with_first_order(t):
+    """Customers as predictions, with the offset of their first order; a customer with many orders has many metadata rows."""
+    predictions = t("customer").select(F.col("c_custkey").alias("image_filename"), F.col("c_acctbal").alias("actual"), "c_nationkey")
+    offsets = t("orders").select(F.col("o_custkey").alias("image_filename"), "o_orderdate", "o_orderkey", F.datediff("o_orderdate", F.lit("1995-01-01")).cast("long").alias("signed_days_diff"))
+    return joins.join_metadata(predictions, offsets, ["signed_days_diff"], ["o_orderdate", "o_orderkey"])
+
+
+@query(f"SELECT c_custkey AS image_filename, c_acctbal AS actual, c_nationkey, signed_days_diff FROM customer JOIN {FIRST} ON c_custkey = image_filename")
+def metadata_once(t):
+    return _with_first_order(t)[0]
+
+
+@query(f"SELECT count(*) AS n_predictions, count(*) FILTER (c_custkey NOT IN (SELECT o_custkey FROM orders)) AS n_lost FROM customer")
+def metadata_lost(t):
+    return _with_first_order(t)[1]
+
+
 @query("SELECT sum(n) FILTER (s <> floor(s)) / sum(n) AS half_share FROM (SELECT floor(l_quantity / 5 * 2) / 2 AS s, count(*) AS n FROM lineitem GROUP BY 1) WHERE s BETWEEN 1 AND 9", ("half_share",))
 def half_share(t):
     return profile.half_share(profile.score_counts(t("lineitem").withColumn("s", F.floor(F.col("l_quantity") / 5 * 2) / 2), "s"))
