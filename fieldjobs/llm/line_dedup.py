@@ -7,8 +7,9 @@ stand, and a text has few fingerprints. The fingerprints' positions are joined o
 texts; those found at one place only end there. Around the others every window that the
 fingerprint stands for is compared with the same windows elsewhere, by the fingerprint and
 a hash of all its words, which extends a match both ways as far as whole windows agree. A
-window is deleted where a smaller doc_id, or an earlier place of its own text, holds the
-same words, so all of a repeated passage goes but its earliest place.
+window is deleted where an earlier text, or an earlier place of its own text, holds the
+same words, so all of a repeated passage goes but its earliest place. Texts are ordered by
+doc_id, null last, and texts of one doc_id by a hash.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ PART = 1 << 22
 #: Low bits of a place: the number of its first word, and whether its own text holds the window before. Above them the low bits of its text's hash.
 WORD_BITS = 31
 REPEATED = 1 << 30
+#: The id that rows without one have here, the last of all.
+LAST = 2**63 - 1
 _U = np.uint64
 
 
@@ -112,39 +115,48 @@ def _windows(min_words: int):
     return run
 
 
+def _id():
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id")
+
+
 def _tag(text_hash):
     """What tells a text from others of its doc_id, never 0."""
     return F.shiftleft(text_hash.bitwiseAND(F.lit(2**32 - 1)).bitwiseOR(F.lit(1)), WORD_BITS)
 
 
 def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, tag, begins, copy``: the first words of the windows to delete, for texts that lose any; ``copy``: all of the text goes."""
+    """``doc_id, text_hash, begins, copy``: the first words of the windows to delete, for texts that lose any; ``copy``: all of the text goes."""
     text = F.coalesce("text", F.lit(""))
-    src = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    src = docs.select(_id(), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     printed = cut(src.mapInArrow(_prints(min_words), "doc_id long, text_hash long, bytes long, prints array<long>"))
-    # tags are only needed where a doc_id has several texts
-    several = F.min("text_hash") != F.max("text_hash")
+    # tags are only needed where a doc_id has several texts, as rows without one have
+    several = (F.min("text_hash") != F.max("text_hash")) | (F.col("doc_id") == LAST)
     tags = cut(printed.groupBy("doc_id").agg(several.alias("several"), F.count_if(F.size("prints") > 0).alias("n")).where("n > 0").drop("n"))
     tag = F.when(F.col("several"), _tag(F.col("text_hash"))).otherwise(F.lit(0).cast("long")).alias("tag")
     printed = printed.where(F.size("prints") > 0)
     # later copies of a whole text go as one
     first = cut(printed.groupBy("text_hash", "bytes").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")))
-    copies = printed.select("doc_id", "text_hash", "bytes").join(first.where("n > 1"), ["text_hash", "bytes"]).where("doc_id > head").join(tags, "doc_id").select("doc_id", tag).distinct()
+    copies = printed.select("doc_id", "text_hash", "bytes").join(first.where("n > 1"), ["text_hash", "bytes"]).where("doc_id > head").select("doc_id", "text_hash").distinct()
     one_each = printed.join(first, (printed["text_hash"] == first["text_hash"]) & (printed["bytes"] == first["bytes"]) & (printed["doc_id"] == first["head"]), "left_semi")
-    # within this step a text is known by its doc_id alone: texts that share it are given each other's fingerprints, which costs a little work
-    prints = one_each.select("doc_id", F.explode("prints").alias("print"))
+    # within this step a text is known by its hash alone: texts that share it are given each other's fingerprints, which costs a little work
+    prints = one_each.select("text_hash", F.explode("prints").alias("print"))
     again = cut(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"))
-    prints = one_each.select("doc_id", F.explode(F.array_distinct("prints")).alias("print"))
-    hot = cut(prints.join(again, "print").repartition("doc_id").groupBy("doc_id").agg(F.collect_set("print").alias("prints")))
-    asked = one_each.select("doc_id", "text_hash").distinct().join(tags, "doc_id").select("doc_id", "text_hash", tag).join(hot, "doc_id")
-    windows = cut(src.join(asked, ["doc_id", "text_hash"]).mapInArrow(_windows(min_words), "print int, check long, doc_id long, place long"))
+    prints = one_each.select("text_hash", F.explode(F.array_distinct("prints")).alias("print"))
+    hot = cut(prints.join(again, "print").repartition("text_hash").groupBy("text_hash").agg(F.collect_set("print").alias("prints")))
+    named = one_each.select("doc_id", "text_hash").distinct().join(tags, "doc_id").select("doc_id", "text_hash", tag)
+    windows = cut(src.join(named.join(hot, "text_hash"), ["doc_id", "text_hash"]).mapInArrow(_windows(min_words), "print int, check long, doc_id long, place long"))
     earliest = windows.groupBy("print", "check").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1").select("print", "check", "head")
     earliest = cut(earliest)  # so that a window that very many texts hold is split
     word, of = F.col("place").bitwiseAND(F.lit(REPEATED - 1)), F.col("place").bitwiseAND(F.lit(~(2**WORD_BITS - 1)))
     later = windows.join(earliest, ["print", "check"]).where((F.col("doc_id") > F.col("head")) | (F.col("place").bitwiseAND(F.lit(REPEATED)) != 0))
-    begins = later.select("doc_id", of.alias("tag"), word.cast("int").alias("begin")).repartition("doc_id", "tag").groupBy("doc_id", "tag").agg(F.collect_set("begin").alias("begins"))
-    begins = cut(begins)
-    return begins.withColumn("copy", F.lit(False)).union(copies.select("doc_id", "tag", F.array().cast("array<int>"), F.lit(True)))
+    # of texts that share a doc_id, all but the one with the smallest tag
+    tagged = windows.where(of != 0)
+    own = cut(tagged.groupBy("print", "check", "doc_id").agg(F.min(of).alias("least"), F.max(of).alias("most")).where("least < most").drop("most"))
+    second = tagged.join(own, ["print", "check", "doc_id"]).where(of > F.col("least"))
+    lost = later.select("doc_id", of.alias("tag"), word.cast("int").alias("begin")).union(second.select("doc_id", of, word.cast("int")))
+    begins = lost.repartition("doc_id", "tag").groupBy("doc_id", "tag").agg(F.collect_set("begin").alias("begins"))
+    begins = cut(begins.join(named, ["doc_id", "tag"]).select("doc_id", "text_hash", "begins"))
+    return begins.withColumn("copy", F.lit(False)).union(copies.select("doc_id", "text_hash", F.array().cast("array<int>"), F.lit(True)))
 
 
 def _spans(min_words: int):
@@ -202,9 +214,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     start and end inside a line. ``gone`` has their spans of characters with the white
     space behind them. Nothing under ``min_words`` words in a row is ever deleted, nor a
     passage that overlaps its own earlier place. Null texts stay null and empty ones
-    empty, rows with a null doc_id stay as they are, and repeated rows (same doc_id and
-    text) count as one document and all stay; other texts of one doc_id are not compared
-    with each other. All other columns are carried along,
+    empty. Rows without a doc_id come after all others; texts of one doc_id, and of none,
+    are ordered by a hash. Repeated rows (same doc_id, or none, and same text) count as
+    one document and are all treated alike. All other columns are carried along,
     whatever their names; columns ``n_lines`` and ``gone`` of ``docs`` give way to the new
     ones. An empty table gives no row.
     """
@@ -212,9 +224,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     col = dict(zip(docs.columns, names))
     gone = repeated_windows(docs.select("doc_id", "text"), min_words)
     text = F.coalesce(F.col(col["text"]), F.lit(""))
-    keyed = docs.toDF(*names).withColumn("id", F.col(col["doc_id"]).cast("long")).withColumn("mark", _tag(F.xxhash64(text)))
-    out = keyed.join(gone, (F.col("id") == F.col("doc_id")) & ((F.col("tag") == 0) | (F.col("mark") == F.col("tag"))), "left")
-    loses = F.col("tag").isNotNull()
+    keyed = docs.toDF(*names).withColumn("id", F.coalesce(F.col(col["doc_id"]).cast("long"), F.lit(LAST))).withColumn("mark", F.xxhash64(text))
+    out = keyed.join(gone, (F.col("id") == F.col("doc_id")) & (F.col("mark") == F.col("text_hash")), "left")
+    loses = F.col("text_hash").isNotNull()
     none = F.array().cast("array<struct<begin: int, end: int>>")
     out = out.withColumn("spans", _spans(min_words)(F.when(loses, text), F.col("begins"), F.coalesce("copy", F.lit(False))))
     out = out.withColumn("left", _without(F.when(loses, text), F.col("spans")))

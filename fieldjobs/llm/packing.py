@@ -207,18 +207,19 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, spread: int = 0)
     are packed like others. An empty table gives no row. Other columns are ignored.
     """
     spark = docs.sparkSession
-    pieces = cut(token_pieces(docs, path, capacity))
+    # a number that equal rows don't share, written so that it stays the same when a task runs again
+    pieces = cut(token_pieces(docs, path, capacity).withColumn("own", F.monotonically_increasing_id()))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     total = sum(counts.values())
     slots = plan(counts, capacity)
     # each length is dealt to as many groups as keep a group under a small share of all pieces
     most = spread or max(2_000, total // (16 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     groups = spark.createDataFrame([(n, -(-c // most)) for n, c in counts.items()], "length long, groups long")
-    dealt = pieces.join(F.broadcast(groups), "length").withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("groups")))
+    dealt = pieces.join(F.broadcast(groups), "length").withColumn("group", F.pmod(F.xxhash64("own"), F.col("groups")))
     sizes = dealt.groupBy("length", "group").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("group").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("length", "group", F.coalesce(before, F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("length", "group").orderBy("doc_id", "piece")) - 1
+    place = F.row_number().over(Window.partitionBy("length", "group").orderBy("doc_id", "piece", "own")) - 1
     ranked = dealt.withColumn("place", place).join(sizes, ["length", "group"]).withColumn("rank", F.col("before") + F.col("place"))
     # the plan's size is bounded by the capacity, not by the data
     slot = spark.createDataFrame(slots, "length long, first long, times long, sequence long, offset long")
