@@ -91,7 +91,7 @@ class Merges:
         keys = np.array([a << 32 | b for a, b in merged], np.int64)
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], np.array([r for r, _ in merged.values()], np.int64)[order]
-        self.known_pairs, self.known_fits = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
+        self._forget()
 
         single = {t[0]: i for t, i in tokens.items() if len(t) == 1}
 
@@ -111,40 +111,53 @@ class Merges:
             self.shorter[i] = next((usable[t[:m]] for m in range(len(t) - 1, 0, -1) if t[:m] in usable), -1)
         self._automaton(usable)
 
+    def _forget(self) -> None:
+        self.known_pairs, self.known_fits = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k not in ("known_pairs", "known_fits")}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state)
+        self._forget()
+
     def _automaton(self, usable: dict[tuple[int, ...], int]) -> None:
-        children: list[dict[int, int]] = [{}]
-        depth, token = [0], [-1]
-        for t, i in usable.items():
-            node = 0
-            for s in reversed(t):
-                if s not in children[node]:
-                    children[node][s] = len(children)
-                    children.append({})
-                    depth.append(depth[node] + 1)
-                    token.append(-1)
-                node = children[node][s]
-            token[node] = i
-        n = len(children)
-        self.next = np.zeros((n, 256), np.int32)
+        """Moves of the automaton, sixteen bytes to a block. A node has the blocks of the node it falls back to, but for those that its own edges lie in."""
+        ids, sizes = np.fromiter(usable.values(), np.int64), np.fromiter(map(len, usable), np.int64)
+        symbols = np.fromiter((s for t in usable for s in reversed(t)), np.int64)
+        begin, node = np.cumsum(sizes) - sizes, np.zeros(len(ids), np.int64)
+        n, made, levels, live = 1, 16, [], np.arange(len(ids))
+        while len(live):
+            edges, which = np.unique(node[live] << 9 | symbols[begin[live] + len(levels)], return_inverse=True)
+            node[live] = n + which
+            levels.append((edges >> 9, edges & 511, np.arange(n, n + len(edges))))
+            n += len(edges)
+            made += len(np.unique(edges >> 4)) if len(levels) > 1 else 0
+            live = live[sizes[live] > len(levels)]
+        self.blocks, self.moves = np.zeros((n, 16), np.int32), np.zeros((made, 16), np.int32)
         self.first = np.zeros(512, np.int32)  # from the start, word ends too
-        self.longest = np.array(token, np.int64)
-        fail = np.zeros(n, np.int64)
-        levels: list[list[int]] = [[] for _ in range(max(depth) + 1)]
-        for node, d in enumerate(depth):
-            levels[d].append(node)
-        for s, child in children[0].items():
-            self.first[s] = child
-            if s < 256:
-                self.next[0, s] = child
-        for level in levels[1:]:
-            nodes = np.array(level)
-            self.next[nodes] = self.next[fail[nodes]]
+        self.longest = np.full(n, -1, np.int64)
+        self.longest[node] = ids
+        _, s, nodes = levels[0]
+        self.first[s] = nodes
+        self.blocks[0], self.moves[:16] = np.arange(16), self.first[:256].reshape(16, 16)
+        fail, made = np.zeros(n, np.int64), 16
+        for v, s, w in [*levels[1:], (None, None, None)]:
+            self.blocks[nodes] = self.blocks[fail[nodes]]
             self.longest[nodes] = np.where(self.longest[nodes] >= 0, self.longest[nodes], self.longest[fail[nodes]])
-            edges = [(v, s, w) for v in level for s, w in children[v].items()]
-            if edges:
-                v, s, w = np.array(edges).T
-                fail[w] = self.next[v, s]
-                self.next[v, s] = w
+            if w is None:
+                break
+            fail[w] = self.step(v, s)
+            own, which = np.unique(v << 4 | s >> 4, return_inverse=True)
+            new = np.arange(made, made + len(own))
+            self.moves[new] = self.moves[self.blocks[own >> 4, own & 15]]
+            self.moves[new[which], s & 15] = w
+            self.blocks[own >> 4, own & 15] = new
+            nodes, made = w, made + len(own)
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The states that bytes lead to."""
+        return self.moves[self.blocks[state, byte >> 4], byte & 15]
 
     def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether each two tokens, side by side, are what merging would leave."""
@@ -198,7 +211,7 @@ class Merges:
             if n == 0:
                 break
             at = ends[many[:n]] - back
-            state = self.next[state[:n], data[at]]
+            state = self.step(state[:n], data[at])
             longest[at] = self.longest[state]
         token = np.zeros(len(data), np.int64)
         stands = np.zeros(len(data), bool)
@@ -245,7 +258,7 @@ class Merges:
         state, longest = int(self.first[word[-1] + 256 * word_ends]), [0] * n
         longest[-1] = int(self.longest[state])
         for j in range(n - 2, -1, -1):
-            state = int(self.next[state, word[j]])
+            state = int(self.step(state, word[j]))
             longest[j] = int(self.longest[state])
         fits: dict[tuple[int, int], bool] = {}
         out, at, shut, now = [], 0, bytearray(n + 1), longest[0]

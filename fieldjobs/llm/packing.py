@@ -11,6 +11,7 @@ third of all pieces share is spread over tasks.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import zlib
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
 from fieldjobs.llm.bpe import SPACE, Merges, byte_alphabet, character_classes, expanded, ranges
@@ -111,16 +113,18 @@ class Encoder:
         return ids, offsets[np.searchsorted(start, at)]
 
 
-_LOADED: dict[str, Encoder] = {}
 #: Bytes of text encoded at a time, about.
-AT_ONCE = 12_000_000
+AT_ONCE = 1_000_000
 
 
-def _pieces(path: str, classes: tuple[list[int], list[int]], capacity: int):
+@functools.cache
+def _encoder(path: str) -> Encoder:
+    return Encoder(path, character_classes())
+
+
+def _pieces(shared: Broadcast[Encoder], capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _LOADED:
-            _LOADED[path] = Encoder(path, classes)
-        encoder = _LOADED[path]
+        encoder = shared.value
         for batch in batches:
             for part in groups(batch.column("text"), AT_ONCE):
                 ids, at = encoder.batch(batch.column("text")[part])
@@ -144,7 +148,9 @@ def _pieces(path: str, classes: tuple[list[int], list[int]], capacity: int):
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: each document's ids and an end id, cut so that only the first piece may be short."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return src.mapInArrow(_pieces(path, character_classes(), capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    # made once and sent, since an executor has more workers than cores, and making it takes each of them several times its size
+    shared = docs.sparkSession.sparkContext.broadcast(_encoder(path))
+    return src.mapInArrow(_pieces(shared, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
