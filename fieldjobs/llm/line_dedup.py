@@ -19,7 +19,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StringType
 
 from fieldjobs.llm.recovery import cut
 from fieldjobs.llm.words import SPACE_WORDS, find_words, groups, mix, sequence_hashes, text_bytes
@@ -159,11 +158,11 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return begins.withColumn("copy", F.lit(False)).union(copies.select("doc_id", "text_hash", F.array().cast("array<int>"), F.lit(True)))
 
 
-def _spans(min_words: int):
-    """Of each text, the spans of characters of the windows that begin at these words, with the white space behind them."""
+def _rewritten(min_words: int):
+    """Of each text, the spans of characters of the windows that begin at these words, with the white space behind them, and what is left without them. One function, so that a task needs one Python worker."""
 
-    @F.arrow_udf("array<struct<begin: int, end: int>>")
-    def spans(text: pa.Array, begins: pa.Array, copy: pa.Array) -> pa.Array:
+    @F.arrow_udf("struct<spans: array<struct<begin: int, end: int>>, left: string>")
+    def rewritten(text: pa.Array, begins: pa.Array, copy: pa.Array) -> pa.Array:
         out = []
         for t, first, whole in zip(text.to_pylist(), begins.to_pylist(), copy.to_pylist()):
             if whole:
@@ -180,16 +179,16 @@ def _spans(min_words: int):
             begin = chars[starts[b[new]]]
             end = chars[np.append(starts, len(data))[b[np.append(np.flatnonzero(new)[1:] - 1, len(b) - 1)] + min_words]]
             out.append([{"begin": x, "end": y} for x, y in zip(begin.tolist(), end.tolist())])
-        return pa.array(out, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))
+        gone = pa.array(out, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))
+        return pa.StructArray.from_arrays([gone, _without(text, out)], ["spans", "left"])
 
-    return spans
+    return rewritten
 
 
-@F.arrow_udf(StringType())
-def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
+def _without(text: pa.Array, gone: list[list[dict[str, int]]]) -> pa.Array:
     """Of the white space before and behind a passage that goes, one stays; the one with a line break, if only one has any."""
     out = []
-    for t, spans in zip(text.to_pylist(), gone.to_pylist()):
+    for t, spans in zip(text.to_pylist(), gone):
         if not spans:
             out.append(t)
             continue
@@ -228,12 +227,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     out = keyed.join(gone, (F.col("id") == F.col("doc_id")) & (F.col("mark") == F.col("text_hash")), "left")
     loses = F.col("text_hash").isNotNull()
     none = F.array().cast("array<struct<begin: int, end: int>>")
-    out = out.withColumn("spans", _spans(min_words)(F.when(loses, text), F.col("begins"), F.coalesce("copy", F.lit(False))))
-    out = out.withColumn("left", _without(F.when(loses, text), F.col("spans")))
-    new = F.when(loses, F.col("left")).otherwise(F.col(col["text"]))
+    out = out.withColumn("made", _rewritten(min_words)(F.when(loses, text), F.col("begins"), F.coalesce("copy", F.lit(False))))
+    new = F.when(loses, F.col("made.left")).otherwise(F.col(col["text"]))
     kept = {"text": new, "n_chars": F.char_length(new).cast("long")}
     lines = F.coalesce(F.size(F.split(F.col(col["text"]), "\n", -1)), F.lit(0)).cast("long")
     return out.select(
         *(kept.get(c, F.col(n)).alias(c) for c, n in col.items() if c not in ("n_lines", "gone")),
-        lines.alias("n_lines"), F.when(loses, F.col("spans")).otherwise(none).alias("gone"),
+        lines.alias("n_lines"), F.when(loses, F.col("made.spans")).otherwise(none).alias("gone"),
     )

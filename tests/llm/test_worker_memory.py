@@ -6,9 +6,9 @@ import tracemalloc
 from types import SimpleNamespace
 
 import pyarrow as pa
-from test_llm import BYTE_VOCABULARY
+from test_llm import BYTE_VOCABULARY, docs
 
-from fieldjobs.llm import packing
+from fieldjobs.llm import line_dedup, packing
 
 
 def test_a_sent_encoder_is_small_and_encodes_large_batches_in_little_memory():
@@ -37,3 +37,12 @@ def test_a_sent_encoder_is_small_and_encodes_large_batches_in_little_memory():
 
     library = tokenizers.Tokenizer.from_file(BYTE_VOCABULARY)
     assert made.batch(pa.array([texts[3]]))[0].tolist() == library.encode(texts[3], add_special_tokens=False).ids
+
+
+def test_line_dedup_rewrites_texts_in_one_worker_a_task(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    out = line_dedup.dedup_lines(docs(spark, [(1, "a\n" + passage), (2, passage + "\nc d"), (3, None), (4, passage)]))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    got = {r["doc_id"]: (r["text"], [tuple(s) for s in r["gone"]]) for r in out.collect()}
+    assert got == {1: ("a\n" + passage, []), 2: ("c d", [(0, len(passage) + 1)]), 3: (None, []), 4: ("", [(0, len(passage))])}
