@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldjobs.llm.recovery import cut
+from fieldjobs.llm.words import few_at_a_time
 
 #: Labelled rows that the lexicon and the weights are learned from, at most about so many.
 TRAINING_ROWS = 40_000
@@ -200,7 +201,7 @@ def _matched(entries: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(entries)
-        for batch in batches:
+        for batch in few_at_a_time(batches, "text"):
             kinds = []
             for text in batch.column("text").to_pylist():
                 found, _, quoted = matcher.hits(text)
@@ -316,7 +317,7 @@ def _scored(model: str):
         m = json.loads(model)
         matcher = _matcher(m["entries"])
         weights = np.array(m["weights"])
-        for batch in batches:
+        for batch in few_at_a_time(batches, "text"):
             score, n_hits, n_quoted = [], [], []
             for text in batch.column(0).to_pylist():
                 found, _, quoted = matcher.hits(text)
