@@ -6,11 +6,9 @@ anchor place lie side by side, so what moves is one stretch of bytes for each pl
 anchor that the corpus holds more than once. Anchors are dealt to shards.
 
 A shard's stretches are laid end to end in the order of their documents. Their suffixes
-are sorted by induction: each suffix is classified as smaller or larger than the next one,
-the leftmost smaller ones are sorted (by their substrings' names, recursively), and all
-others are induced from them in linear time. Common prefixes are computed in text order,
-where only irreducible ones are compared and the others count down. Suffixes that share
-``size`` bytes are neighbours; all but the earliest of them go.
+are sorted by prefix doubling: by 8 bytes first, then by 16, 32 and so on up to ``size``,
+each time by the ranks of both halves, and only where some are still equal. Suffixes that
+share ``size`` bytes are neighbours with one rank; all but the earliest of them go.
 
 An anchor of very many places is dealt to several shards. What is left of it in each is
 compared between them by digests of whole strings.
@@ -61,109 +59,38 @@ def _sum_before(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts)])
 
 
-def _induced(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """All suffixes, induced from the leftmost smaller ones in the order given (it holds within each first symbol)."""
-    n, width = len(s), int(s.max()) + 1
-    counts = np.bincount(s, minlength=width)
-    end = np.cumsum(counts)
-    start = end - counts
-    sa = np.full(n, -1, np.int64)
-    first = s[seeds]
-    seeds = seeds[np.argsort(first, kind="stable")]
-    n_seeds = np.bincount(first, minlength=width)
-    sa[ranges(end - n_seeds, n_seeds)] = seeds
-    if width > 1024:
-        return _induced_one_by_one(s, smaller, sa.tolist(), start.tolist(), end.tolist())
-    head, tail = start.copy(), end.copy()
-    used = np.flatnonzero(counts).tolist()
-
-    def settle(found: np.ndarray, larger: bool) -> None:
-        # the suffixes before these, in the same order, go to the free ends of their buckets
-        found = found - 1
-        found = found[(found >= 0) & (smaller[found] != larger)]
-        if len(found):
-            c = s[found]
-            order = np.argsort(c.astype(np.int16), kind="stable")
-            found, c = found[order], c[order]
-            many = np.bincount(c, minlength=width)
-            rank = np.arange(len(c)) - (np.cumsum(many) - many)[c]
-            if larger:
-                sa[head[c] + rank] = found
-                head[:] += many
-            else:
-                sa[tail[c] - 1 - rank] = found
-                tail[:] -= many
-
-    for c in used:
-        done = int(start[c])
-        while done < (upto := int(head[c])):  # runs of one symbol settle a generation at a time
-            settle(sa[done:upto], True)
-            done = upto
-        settle(sa[end[c] - n_seeds[c] : end[c]], True)
-    for c in reversed(used):
-        done = int(end[c])
-        if c == 0:
-            break  # the end itself stays where it is
-        while done > (upto := int(tail[c])):
-            settle(sa[upto:done][::-1], False)
-            done = upto
-        settle(sa[start[c] : head[c]][::-1], False)
-    return sa
-
-
-def _induced_one_by_one(s: np.ndarray, smaller: np.ndarray, sa: list[int], head: list[int], tail: list[int]) -> np.ndarray:
-    """The same for many symbols, whose buckets are small."""
-    # the symbol of the suffix before each, where it is to be put; -1 reads the last entry
-    before = np.append(np.append(-1, s[:-1]), -1)
-    smaller_before = np.append(np.append(False, smaller[:-1]), False)
-    symbol = np.where(smaller_before, -1, before).tolist()
-    for j in sa:  # what is put ahead is read later
-        if (c := symbol[j]) >= 0:
-            at = head[c]
-            sa[at] = j - 1
-            head[c] = at + 1
-    symbol = np.where(smaller_before, before, -1).tolist()
-    for j in reversed(sa):
-        if (c := symbol[j]) >= 0:
-            at = tail[c] - 1
-            sa[at] = j - 1
-            tail[c] = at
-    return np.array(sa, np.int64)
+def _doubled(first: np.ndarray, room: np.ndarray, depth: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorts the places of a text by the ``size`` symbols that follow, from an order by ``depth`` of them (``first``).
+
+    Returns each place's rank (equal strings share one), and of the places that the last
+    round sorted their order and the sizes of their groups. Places have ``room`` for so
+    many symbols; those with less take no part. A string's halves were ranked in the round
+    before, so each round doubles the depth, and places that stand alone are done.
+    """
+    todo = np.flatnonzero(room >= depth)
+    rank, key = np.zeros(len(room), np.int64), first[todo]
+    while True:
+        order = np.argsort(key)
+        todo, key = todo[order], key[order]
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+        many = np.diff(np.append(edge, len(key)))
+        old = rank[todo]  # groups only part, so ranks count from their group's
+        opens = np.concatenate([[True], old[1:] != old[:-1]])[: len(old)]
+        rank[todo] = old + np.repeat(edge, many) - np.maximum.accumulate(np.where(opens, np.arange(len(old)), 0))
+        if depth >= size or not (many > 1).any():
+            return rank, todo, many
+        step = min(depth, size - depth)
+        depth += step
+        todo = todo[np.repeat(many > 1, many)]
+        todo = todo[room[todo] >= depth]
+        key = rank[todo] << 32 | rank[todo + step]
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """The order of all suffixes of ``s``, whose last symbol is 0 and the only 0."""
     n = len(s)
-    if n == 1:
-        return np.zeros(1, np.int64)
-    rises = np.sign(np.diff(s))
-    # a run of equal symbols is as the symbol behind it
-    decides = np.append(np.where(rises != 0, np.arange(n - 1), n), n)
-    decides = np.minimum.accumulate(decides[::-1])[::-1]
-    smaller = np.append(rises, 1)[np.minimum(decides, n - 1)] > 0
-    smaller[-1] = True
-    lms = np.flatnonzero(smaller & np.concatenate([[False], ~smaller[:-1]]))
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    sa = _induced(s, smaller, lms)
-    by_substring = sa[is_lms[sa]]
-    number = np.zeros(n, np.int64)
-    number[lms] = np.arange(len(lms))
-    nth = number[by_substring]
-    length = np.append(np.diff(lms) + 1, 1)[nth]
-    same = np.concatenate([[False], length[1:] == length[:-1]])
-    todo, step = np.flatnonzero(same), 0
-    while len(todo):
-        equal = s[by_substring[todo] + step] == s[by_substring[todo - 1] + step]
-        same[todo[~equal]] = False
-        step += 1
-        todo = todo[equal & (length[todo] > step)]
-    names = np.cumsum(~same) - 1
-    if names[-1] + 1 < len(lms):
-        reduced = np.zeros(len(lms), np.int64)
-        reduced[nth] = names
-        by_substring = lms[suffix_array(reduced)]
-    return _induced(s, smaller, by_substring)
+    room = np.repeat([2 * n, 0], n)  # what lies beyond the end is never decisive
+    return np.argsort(_doubled(s, room, 1, n)[0][:n])
 
 
 def common_prefixes(data: np.ndarray, end: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -191,28 +118,13 @@ def common_prefixes(data: np.ndarray, end: np.ndarray, before: np.ndarray) -> np
 
 
 def earlier_strings(data: np.ndarray, at: np.ndarray, size: int = SIZE) -> np.ndarray:
-    """Whether the string of ``size`` bytes at each place of some stretches stands at an earlier place too; False where none fits."""
-    length = np.diff(at)
-    owner = np.repeat(np.arange(len(length)), length)
-    # one symbol parts stretches, one ends them all
-    s = np.zeros(len(data) + len(length) + 1, np.int64)
-    spot = np.arange(len(data)) + owner
-    s[:-1] = 1
-    s[spot] = data.astype(np.int64) + 2
-    sa = suffix_array(s)
-    placed = np.full(len(s), -1, np.int64)
-    placed[spot] = np.arange(len(data))
-    sa = placed[sa]
-    sa = sa[sa >= 0]
-    before = np.full(len(data), -1, np.int64)
-    before[sa[1:]] = sa[:-1]
-    shared = common_prefixes(data, at[1:][owner], before)
-    new = shared[sa] < size
-    group = np.cumsum(new) - 1
+    """Whether the string of ``size`` bytes (8 at least) at each place of some stretches stands at an earlier place too; False where none fits."""
+    room = np.repeat(at[1:], np.diff(at)) - np.arange(len(data))
+    _, order, many = _doubled(eights_of(data)[: len(data)].byteswap(), room, 8, size)
     out = np.zeros(len(data), bool)
-    if len(sa):
-        out[sa] = sa > np.minimum.reduceat(sa, np.flatnonzero(new))[group]
-    return out & (np.arange(len(data)) + size <= at[1:][owner])
+    if len(order):
+        out[order] = order > np.repeat(np.minimum.reduceat(order, _sum_before(many)[:-1]), many)
+    return out
 
 
 def _printed(size: int):

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -219,3 +220,29 @@ def test_texts_of_one_id_are_compared(spark):
 
 def test_repeats_of_an_empty_table(spark):
     assert suffixes.remove_repeats(docs(spark, [])).count() == 0
+
+
+def test_a_shard_is_sorted_in_few_steps_over_all_places():
+    """No loop over places, and no step for each symbol or run: the calls don't grow with the text."""
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(300)]
+    passages = [b" ".join(words[i] for i in rng.integers(0, 300, 40)) for _ in range(30)]
+    stretches = [passages[i][a : a + 150] for i, a in zip(rng.integers(0, 30, 300), rng.integers(0, 60, 300))]
+    data, at = np.frombuffer(b"".join(stretches), np.uint8), np.cumsum([0, *map(len, stretches)])
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        got = suffixes.earlier_strings(data, at)
+    finally:
+        sys.setprofile(None)
+    seen, want = set(), np.zeros(len(data), bool)
+    for i, s in zip(at.tolist(), stretches):
+        for j in range(len(s) - 99):
+            want[i + j] = s[j : j + 100] in seen
+            seen.add(s[j : j + 100])
+    assert (got == want).all() and got.any() and calls < 400
