@@ -10,8 +10,8 @@ from fieldjobs.functions.pvalues import p_of_chi2, p_of_r
 CELLS, LIMIT = 4096, 1 << 16
 
 
-def running_total(counts: DataFrame, value: str, n: str, by: list[str], cells: int = 0, limit: int = 0) -> DataFrame:
-    """Adds ``before``: the sum of ``n`` over smaller values, within ``by`` (nulls equal each other).
+def running_total(counts: DataFrame, value: str, n: str | list[str], by: list[str], cells: int = 0, limit: int = 0) -> DataFrame:
+    """Adds ``before``: the sum of ``n`` over smaller values, within ``by`` (nulls equal each other); of several columns ``before_0`` and so on.
 
     Values fall into ranges in levels: first by their logarithm, then any range of more
     than ``limit`` values into ``cells`` of one width between its own least and largest
@@ -30,14 +30,17 @@ def running_total(counts: DataFrame, value: str, n: str, by: list[str], cells: i
         cell = F.floor((x - F.col("_low")) / (F.col("_high") - F.col("_low")) * cells)
         c = c.join(wide, path, "left").withColumn(level, F.coalesce(F.least(cell, F.lit(cells - 1)), F.lit(0))).drop("_many", "_low", "_high")
         path.append(level)
-    ranges = c.groupBy(*path).agg(F.sum(n).alias("_t"))
+    totals = {"": n} if isinstance(n, str) else {f"_{i}": c for i, c in enumerate(n)}
+    ranges = c.groupBy(*path).agg(*(F.sum(m).alias(f"_t{i}") for i, m in totals.items()))
     smaller = (Window.unboundedPreceding, -1)
     within = Window.partitionBy("_by", "_0").orderBy("_1", "_2").rowsBetween(*smaller)
     over = Window.partitionBy("_by").orderBy("_0").rowsBetween(*smaller)
-    first = ranges.groupBy("_by", "_0").agg(F.sum("_t").alias("_s")).select("_by", "_0", F.coalesce(F.sum("_s").over(over), F.lit(0)).alias("_first"))
-    ranges = ranges.join(first, ["_by", "_0"]).select(*path, (F.col("_first") + F.coalesce(F.sum("_t").over(within), F.lit(0))).alias("_before"))
+    sums = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    first = ranges.groupBy("_by", "_0").agg(*(F.sum(f"_t{i}").alias(f"_s{i}") for i in totals)).select("_by", "_0", *(sums(f"_s{i}", over).alias(f"_first{i}") for i in totals))
+    ranges = ranges.join(first, ["_by", "_0"]).select(*path, *((F.col(f"_first{i}") + sums(f"_t{i}", within)).alias(f"_before{i}") for i in totals))
     inside = Window.partitionBy(*path).orderBy(value).rowsBetween(*smaller)
-    return c.join(ranges, path).withColumn("before", F.col("_before") + F.coalesce(F.sum(n).over(inside), F.lit(0))).drop(*path, "_x", "_before")
+    out = c.join(ranges, path).withColumns({f"before{i}": F.col(f"_before{i}") + sums(m, inside) for i, m in totals.items()})
+    return out.drop(*path, "_x", *(f"_before{i}" for i in totals))
 
 
 def average_ranks(df: DataFrame, value: str, by: list[str], weight: str | None = None) -> DataFrame:
@@ -89,7 +92,12 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     ranks = average_ranks(long, "_v", [*by, "_side"], "_w")
     rx, ry = (ranks.where(F.col("_side") == side).select(*by, F.col("_v").alias(f"_{side}"), F.col("rank").alias(f"_r{side}")) for side in "xy")
     ranked = pairs.join(rx, [*by, "_x"]).join(ry, [*by, "_y"])
-    w, a, b = F.col("_w"), F.col("_rx"), F.col("_ry")
+    return _correlated(ranked, "_rx", "_ry", "_w", by)
+
+
+def _correlated(ranked: DataFrame, x: str, y: str, weight: str, by: list[str]) -> DataFrame:
+    """``by, n, rho, p`` of the ranks ``x`` and ``y``, each pair of which counts ``weight`` times."""
+    w, a, b = F.col(weight), F.col(x), F.col(y)
     sums = ranked.groupBy(*by).agg(F.sum(w).alias("n"), F.sum(w * a).alias("sa"), F.sum(w * b).alias("sb"), F.sum(w * a * a).alias("saa"), F.sum(w * b * b).alias("sbb"), F.sum(w * a * b).alias("sab"))
     n = F.col("n")
     spread = (n * F.col("saa") - F.col("sa") ** 2) * (n * F.col("sbb") - F.col("sb") ** 2)
@@ -99,9 +107,31 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 
 def spearman_by_covariate(df: DataFrame, covariates: list[str], errors: list[str], ids: list[str]) -> DataFrame:
-    """``covariate, error, n, rho, p`` for every covariate and error column."""
-    long = df.unpivot(ids + errors, covariates, "covariate", "x").unpivot(["covariate", "x"], errors, "error", "y")
-    return spearman(long, "x", "y", ["covariate", "error"])
+    """``covariate, error, n, rho, p`` for every covariate and error column.
+
+    Equal rows are counted first, and each column is ranked once, not once for each pair.
+    Ranks hold among complete pairs: a value counts, for each column it is paired with,
+    the rows that have that one too.
+    """
+    names = [*covariates, *errors]
+    own = [f"_v{i}" for i in range(len(names))]
+    of = {i: range(len(covariates), len(names)) if i < len(covariates) else range(len(covariates)) for i in range(len(names))}
+    rows = df.groupBy(*(F.col(c).alias(v) for c, v in zip(names, own))).agg(F.count("*").alias("_w"))
+    # laid out anew, for a filter on one column would move below the count, and each column then count all rows for itself
+    rows = rows.select(F.inline(F.array(F.struct(*own, "_w"))))
+    ranked = rows
+    for i, partners in of.items():
+        held = [F.sum(F.when(F.col(own[j]).isNotNull(), F.col("_w")).otherwise(0)).alias(f"_n{j}") for j in partners]
+        counts = rows.where(F.col(own[i]).isNotNull()).groupBy(own[i]).agg(*held)
+        placed = running_total(counts, own[i], [f"_n{j}" for j in partners], [])
+        places = F.array(*(F.col(f"before_{k}") + (F.col(f"_n{j}") + 1) / 2 for k, j in enumerate(partners)))
+        ranked = ranked.join(placed.select(own[i], places.alias(f"_r{i}")), own[i], "left").drop(own[i])
+    pairs = [
+        F.struct(F.lit(c).alias("covariate"), F.lit(e).alias("error"), F.col(f"_r{i}")[j].alias("_x"), F.col(f"_r{len(covariates) + j}")[i].alias("_y"))
+        for i, c in enumerate(covariates) for j, e in enumerate(errors)
+    ]
+    long = ranked.select("_w", F.inline(F.array(*pairs))).where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+    return _correlated(long, "_x", "_y", "_w", ["covariate", "error"])
 
 
 def fisher_ci(df: DataFrame, r: str = "rho", n: str = "n") -> DataFrame:

@@ -196,3 +196,21 @@ def test_percentile_pick_with_ties_and_null_groups(spark):
         own = sorted((v, k) for x, v, k in rows if x == g and v is not None)
         want += [(g, *own[round(p / 100 * (len(own) - 1))], p) for p in (10, 90)]
     assert got.columns == ["g", "v", "k", "percent"] and sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_covariates_are_ranked_once_and_equal_ranks_among_complete_pairs(spark):
+    rnd = random.Random(11)
+    some = lambda f: None if rnd.random() < 0.2 else f()
+    table = [(some(lambda: rnd.randrange(4) / 10), some(lambda: rnd.random()), some(lambda: rnd.randrange(9) - 4.0), some(lambda: rnd.random())) for _ in range(150)] * 2
+    names = ["c0", "c1", "e0", "e1"]
+    df = spark.createDataFrame(table, ", ".join(f"{c} double" for c in names))
+    out = ranks.spearman_by_covariate(df, names[:2], names[2:], [])
+    rank = lambda x: [(2 * sum(v < u for v in x) + sum(v == u for v in x) + 1) / 2 for u in x]
+    got = {(r["covariate"], r["error"]): (r["n"], r["rho"]) for r in out.collect()}
+    assert len(got) == 4
+    for (c, e), (n, rho) in got.items():
+        pairs = [(r[names.index(c)], r[names.index(e)]) for r in table if None not in (r[names.index(c)], r[names.index(e)])]
+        want = np.corrcoef(*(rank([p[i] for p in pairs]) for i in (0, 1)))[0, 1]
+        assert n == len(pairs) and math.isclose(rho, want, abs_tol=1e-9)
+    # rows are counted before they are laid out for each pair
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
