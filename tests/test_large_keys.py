@@ -32,3 +32,19 @@ def compare(spark, folder, name):
 
 def test_key_build_equals_sql(spark, folder):
     compare(spark, folder, "key_build")
+
+
+def test_key_parse_equals_sql(spark, folder):
+    compare(spark, folder, "key_parse")
+
+
+def test_pad_and_date_equals_sql(spark, folder):
+    compare(spark, folder, "pad_and_date")
+
+
+def test_found_images_equals_sql(spark, folder):
+    compare(spark, folder, "found_images")
+
+
+def test_zonal_fraction_equals_sql_over_gaps(spark, folder):
+    compare(spark, folder, "zonal_fraction")
