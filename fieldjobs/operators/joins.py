@@ -86,11 +86,13 @@ def join_covariates(predictions: DataFrame, covariates: DataFrame, key: str = "i
 
 def filter_existing(labels: DataFrame, files: DataFrame, name: str = "image_filename") -> tuple[DataFrame, DataFrame]:
     """Labels whose image is there (exact name, else another extension), with ``found_name``; and those without."""
-    base = F.regexp_replace(name, r"\.[^.]*$", "")
-    candidates = F.array(F.col(name), *(F.concat(base, F.lit(f".{e}")) for e in EXTENSIONS))
-    tried = labels.select(name).distinct().select(name, F.posexplode(candidates).alias("_place", "_name"))
-    best = tried.join(files.select(F.col("basename").alias("_name")).distinct(), "_name", "left_semi").groupBy(name).agg(F.min_by("_name", "_place").alias("found_name"))
-    return labels.join(best, name), labels.join(best, name, "left_anti")
+    base = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
+    candidates = F.array(F.col(name), *(F.concat("_base", F.lit(f".{e}")) for e in EXTENSIONS))
+    there = files.groupBy(base("basename").alias("_base")).agg(F.collect_set("basename").alias("_there"))
+    tried = labels.withColumn("_base", base(name)).join(there, "_base", "left")
+    tried = tried.withColumn("found_name", F.get(F.filter(candidates, lambda c: F.array_contains("_there", c)), F.lit(0)))
+    own = [name, *(c for c in labels.columns if c != name)]
+    return tried.where("found_name is not null").select(*own, "found_name"), tried.where("found_name is null").select(*labels.columns)
 
 
 def first_row(df: DataFrame, keys: list[str], order: list) -> DataFrame:
