@@ -29,7 +29,7 @@ def interval_join(points: DataFrame, windows: DataFrame, at: str, start: str, en
     is made twice, and a cell of years is not one key.
 
     ``how="left"`` keeps windows without points. They are found by the points' times and
-    keys alone; ``window_stats`` needs no second look.
+    keys alone; for statistics of windows ``window_stats`` makes no pairs.
     """
     micros = F.unix_micros
     length = F.greatest(micros(F.col(end)) - micros(F.col(start)) + 1, F.lit(1))
@@ -60,15 +60,52 @@ def interval_join(points: DataFrame, windows: DataFrame, at: str, start: str, en
 
 
 def window_stats(points: DataFrame, windows: DataFrame, at: str, start: str, end: str, by: list[str], value: str, keys: tuple[str, ...] = (), least: int = 5) -> DataFrame:
-    """``by, mean, cv, n`` of the points in each window, ``window_summary`` for all windows: one join, then windows without points are added with n = 0.
-
-    ``by`` are columns of the windows; nulls in them equal each other.
+    """``by, mean, cv, n`` of the points in each window, ``window_summary`` for all windows; those without points have n = 0.
+
+    No pair of point and window is made. Time is cut into cells no longer than the window
+    and more than half as long, so a window is the end of one cell, a whole cell or none,
+    and the beginning of another. Points and windows' ends are sorted together in each
+    cell, forth and back, with the count, mean and spread so far; an end reads them, and a
+    window's two or three parts are merged. Cells of over an hour are dealt into parts as
+    in ``interval_join``. ``by`` are columns of the windows; nulls in them equal each other.
     """
-    known = window_summary(interval_join(points, windows, at, start, end, keys), by, value, least).withColumnsRenamed({c: f"_k_{c}" for c in by})
-    same = F.lit(True)
-    for c in by:
-        same &= F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    return windows.select(*by).distinct().join(known, same, "left").select(*by, "mean", "cv", F.coalesce("n", F.lit(0)).alias("n"))
+    micros = F.unix_micros
+    names = [f"_key_{k}" for k in keys]
+    w = windows.where(F.col(start) <= F.col(end)).dropna(subset=[*keys]) if keys else windows.where(F.col(start) <= F.col(end))
+    w = w.select(F.struct(*by).alias("_of"), *(F.col(k).alias(n) for k, n in zip(keys, names)), micros(F.col(start)).alias("_a"), micros(F.col(end)).alias("_b"))
+    w = w.withColumn("_level", F.length(F.bin(F.greatest(F.col("_b") - F.col("_a"), F.lit(1)))) - 1)
+    cell = lambda t: F.expr(f"shiftright({t}, _level)")
+    part = lambda c, t, back: F.struct(c.alias("_cell"), t.alias("_t"), F.lit(back).alias("_back"))
+    last = F.lit(2**63 - 1)
+    whole = F.transform(F.sequence(cell("_a") + 1, cell("_b") - 1, F.lit(1)), lambda c: part(c, last, False))
+    ends = F.array(part(cell("_a"), F.col("_a"), True), part(cell("_b"), F.col("_b"), False))
+    parts = F.when(cell("_a") == cell("_b"), F.array(part(cell("_a"), last, False))).when(cell("_b") - cell("_a") == 1, ends).otherwise(F.concat(ends, whole))
+    levels = w.agg(F.collect_set("_level").alias("_levels"))
+    w = w.select("_of", *names, "_level", F.inline(parts)).withColumn("_salt", F.explode(F.sequence(F.lit(0), _salts(F.col("_level") + 1) - 1)))
+    p = points.where(F.col(at).isNotNull() & F.col(value).isNotNull()).dropna(subset=[*keys]) if keys else points.where(F.col(at).isNotNull() & F.col(value).isNotNull())
+    p = p.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), micros(F.col(at)).alias("_t"), F.col(value).cast("double").alias("_x"))
+    # values as multiples of one power of two, whose sums are exact, and small rests
+    finite = F.when(F.abs("_x") < F.lit(float("inf")), F.abs("_x"))
+    step = p.agg(F.max(F.when(finite > 0, finite)).alias("_most")).select(F.coalesce(F.pow(F.lit(2.0), F.ceil(F.log2("_most")) - 26), F.lit(1.0)).alias("_step"))
+    p = p.join(F.broadcast(levels)).withColumn("_level", F.explode("_levels")).drop("_levels").join(F.broadcast(step))  # one row each
+    p = p.withColumn("_hi", F.when(finite.isNotNull(), F.rint(F.col("_x") / F.col("_step")) * F.col("_step")).otherwise(F.col("_x")))
+    p = p.withColumn("_lo", F.when(finite.isNotNull(), F.col("_x") - F.col("_hi")).otherwise(0.0)).drop("_step")
+    p = p.withColumn("_cell", cell("_t")).withColumn("_salt", F.pmod(F.xxhash64("_t", "_x"), _salts(F.col("_level") + 1)).cast("int"))
+    both = p.withColumn("_end", F.lit(0)).unionByName(w.withColumn("_end", F.lit(1)), allowMissingColumns=True)
+    within = Window.partitionBy(*names, "_level", "_cell", "_salt")
+    marks = {"n": F.count("_x"), "h": F.sum("_hi"), "l": F.sum("_lo"), "v": F.var_pop("_x")}
+    forth, back = (within.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0) for order in (("_t", "_end"), (F.desc("_t"), "_end")))
+    read = both.withColumns({f"_{c}f": m.over(forth) for c, m in marks.items()}).withColumns({f"_{c}b": m.over(back) for c, m in marks.items()}).where(F.col("_end") == 1)
+    read = read.select("_of", *(F.when(F.col("_back"), F.col(f"_{c}b")).otherwise(F.col(f"_{c}f")).alias(f"_{c}") for c in marks)).where("_n > 0")
+    # deviations are taken from the mean of all parts, so large means lose no digits
+    of = Window.partitionBy("_of")
+    read = read.withColumn("_m", (F.col("_h") + F.col("_l")) / F.col("_n")).withColumn("_mean", (F.sum("_h").over(of) + F.sum("_l").over(of)) / F.sum("_n").over(of))
+    n, mean = F.col("n"), F.col("mean")
+    known = read.groupBy("_of").agg(F.sum("_n").alias("n"), F.max("_mean").alias("mean"), F.sum(F.col("_n") * (F.col("_v") + (F.col("_m") - F.col("_mean")) ** 2)).alias("_ss"))
+    cv = F.when((n >= least) & (n > 1) & (mean > 0), F.sqrt(F.col("_ss") / F.greatest(n - 1, F.lit(1))) / mean)
+    known = known.select("_of", F.when(n >= least, mean).alias("mean"), cv.alias("cv"), "n")
+    out = windows.select(F.struct(*by).alias("_of")).distinct().join(known, "_of", "left")
+    return out.select("_of.*", "mean", "cv", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def window_summary(pairs: DataFrame, keys: list[str], value: str, least: int = 5) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from fieldjobs.operators import intervals, raster
@@ -73,3 +74,26 @@ def test_one_huge_box_leaves_the_small_ones_apart(spark):
     right = spark.createDataFrame([(a, k, x1 + 0.5, x2 + 0.5, y1, y2) for a, k, x1, x2, y1, y2 in small], f"j int, {kind}")
     assert raster._overlapping(left, right, ["k"]).count() == 20_000
     assert raster._candidates(left, right, ["k"]).count() < 60_000
+
+
+def test_statistics_of_windows_make_no_pairs_and_equal_brute_force(spark, monkeypatch):
+    import math
+    import statistics
+
+    monkeypatch.setattr(intervals, "interval_join", lambda *a, **b: pytest.fail("pairs of points and windows were made"))
+    rnd = random.Random(8)
+    start = dt.datetime(2024, 3, 1)
+    at = lambda s: start + dt.timedelta(seconds=s)
+    points = [(at(rnd.randrange(4000)), rnd.choice([None, 1e9 + rnd.random(), 1e9 + rnd.random()]), rnd.choice("xyz")) for _ in range(400)]
+    lengths = [0, 1, 2, 3, 7, 64, 500, 1023, 1024, 3999, 10_000_000]
+    windows = [(i % 60, at(a := rnd.randrange(-50, 4000)), at(a + rnd.choice(lengths)), rnd.choice(["x", "y", None])) for i in range(90)] + [(None, at(5), at(900), "y"), (99, at(9), at(3), "x"), (98, None, at(3), "x")]
+    p = spark.createDataFrame(points, "at timestamp, v double, k string")
+    w = spark.createDataFrame(windows, "w int, s timestamp, e timestamp, k string")
+    for keys in ((), ("k",)):
+        got = {r["w"]: (r["mean"], r["cv"], r["n"]) for r in intervals.window_stats(p, w, "at", "s", "e", ["w"], "v", keys, least=2).collect()}
+        assert got.keys() == {x[0] for x in windows}
+        for i, (mean, cv, n) in got.items():
+            held = [v for j, s, e, k in windows if j == i and s and s <= e for t, v, c in points if v is not None and s <= t <= e and (not keys or c == k)]
+            assert n == len(held) and (mean is None) == (cv is None) == (n < 2)
+            if n > 1:
+                assert math.isclose(mean, statistics.fmean(held), rel_tol=1e-15) and math.isclose(cv, statistics.stdev(held) / statistics.fmean(held), rel_tol=1e-6)
