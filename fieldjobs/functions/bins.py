@@ -33,11 +33,14 @@ def offset_label(position: Column) -> Column:
     return F.get(F.array(*map(F.lit, OFFSET_LABELS)), position)
 
 
-def quantile_bins(df: DataFrame, col: str, n: int = 5, by: tuple[str, ...] = (), approx: bool = False) -> DataFrame:
-    """Adds ``bin`` 0..: linear quantile edges, equal edges merged, right-closed, the lowest value in the first bin."""
+def quantile_bins(df: DataFrame, col: str, n: int = 5, by: tuple[str, ...] = (), approx: bool = False, few: bool = False) -> DataFrame:
+    """Adds ``bin`` 0..: linear quantile edges, equal edges merged, right-closed, the lowest value in the first bin.
+
+    ``few``: a row for each ``by`` may be sent to all tasks, and ``df`` is not shuffled.
+    """
     probabilities = [i / n for i in range(n + 1)]
     src = df.withColumn("_g", group_of([*by]))
     found = src.groupBy("_g").agg(F.percentile_approx(col, probabilities, 100_000).alias("_q")) if approx else quantiles(df, col, [*by], probabilities)
-    out = src.join(found if by else F.broadcast(found), "_g", "left").withColumn("_edges", F.array_distinct("_q"))  # without ``by``, one row
+    out = src.join(found if by and not few else F.broadcast(found), "_g", "left").withColumn("_edges", F.array_distinct("_q"))  # without ``by``, one row
     inner = F.slice("_edges", 2, F.greatest(F.size("_edges") - 2, F.lit(0)))
     return out.withColumn("bin", F.when(F.col(col).isNotNull(), F.size(F.filter(inner, lambda e: e < F.col(col))))).drop("_edges", "_q", "_g")

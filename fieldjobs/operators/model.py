@@ -113,7 +113,7 @@ def cross_validate_linear(df: DataFrame, group: str, features: list[str], target
     _groups(df, group, most)
     x = [f"_x{i}" for i in range(len(features))]
     own = df.select(F.col(group).alias("_group"), F.col(key).alias("_key"), *(F.col(f).cast("double").alias(c) for f, c in zip(features, x)), F.col(target).cast("double").alias("actual")).na.drop(subset=["_group", *x, "actual"])
-    pool = stratified_split(leave_one_group_out(own, "_group").where("split = 'pool'").drop("split"), ["fold"], "actual", "_key", ratio)
+    pool = stratified_split(leave_one_group_out(own, "_group").where("split = 'pool'").drop("split"), ["fold"], "actual", "_key", ratio, few=True)
     parts = pool.groupBy(F.col("fold").cast("string").alias("fold"), "split").agg(*_moments([*x, "actual"]))
     size = len(x) + 1
     kinds = ", ".join(f"{c} {'long' if c.endswith('samples') else 'double'}" for c in VALIDATION[:6])

@@ -16,14 +16,18 @@ from fieldjobs.operators.profile import hash_order
 PREFIX = 2
 
 
-def take_quota(df: DataFrame, by: list[str], quota: DataFrame, key: str, seed: int) -> DataFrame:
-    """Adds ``taken``: whether the row is among the first ``quota`` of its group in hash order (``quota`` has by, quota)."""
+def take_quota(df: DataFrame, by: list[str], quota: DataFrame, key: str, seed: int, few: bool = False) -> DataFrame:
+    """Adds ``taken``: whether the row is among the first ``quota`` of its group in hash order (``quota`` has by, quota).
+
+    ``few``: the ranges of all groups (256 each) may be sent to all tasks; only rows of the ranges that are ranked move.
+    """
     hashed = df.withColumn("_h", hash_order(F.col(key), seed)).withColumn("_p", F.substring("_h", 1, PREFIX))
     ranges = hashed.groupBy(*by, "_p").agg(F.count("*").alias("_c"))
     upto = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0))).join(quota, by)
     state = F.when(F.col("_before") + F.col("_c") <= F.col("quota"), "in").when(F.col("_before") >= F.col("quota"), "out").otherwise("part")
-    placed = hashed.join(ranges.select(*by, "_p", state.alias("_s"), (F.col("quota") - F.col("_before")).alias("_left")), [*by, "_p"])
+    ranges = ranges.select(*by, "_p", state.alias("_s"), (F.col("quota") - F.col("_before")).alias("_left"))
+    placed = hashed.join(F.broadcast(ranges) if few else ranges, [*by, "_p"])
     rank = F.row_number().over(Window.partitionBy(*by, "_p").orderBy("_h", key))
     part = placed.where("_s = 'part'").withColumn("taken", rank <= F.col("_left"))
     whole = placed.where("_s <> 'part'").withColumn("taken", F.col("_s") == "in")
@@ -47,20 +51,21 @@ def leave_one_group_out(df: DataFrame, group: str) -> DataFrame:
     return out.withColumn("split", F.when(F.col(group) == F.col("fold"), "test").otherwise("pool"))
 
 
-def stratified_split(df: DataFrame, by: list[str], target: str, key: str, ratio: float = 0.15, bins: int = 5, seed: int = 42) -> DataFrame:
+def stratified_split(df: DataFrame, by: list[str], target: str, key: str, ratio: float = 0.15, bins: int = 5, seed: int = 42, few: bool = False) -> DataFrame:
     """Adds ``split`` (train/val): ceil(ratio * n) validation rows for each ``by``, spread over quantile bins of the target.
 
     Each bin gets the whole part of its share; what is left goes to the bins with the
-    largest rests, lower bins first.
+    largest rests, lower bins first. ``few``: there are so few ``by`` that rows need not be
+    shuffled by them.
     """
-    binned = quantile_bins(df, target, bins, tuple(by)).withColumn("bin", F.coalesce("bin", F.lit(-1)))
+    binned = quantile_bins(df, target, bins, tuple(by), few=few).withColumn("bin", F.coalesce("bin", F.lit(-1)))
     sizes = binned.groupBy(*by, "bin").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*by)
     sizes = sizes.withColumn("_val", F.ceil(F.sum("_n").over(w) * ratio)).withColumn("_share", F.col("_val") * F.col("_n") / F.sum("_n").over(w))
     sizes = sizes.withColumn("_whole", F.floor("_share")).withColumn("_rest", F.round(F.col("_share") - F.col("_whole"), 9))
     extra = F.row_number().over(w.orderBy(F.desc("_rest"), "bin")) <= F.col("_val") - F.sum("_whole").over(w)
     quota = sizes.select(*by, "bin", (F.col("_whole") + extra.cast("long")).alias("quota"))
-    out = take_quota(binned, [*by, "bin"], quota, key, seed)
+    out = take_quota(binned, [*by, "bin"], quota, key, seed, few)
     return out.withColumn("split", F.when(F.col("taken"), "val").otherwise("train")).drop("taken")
 
 

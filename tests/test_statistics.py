@@ -214,3 +214,15 @@ def test_covariates_are_ranked_once_and_equal_ranks_among_complete_pairs(spark):
         assert n == len(pairs) and math.isclose(rho, want, abs_tol=1e-9)
     # rows are counted before they are laid out for each pair
     assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_split_of_few_folds_shuffles_no_rows_by_them(spark):
+    df = spark.range(900).select("id", (F.col("id") % 3).alias("fold"), (F.col("id") * 37 % 101).cast("double").alias("y"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        few, plain = (splits.stratified_split(df, ["fold"], "y", "id", few=x) for x in (True, False))
+        assert sorted(map(tuple, few.select("id", "split").collect())) == sorted(map(tuple, plain.select("id", "split").collect()))
+        assert few._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") >= 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
